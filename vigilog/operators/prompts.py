@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -46,10 +47,11 @@ def chunk_prompt(chunks: DataFrame) -> DataFrame:
         F.lit("\nLogs:"), F.col("document"))
     sections = chunks.agg(
         F.count(F.lit(1)).alias("chunks"),
+        F.min("start_time").alias("window_start"), F.max("end_time").alias("window_end"),
         F.array_sort(F.collect_list(F.struct("rank", section.alias("text")))).alias("_parts"))
     body = F.when(F.col("chunks") > 0, F.array_join(F.transform(
         "_parts", lambda p: p["text"]), "\n")).otherwise(F.lit("No log entries retrieved."))
-    return with_tokens(sections.select("chunks", body.alias("sections")))
+    return with_tokens(sections.select("chunks", "window_start", "window_end", body.alias("sections")))
 
 
 def context_prompt(batched: DataFrame, context: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def with_tokens(prompts: DataFrame) -> DataFrame:
 
 def score_prompts(prompts: DataFrame, scorer: ScorerFactory, keys: list[str],
                   batch_rows: int = 16) -> DataFrame:
-    """`(keys, reply, error)`: prompts sent to a model, built once per partition.
+    """`(keys, reply, error, seconds)`: prompts sent to a model, built once per partition.
 
     A failing call leaves its message in `error` and an empty reply; other rows go on.
     """
@@ -98,12 +100,15 @@ def score_prompts(prompts: DataFrame, scorer: ScorerFactory, keys: list[str],
         for pdf in batches:
             for at in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[at:at + batch_rows]
+                began = time.monotonic()
                 try:
                     replies, error = score(part["prompt"].tolist()), None
                 except Exception as failure:  # one bad call must not end the job
                     replies, error = [""] * len(part), str(failure)
-                yield part[keys].assign(reply=replies, error=error)
+                spent = (time.monotonic() - began) / len(part)
+                yield part[keys].assign(reply=replies, error=error, seconds=spent)
 
     schema = T.StructType([prompts.schema[k] for k in keys] + [
-        T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
+        T.StructField("reply", T.StringType()), T.StructField("error", T.StringType()),
+        T.StructField("seconds", T.DoubleType())])
     return prompts.select(*keys, "prompt").mapInPandas(run, schema)

@@ -86,7 +86,7 @@ def find_threats(entries: DataFrame, limits: Thresholds | None = None,
     limits = limits or Thresholds()
     c = F.col
     facts = entries.select(
-        *(scope or ["source"]), "ts", "path",
+        *(scope or ["source"]), "ts", "path", c("client_ip").alias("_ip"),
         (c("status_code") == 404).alias("_missing"), F.inline(_facts(limits, rules)))
     keys = scope or ["source", "window_start"]
     if scope is None:
@@ -97,17 +97,22 @@ def find_threats(entries: DataFrame, limits: Thresholds | None = None,
     is_flood, is_scan = c("threat_type") == "ddos", c("threat_type") == "reconnaissance"
     subject = [*keys, "threat_type", "subject"]
     detail = F.when(is_flood, F.lit("now")).otherwise(c("detail"))
+    # Inside a batch the addresses behind a finding are few; a time window has no such bound.
+    addresses = [F.collect_set("_ip").alias("_ips")] if scope else []
     counted = (facts.groupBy(*subject, detail.alias("_detail"), "sec")
                .agg(F.count(F.lit(1)).alias("n"),
                     F.count_if("_missing").alias("_missing"),
                     F.count_if(c("detail") == "before").alias("_before"),
-                    F.min("path").alias("sample_path"))
+                    F.min("path").alias("sample_path"), *addresses)
                .filter(~is_flood | (c("n") > c("_before"))))
+    if scope:
+        addresses = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ips"))))
+                     .alias("source_ips")]
     kept = F.when(c("threat_type").isin("brute_force", "bot"), c("_detail"))
     folded = (counted.groupBy(*subject, kept.alias("detail"))
               .agg(F.sum("n").alias("_sum"), F.max("n").alias("_peak"),
                    F.sum("_missing").alias("_missing"), F.count("_detail").alias("_paths"),
-                   F.min("sample_path").alias("sample_path")))
+                   F.min("sample_path").alias("sample_path"), *addresses))
     scan_by_pages = c("_missing") >= limits.missing_pages
     n = (F.when(is_flood, c("_peak"))
          .when(is_scan, F.when(scan_by_pages, c("_missing")).otherwise(c("_paths")))
@@ -121,4 +126,5 @@ def find_threats(entries: DataFrame, limits: Thresholds | None = None,
             .select(*keys, "threat_type", c("subject").alias("client_ip"),
                     severity(c("n"), c("_limit")).alias("severity"),
                     confidence(c("n")).alias("confidence"), "n",
-                    F.when(~is_flood, c("sample_path")).alias("sample_path"), "detail"))
+                    F.when(~is_flood, c("sample_path")).alias("sample_path"), "detail",
+                    *(["source_ips"] if scope else [])))

@@ -45,7 +45,7 @@ def read_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
 def reply_threats(read: DataFrame, keys: list[str]) -> DataFrame:
     """One row per threat of every reply, numbered from 1 in reply order."""
     items = read.select(*keys, F.posexplode("threats").alias("_at", "_item"))
-    threat = F.from_json("_item", THREAT.replace("STRUCT<", "STRUCT<", 1))
+    threat = F.from_json("_item", THREAT)
     return (items.withColumn("t", threat)
             .select(*keys, (F.col("_at") + 1).alias("threat_no"), "t.*"))
 
