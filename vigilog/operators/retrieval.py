@@ -56,6 +56,10 @@ def window_panes(start: Column, end: Column, levels: int) -> Column:
     Pane `p` of level `l` covers `8**l` aligned seconds. A run of panes that fills a pane of
     the next level is left to that level.
     """
+    def tagged(panes: Column, level: int) -> Column:
+        return F.transform(panes, lambda p: F.struct(
+            F.lit(level).alias("level"), p.alias("pane")))
+
     parts = []
     for level in range(levels):
         size = PANE_BASE ** level
@@ -66,8 +70,7 @@ def window_panes(start: Column, end: Column, levels: int) -> Column:
         if level < levels - 1:
             whole = F.when(up_lo < up_hi, F.concat(_span(lo, up_lo), _span(up_hi, hi))).otherwise(
                 whole)
-        parts.append(F.transform(whole, lambda p, level=level: F.struct(
-            F.lit(level).alias("level"), p.alias("pane"))))
+        parts.append(tagged(whole, level))
     return F.concat(*parts)
 
 
