@@ -61,10 +61,14 @@ def instant(date: Column) -> Column:
     )
 
 
-def offset(date: Column) -> Column:
-    """`+HH:MM` of the bracketed date, NULL when it names no offset."""
-    zone = F.regexp_extract(date, r" ([+-]\d{2}:?\d{2}|Z)$", 1)
-    digits = F.regexp_replace(zone, ":", "")
-    return (F.when(zone == "Z", F.lit("+00:00"))
-            .when(zone != "", F.concat(F.substring(digits, 1, 3), F.lit(":"),
-                                       F.substring(digits, 4, 2))))
+def zone(date: Column) -> Column:
+    """The UTC offset the bracketed date ends in, empty if it names none."""
+    return F.regexp_extract(date, r" ([+-]\d{2}:?\d{2}|Z)$", 1)
+
+
+def offset(zone_text: Column) -> Column:
+    """`+HH:MM` of a date's `zone`, NULL when there is none."""
+    digits = F.replace(zone_text, F.lit(":"), F.lit(""))
+    return (F.when(zone_text == "Z", F.lit("+00:00"))
+            .when(zone_text != "", F.concat(F.substring(digits, 1, 3), F.lit(":"),
+                                            F.substring(digits, 4, 2))))

@@ -38,31 +38,33 @@ class ClfParser:
 
     def _entries(self, lines: DataFrame) -> DataFrame:
         f = F.col("_f")
-        date = clf.field(f, "date")
-        request = F.split(clf.field(f, "request"), " ", 3)
-        target = F.get(request, F.lit(1))
-        size = clf.field(f, "bytes")
+        # Parts used several times become columns of their own step, computed once per line.
+        split = self._split(lines).select(
+            "source", "line_number", "raw_line", "_f",
+            F.split(clf.field(f, "request"), " ", 3).alias("_request"),
+            clf.instant(clf.field(f, "date")).alias("_ts"),
+            clf.zone(clf.field(f, "date")).alias("_zone"))
+        method, target = F.get("_request", F.lit(0)), F.get("_request", F.lit(1))
         entry = F.struct(
-            clf.instant(date).alias("ts"),
-            clf.offset(date).alias("tz_offset"),
+            F.col("_ts").alias("ts"),
+            clf.offset(F.col("_zone")).alias("tz_offset"),
             clf.field(f, "host").alias("client_ip"),
-            F.when(clf.field(f, "request") != "", F.get(request, F.lit(0))).alias("method"),
+            F.when(clf.field(f, "request") != "", method).alias("method"),
             F.substring_index(target, "?", 1).alias("path"),
             F.when(F.contains(target, F.lit("?")),
                    F.substr(target, F.instr(target, "?") + 1)).alias("query_string"),
-            F.get(request, F.lit(2)).alias("protocol"),
+            F.get("_request", F.lit(2)).alias("protocol"),
             clf.field(f, "status").cast("int").alias("status_code"),
-            size.try_cast("bigint").alias("bytes_sent"),
+            F.when(clf.field(f, "bytes") != "-", clf.field(f, "bytes").try_cast("bigint"))
+            .alias("bytes_sent"),
             clf.dash_to_null(clf.field(f, "referer")).alias("referer"),
             clf.dash_to_null(clf.field(f, "agent")).alias("user_agent"),
             F.when(clf.field(f, "user") != "-", clf.field(f, "user")).alias("remote_user"),
         )
         # A generator keeps later filters above this point: pushed below it they would
         # repeat the regex once per parsed column they mention.
-        parsed = F.when(F.size(f) == len(clf.FIELDS), F.array(entry))
-        return (self._split(lines)
-                .select("source", "line_number", "raw_line", F.inline(parsed))
-                .filter(F.col("ts").isNotNull()))
+        parsed = F.when((F.size(f) == len(clf.FIELDS)) & F.col("_ts").isNotNull(), F.array(entry))
+        return split.select("source", "line_number", "raw_line", F.inline(parsed))
 
     def rejects(self, lines: DataFrame) -> DataFrame:
         """Lines `parse` leaves out, with the reason."""
