@@ -13,6 +13,7 @@ def session() -> SparkSession:
             .config("spark.sql.shuffle.partitions", "8")
             .config("spark.ui.enabled", "false")
             .config("spark.driver.memory", "8g")
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="vigilog-test-"))
             .config("spark.ui.showConsoleProgress", "false")

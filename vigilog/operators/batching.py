@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.functions import text
-from vigilog.operators.profiles import group_profile, render_top
+from vigilog.operators.profiles import MAX_POSITIONS, group_profile, render_top
 from vigilog.sources.numbering import rank_lines
 
 BATCH = ["source", "batch_id"]
@@ -14,16 +14,22 @@ GROUP = ["source", "batch_id", "group_id"]
 
 
 def assign_batches(entries: DataFrame, size: int = 50, include_partial: bool = False) -> DataFrame:
-    """Adds `batch_id`: every `size` consecutive entries of a source form a batch.
+    """Adds `batch_id` and `position`: every `size` entries of a source form a batch.
+
+    `position` is the entry's place in its batch by time, then line.
 
     The last, incomplete batch of a source is dropped unless `include_partial`. The result
     is partitioned by batch, so all later per-batch work runs without another shuffle.
     """
+    if not 0 < size <= MAX_POSITIONS:
+        raise ValueError(f"batch size must be between 1 and {MAX_POSITIONS}")
     ranked = rank_lines(entries, "_rn", "_rows").withColumn(
         "batch_id", F.floor(F.col("_rn") / size))
     if not include_partial:
         ranked = ranked.filter((F.col("batch_id") + 1) * size <= F.col("_rows"))
-    return ranked.drop("_rn", "_rows").repartition(*BATCH)
+    in_time = Window.partitionBy(*BATCH).orderBy("ts", "line_number")
+    return (ranked.drop("_rn", "_rows").repartition(*BATCH)
+            .withColumn("position", F.row_number().over(in_time) - 1))
 
 
 def group_entries(batched: DataFrame) -> DataFrame:
@@ -65,9 +71,9 @@ def group_stats(grouped: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return with_rate(stats)
 
 
-def summarize_groups(grouped: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def summarize_groups(grouped: DataFrame) -> DataFrame:
     """Typed statistics and the rendered key-value summary of every group."""
-    profile = with_rate(group_profile(grouped, keys or GROUP, summary_lists()))
+    profile = with_rate(group_profile(grouped, GROUP, summary_lists()))
     return profile.withColumn("summary_text", summary_text())
 
 

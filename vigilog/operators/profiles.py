@@ -27,59 +27,89 @@ def top_values(df: DataFrame, keys: list[str], value: Column, k: int | None) ->
 
 
 def render_top(items: Column, pattern: str = "%s (%s)") -> Column:
-    """`value (n), value (n)` from an array of `(rank, value, n)`."""
+    """`value (n), value (n)` from an array of `(value, n)`."""
     head, middle, tail = pattern.split("%s")
     return F.array_join(F.transform(items, lambda i: F.concat(
         F.lit(head), i["value"], F.lit(middle), i["n"].cast("string"), F.lit(tail))), ", ")
 
 
+# A moment inside a batch as one number that sorts by time, then position, and still carries
+# the offset of its log line: seconds, 16 bits of position, 12 bits of offset.
+POSITION_BITS, OFFSET_BITS = 16, 12
+MAX_POSITIONS = 1 << POSITION_BITS
+_NO_OFFSET = (1 << OFFSET_BITS) - 1
+
+
+def _offset_code(tz_offset: Column) -> Column:
+    minutes = (F.substring(tz_offset, 2, 2).cast("int") * 60
+               + F.substring(tz_offset, 5, 2).cast("int"))
+    signed = F.when(F.startswith(tz_offset, F.lit("-")), -minutes).otherwise(minutes)
+    return F.coalesce(signed + (1 << OFFSET_BITS - 1), F.lit(_NO_OFFSET)).cast("bigint")
+
+
+def _moment(position: Column) -> Column:
+    seconds = F.shiftleft(F.unix_seconds("ts"), POSITION_BITS + OFFSET_BITS)
+    return seconds + F.shiftleft(position.cast("bigint"), OFFSET_BITS) + _offset_code(
+        F.col("tz_offset"))
+
+
+def _unpack(moment: Column) -> Column:
+    """`(ts, tz_offset)` of a packed moment."""
+    code = moment.bitwiseAND(_NO_OFFSET)
+    minutes = code - (1 << OFFSET_BITS - 1)
+    size = F.abs(minutes)
+    two = [F.lpad(part.cast("string"), 2, "0") for part in (F.floor(size / 60), size % 60)]
+    return F.struct(
+        F.timestamp_seconds(F.shiftright(moment, POSITION_BITS + OFFSET_BITS)).alias("ts"),
+        F.when(code != _NO_OFFSET, F.concat(
+            F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")), two[0], F.lit(":"), two[1]))
+        .alias("tz_offset"))
+
+
 def group_profile(df: DataFrame, keys: list[str], lists: dict[str, tuple[Column, int | None]]
                   ) -> DataFrame:
     """Basic statistics and several top lists of every group in one pass over the input.
 
-    Each entry is spread into one row per list plus one for the group itself, so the input
-    is read and shuffled once instead of once per list. When the input is already
-    partitioned by a subset of `keys`, no further shuffle happens. Columns: `n`, `first`
-    and `last` (struct of ts, line and offset; `last` is the earliest line at the latest
-    time, `last_entry` the latest line), `suspicious_query`, `auth_failures`,
-    `distinct_<list>`, and one array of `(rank, value, n)` per list.
+    For groups inside a batch: `position` is an entry's place in its batch by time, so that
+    a first occurrence is one number and all counting stays in hash aggregates. Each entry
+    is spread into one row per list plus one for the group itself; the input is read and
+    shuffled once instead of once per list, and not again when it is already partitioned by
+    a subset of `keys`. What is gathered per group is bounded by the batch size. Columns:
+    `n`, `first`, `last` (earliest entry at the latest time), `last_entry` (each a struct of
+    `ts` and `tz_offset`), `suspicious_query`, `auth_failures`, `distinct_<list>`, and one
+    array of `(value, n)` per list, most frequent first.
     """
-    attributes = [F.struct(F.lit("").alias("list"), F.lit("").alias("value"))] + [
-        F.struct(F.lit(name).alias("list"), value.cast("string").alias("value"))
-        for name, (value, _) in lists.items()]
+    attributes = [F.struct(F.lit(0).alias("list"), F.lit("").alias("value"))] + [
+        F.struct(F.lit(i).alias("list"), value.cast("string").alias("value"))
+        for i, (value, _) in enumerate(lists.values(), 1)]
+    position = F.col("position")
     counted = (df.select(
-        *keys, "ts", "line_number", "tz_offset",
-        text.group_suspicious_query(F.col("query_string")).alias("_suspicious"),
-        F.coalesce(F.col("status_code").isin(401, 403), F.lit(False)).alias("_auth"),
+        *keys, _moment(position).alias("_moment"),
+        _moment(MAX_POSITIONS - 1 - position).alias("_reverse"),
+        text.group_suspicious_query(F.col("query_string")).cast("int").alias("_suspicious"),
+        F.coalesce(F.col("status_code").isin(401, 403), F.lit(False)).cast("int").alias("_auth"),
         F.inline(F.array(*attributes)))
         .filter(F.col("value").isNotNull())
         .groupBy(*keys, "list", "value")
-        .agg(F.count(F.lit(1)).alias("n"),
-             F.min(F.struct("ts", "line_number", "tz_offset")).alias("_first"),
-             F.max(F.struct("ts", (-F.col("line_number")).alias("line_number"), "tz_offset"))
-             .alias("_last"),
-             F.max(F.struct("ts", "line_number", "tz_offset")).alias("_final"),
-             F.bool_or("_suspicious").alias("_suspicious"),
-             F.count_if("_auth").alias("_auth")))
-    window = Window.partitionBy(*keys, "list")
-    ranked = (counted
-              .withColumn("rank", F.row_number().over(
-                  window.orderBy(F.desc("n"), "_first.ts", "_first.line_number")))
-              .withColumn("_distinct", F.count(F.lit(1)).over(window)))
-    wanted = F.col("list") == ""
-    for name, (_, k) in lists.items():
-        mine = F.col("list") == name
-        wanted = wanted | (mine if k is None else mine & (F.col("rank") <= k))
-    own = F.col("list") == ""
-    item = F.struct("rank", "value", "n")
-    return ranked.filter(wanted).groupBy(*keys).agg(
-        F.max(F.when(own, F.col("n"))).alias("n"),
-        F.max(F.when(own, F.col("_first"))).alias("first"),
-        F.max(F.when(own, F.col("_last"))).alias("last"),
-        F.max(F.when(own, F.col("_final"))).alias("last_entry"),
-        F.bool_or(F.when(own, F.col("_suspicious"))).alias("suspicious_query"),
-        F.max(F.when(own, F.col("_auth"))).alias("auth_failures"),
-        *[F.coalesce(F.max(F.when(F.col("list") == name, F.col("_distinct"))), F.lit(0))
-          .alias(f"distinct_{name}") for name in lists],
-        *[F.array_sort(F.collect_list(F.when(F.col("list") == name, item))).alias(name)
-          for name in lists])
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_moment").alias("first"),
+             F.max("_reverse").alias("last"), F.max("_moment").alias("last_entry"),
+             F.max("_suspicious").alias("suspicious"), F.sum("_auth").alias("auth")))
+    item = F.struct("list", (-F.col("n")).alias("order"), "first", "value", "n", "last",
+                    "last_entry", "suspicious", "auth")
+    gathered = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    own = F.get("_items", F.lit(0))
+
+    def listed(index: int) -> Column:
+        return F.filter("_items", lambda i: i["list"] == index)
+
+    def shown(index: int, k: int | None) -> Column:
+        rows = listed(index) if k is None else F.slice(listed(index), 1, k)
+        return F.transform(rows, lambda i: F.struct(i["value"].alias("value"), i["n"].alias("n")))
+
+    return gathered.select(
+        *keys, own["n"].alias("n"), _unpack(own["first"]).alias("first"),
+        _unpack(own["last"]).alias("last"), _unpack(own["last_entry"]).alias("last_entry"),
+        (own["suspicious"] > 0).alias("suspicious_query"), own["auth"].alias("auth_failures"),
+        *[F.size(listed(i)).cast("bigint").alias(f"distinct_{name}")
+          for i, name in enumerate(lists, 1)],
+        *[shown(i, k).alias(name) for i, (name, (_, k)) in enumerate(lists.items(), 1)])

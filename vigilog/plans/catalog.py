@@ -962,7 +962,9 @@ def stream_group_stats(spark, d):
 
 @query
 def stream_count_batches(spark, d):
-    return drain(jobs.count_batches(live(spark, d)), spark).select("batch_id", "line_number")
+    root = f"{scratch_root(spark)}/batches-{uuid.uuid4().hex}"
+    jobs.flush_batches(live(spark, d), root, f"{root}/state", trigger=ONCE).awaitTermination()
+    return jobs.full_batches(spark, root).select("batch_id", "line_number")
 
 
 @query

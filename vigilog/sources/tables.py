@@ -110,7 +110,14 @@ def inspect_samples(collections: dict[str, DataFrame], k: int = 5,
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not stored yet, each key once: a replayed batch adds nothing."""
+    """Rows whose key is not stored yet, each key once: a replayed batch adds nothing.
+
+    A key always has the same ingest date, so only the stored dates the new rows span are read.
+    """
+    if "ingest_date" in rows.columns:
+        day = F.col("ingest_date")
+        stored = stored.filter(day.between(rows.agg(F.min("ingest_date")).scalar(),
+                                           rows.agg(F.max("ingest_date")).scalar()))
     return rows.dropDuplicates([key]).join(stored.select(key), key, "left_anti").select(
         *rows.columns)
 

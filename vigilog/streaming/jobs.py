@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigilog.config import EngineConfig
 from vigilog.functions import text
 from vigilog.functions.embedding import EmbedderFactory
 from vigilog.operators.filtering import keep_entries
 from vigilog.operators.parsing import parse_log
-from vigilog.sources.tables import TableStore, individual_rows, new_rows
+from vigilog.sources.numbering import rank_lines
+from vigilog.sources.tables import TableStore, individual_rows
 
 
 def accepted(lines: DataFrame, config: EngineConfig | None = None) -> DataFrame:
@@ -47,59 +46,49 @@ def write_parquet(df: DataFrame, path: str, checkpoint: str, trigger: dict | Non
             .trigger(**(trigger or {"processingTime": "1 second"})).start())
 
 
-COUNTED = ("source STRING, batch_id BIGINT, line_number BIGINT, ts TIMESTAMP, tz_offset STRING, "
-           "client_ip STRING, method STRING, path STRING, query_string STRING, status_code INT, "
-           "user_agent STRING, referer STRING, raw_line STRING")
-_CARRIED = [c.strip().split(" ")[0] for c in COUNTED.split(",")][2:]
+def flush_batches(entries: DataFrame, root: str, checkpoint: str, size: int = 50,
+                  on_batches: Callable[[DataFrame, int], None] | None = None,
+                  trigger: dict | None = None) -> StreamingQuery:
+    """Hand on the entries of full batches: a source's batch is full at `size` entries.
 
-
-def count_batches(entries: DataFrame, size: int = 50) -> DataFrame:
-    """Entries of full batches: a source's batch is emitted once `size` entries have arrived.
-
-    State per source: the next batch number and fewer than `size` waiting entries. Every
-    source is its own key, so many sources run in parallel; entries of one micro-batch are
-    taken in line order.
+    Every micro-batch ranks its entries together with the few (fewer than `size` per source)
+    left waiting by the one before. The ranking is the distributed one, so a source that
+    sends most of the lines is still spread over many tasks. What a micro-batch leaves behind
+    is one folder named by its number, which a replay overwrites. `on_batches` gets the
+    entries of the batches that just became full.
     """
-    schema = "batch_id BIGINT, " + ", ".join(
-        part.strip().replace(" ", " ARRAY<", 1) + ">" for part in COUNTED.split(",")[2:])
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, waiting = 0, []
-        if state.exists:
-            number, *columns = state.get
-            if len(columns[0]):
-                waiting = [pd.DataFrame(dict(zip(_CARRIED, map(list, columns))), dtype=object)]
-        arrived = pd.concat(list(frames)).sort_values("line_number")
-        rows = pd.concat([*waiting, arrived[_CARRIED].astype(object)], ignore_index=True)
-        full = len(rows) // size
-        if full:
-            out = rows.iloc[:full * size].copy()
-            out.insert(0, "batch_id", number + out.index.to_numpy() // size)
-            out.insert(0, "source", key[0])
-            yield _typed(out)
-        rest = rows.iloc[full * size:]
-        state.update((number + full, *[_plain(rest[c]) for c in _CARRIED]))
-
-    return entries.select("source", *_CARRIED).groupBy("source").applyInPandasWithState(
-        run, COUNTED, schema, "append", GroupStateTimeout.NoTimeout)
-
-
-def _plain(column: pd.Series) -> list:
-    values = []
-    for value in column.tolist():
-        if value is None or value is pd.NaT or value != value:
-            values.append(None)
+    def write(rows: DataFrame, epoch: int) -> None:
+        spark = rows.sparkSession
+        arrived, done = rows, None
+        if epoch > 0:
+            before = spark.read.parquet(f"{root}/ranked/epoch={epoch - 1}")
+            arrived = before.filter(~F.col("_full")).select(*rows.columns).unionByName(rows)
+            done = spark.read.parquet(f"{root}/done/epoch={epoch - 1}")
+        ranked = rank_lines(arrived, "_rn", "_rows")
+        if done is None:
+            ranked = ranked.withColumn("_done", F.lit(0).cast("bigint"))
         else:
-            values.append(value.to_pydatetime() if isinstance(value, pd.Timestamp) else value)
-    return values
+            ranked = ranked.join(done.withColumnRenamed("batches", "_done"), "source", "left")
+        turn = F.floor(F.col("_rn") / size)
+        (ranked.withColumn("batch_id", F.coalesce("_done", F.lit(0)) + turn)
+         .withColumn("_full", (turn + 1) * size <= F.col("_rows"))
+         .select(*rows.columns, "batch_id", "_full")
+         .write.mode("overwrite").parquet(f"{root}/ranked/epoch={epoch}"))
+        full = spark.read.parquet(f"{root}/ranked/epoch={epoch}").filter("_full").drop("_full")
+        counts = full.groupBy("source").agg((F.max("batch_id") + 1).alias("batches"))
+        if done is not None:
+            counts = counts.unionByName(done).groupBy("source").agg(
+                F.max("batches").alias("batches"))
+        counts.write.mode("overwrite").parquet(f"{root}/done/epoch={epoch}")
+        if on_batches:
+            on_batches(full, epoch)
+
+    return start(entries, write, checkpoint, trigger)
 
 
-def _typed(rows: pd.DataFrame) -> pd.DataFrame:
-    rows["ts"] = pd.to_datetime(rows["ts"])
-    for name in ("batch_id", "line_number"):
-        rows[name] = rows[name].astype("int64")
-    rows["status_code"] = rows["status_code"].astype("Int32")
-    return rows
+def full_batches(spark: SparkSession, root: str) -> DataFrame:
+    """Entries of all batches `flush_batches` has completed so far."""
+    return spark.read.parquet(f"{root}/ranked").filter("_full").drop("_full", "epoch")
 
 
 def recent_stats(entries: DataFrame, window: str = "5 minutes", slide: str | None = None,
@@ -134,25 +123,23 @@ def split_late(entries: DataFrame, on_time_path: str, late_path: str, marks_path
                ) -> StreamingQuery:
     """Write entries to two tables: in time, and later than the newest seen minus the delay.
 
-    The newest time per source of earlier micro-batches is one small row per micro-batch and
-    source in the marks table. Output is written per micro-batch folder, so a replay replaces
-    its own files.
+    The newest time per source so far is one small folder per micro-batch. Output is written
+    per micro-batch folder, so a replay replaces its own files.
     """
-    def write(rows: DataFrame, batch_id: int) -> None:
+    def write(rows: DataFrame, epoch: int) -> None:
         spark = rows.sparkSession
-        spark.createDataFrame([], "source STRING, newest BIGINT, _batch BIGINT").write.mode(
-            "append").parquet(f"{marks_path}/_batch_start=0")
-        marks = (spark.read.schema("source STRING, newest BIGINT, _batch BIGINT")
-                 .option("recursiveFileLookup", "true").parquet(marks_path)
-                 .filter(F.col("_batch") < batch_id)
-                 .groupBy("source").agg(F.max("newest").alias("_newest")))
-        marked = rows.join(marks, "source", "left").withColumn("_late", F.coalesce(
-            F.unix_seconds("ts") < F.col("_newest") - delay_seconds, F.lit(False)))
-        for path, flag in ((on_time_path, False), (late_path, True)):
-            (marked.filter(F.col("_late") == flag).drop("_late", "_newest")
-             .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
-        (rows.groupBy("source").agg(F.max(F.unix_seconds("ts")).alias("newest"))
-         .withColumn("_batch", F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").parquet(f"{marks_path}/mark={batch_id}"))
+        newest = rows.groupBy("source").agg(F.max(F.unix_seconds("ts")).alias("newest"))
+        if epoch > 0:
+            before = spark.read.parquet(f"{marks_path}/epoch={epoch - 1}")
+            marked = rows.join(before, "source", "left")
+            newest = newest.unionByName(before).groupBy("source").agg(
+                F.max("newest").alias("newest"))
+        else:
+            marked = rows.withColumn("newest", F.lit(None).cast("bigint"))
+        late = F.coalesce(F.unix_seconds("ts") < F.col("newest") - delay_seconds, F.lit(False))
+        for path, wanted in ((on_time_path, ~late), (late_path, late)):
+            (marked.filter(wanted).select(*rows.columns)
+             .write.mode("overwrite").parquet(f"{path}/epoch={epoch}"))
+        newest.write.mode("overwrite").parquet(f"{marks_path}/epoch={epoch}")
 
     return start(entries, write, checkpoint, trigger)
