@@ -48,6 +48,10 @@ def test_store(spark, folder):
     kept = store.read("individual_logs").count()
     assert kept == rows.filter(F.col("ts") >= F.timestamp_seconds(
         F.unix_seconds(newest) - 300)).count() and 0 < kept < 120
+    assert "PartitionFilters: [isnotnull(ingest_date" in store.read(
+        "individual_logs")._jdf.queryExecution().executedPlan().toString()
+    store.compact("individual_logs")
+    assert store.read("individual_logs").count() == kept
     store.truncate()
     assert [r.n for r in store.counts().collect()] == [0, 0, 0, 0]
 

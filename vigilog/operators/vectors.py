@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QueryVectors = list[tuple[str, Sequence[float]]]
-MAX_QUERIES = 10_000
+MAX_QUERIES = 1_000
 
 
 def query_list(queries: DataFrame, key: str, vector: str) -> QueryVectors:
-    """Query vectors as a list; refuses sets too large to ship to every task."""
+    """Query vectors as a list; refuses sets too large to ship to every task.
+
+    A thousand vectors of 1,024 numbers are about 10 MB.
+    """
     rows = (queries.select(F.col(key).cast("string"), vector).orderBy(key)
             .limit(MAX_QUERIES + 1).collect())
     if len(rows) > MAX_QUERIES:

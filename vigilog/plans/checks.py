@@ -328,3 +328,11 @@ check("stream_ingest", "SELECT id, line_number, document FROM log_ids")
 check("stream_count_batches", "SELECT batch_id, line_number FROM batched")
 check("stream_dedup", "SELECT concat('access.log#', line_number) AS id, ts FROM kept")
 check("stream_ttl", "SELECT id, ts FROM log_ids WHERE ts >= (SELECT max(ts) FROM kept) - 1800")
+check("stream_group_stats", f"""SELECT CAST(ts // 300 * 300 AS BIGINT) AS window_start, group_id, count(*) AS n,
+  count(*) FILTER (status_code IN (401, 403)) AS auth_failures
+  FROM (SELECT *, {o._GROUP} AS group_id FROM kept)
+  WHERE ts // 300 * 300 + 300 <= (SELECT max(ts) FROM kept) - 600 GROUP BY 1, 2""")
+check("stream_late_data", """SELECT line_number, coalesce(ts < max(newest) OVER (
+    ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600, false) AS late FROM (
+  SELECT line_number, ts, part, max(ts) OVER (PARTITION BY part) AS newest FROM (
+    SELECT line_number, ts, line_number // ((SELECT max(line_number) FROM log) // 4 + 1) AS part FROM kept))""")

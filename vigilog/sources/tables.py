@@ -125,21 +125,30 @@ def new_rows(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 class TableStore:
     """Parquet tables below one root, partitioned by `ingest_date` where they have it.
 
-    A table is changed by writing a new version; `_versions` records which one is current.
-    Appends go into the current version.
+    A table is replaced by writing a new version; `_versions` records which one is current.
+    Appends go into the current version. Expiring rows records a cutoff in `_cutoffs`; readers
+    skip older dates and rows, and `compact` removes them from storage.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _version(self, name: str) -> int:
+    def _note(self, kind: str, name: str, version: int, value: Column) -> None:
+        (self.spark.range(1).select(F.lit(name).alias("name"), F.lit(version).alias("version"),
+                                    value.cast("bigint").alias("value"))
+         .write.mode("append").parquet(f"{self.root}/{kind}"))
+
+    def _noted(self, kind: str, wanted: Column) -> int | None:
+        """Largest value noted so far (a few rows per table ever)."""
         try:
-            seen = self.spark.read.schema("name STRING, version INT").parquet(
-                f"{self.root}/_versions")
+            notes = self.spark.read.schema("name STRING, version INT, value BIGINT").parquet(
+                f"{self.root}/{kind}")
         except AnalysisException:
-            return 0
-        return seen.filter(F.col("name") == name).agg(
-            F.coalesce(F.max("version"), F.lit(0))).first()[0]
+            return None
+        return notes.filter(wanted).agg(F.max("value")).first()[0]
+
+    def _version(self, name: str) -> int:
+        return self._noted("_versions", F.col("name") == name) or 0
 
     def _path(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/v{version}"
@@ -158,24 +167,35 @@ class TableStore:
         self.append(name, new_rows(rows, self.read(name), KEYS[name]))
 
     def read(self, name: str) -> DataFrame:
+        version = self._version(name)
         try:
-            return self.spark.read.schema(TABLES[name]).parquet(
-                self._path(name, self._version(name)))
+            rows = self.spark.read.schema(TABLES[name]).parquet(self._path(name, version))
         except AnalysisException:
             return self.spark.createDataFrame([], TABLES[name])
+        cutoff = self._noted("_cutoffs", (F.col("name") == name) & (F.col("version") == version))
+        if cutoff is None:
+            return rows
+        since = F.timestamp_seconds(F.lit(cutoff))
+        return rows.filter((F.col("ingest_date") >= F.to_date(since))
+                           & (F.col(TIMES.get(name, "ts")) >= since))
 
     def replace(self, name: str, rows: DataFrame) -> None:
         version = self._version(name) + 1
         self._write(rows, name, version)
-        (self.spark.range(1).select(F.lit(name).alias("name"), F.lit(version).alias("version"))
-         .write.mode("append").parquet(f"{self.root}/_versions"))
+        self._note("_versions", name, version, F.lit(version))
 
     def get(self, name: str, key: str) -> DataFrame:
         """Point lookup by id; the predicate reaches the Parquet scan."""
         return self.read(name).filter(F.col(KEYS[name]) == key)
 
     def expire(self, name: str, as_of: Column, max_age: timedelta) -> None:
-        self.replace(name, retained(self.read(name), as_of, max_age, TIMES.get(name, "ts")))
+        """Drop rows older than `max_age`; whatever their number, this writes one row."""
+        cutoff = F.unix_seconds(as_of) - int(max_age.total_seconds())
+        self._note("_cutoffs", name, self._version(name), cutoff)
+
+    def compact(self, name: str) -> None:
+        """Rewrite a table without its expired rows."""
+        self.replace(name, self.read(name))
 
     def truncate(self, *names: str) -> None:
         for name in names or tuple(TABLES):
