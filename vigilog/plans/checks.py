@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from vigilog.functions.text import SUSPICIOUS_QUERY
-from vigilog.operators.retrieval import SCAN_PRESETS, THREAT_QUERIES
+from vigilog.operators.retrieval import SCAN_PRESETS
 from vigilog.plans import oracle as o
 
 ORACLE: dict[str, str] = {}

@@ -16,7 +16,6 @@ from vigilog.operators.rules import PATH_TRAVERSAL, SCRIPTED_AGENT, SQL_INJECTIO
 from vigilog.sources.logs import _SYNTHETIC
 
 CTES: dict[str, str] = {}
-ORACLE: dict[str, str] = {}
 NL = "chr(10)"
 STORED = ("parsed", "kept", "batched", "batch_threats", "log_distances", "group_distances",
           "chunk_table", "chunk_distances", "context")
