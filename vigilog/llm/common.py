@@ -81,6 +81,46 @@ def ids_of_pieces(texts: list, lookup: Callable[[str], bytes],
     return np.asarray(flat), upto[bounds]
 
 
+def word_hashes(texts: list, lower: bool, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a batch of texts, and where each text's words begin.
+
+    Words are the stretches between blanks, tabs and line ends; `lower` maps A-Z to a-z first.
+    Each distinct word of the batch is hashed once.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    plain = pa.array(["" if t is None else t for t in texts], pa.large_string())
+    plain = pc.replace_substring_regex(plain, r"[\t\n\v\f\r ]+", " ")
+    split = pc.split_pattern(pc.ascii_lower(plain) if lower else plain, " ")
+    coded = split.flatten().dictionary_encode()
+    codes = np.asarray(coded.indices)
+    distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter((xxh3_64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct))
+    solid = np.fromiter(map(bool, distinct), bool, len(distinct))[codes]
+    before = np.concatenate([[0], np.cumsum(solid)])
+    return hashes[codes][solid], before[np.asarray(split.offsets)]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers whose bits depend on all bits of the input."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: An odd multiplier; its powers weigh the words of a window by place.
+PLACE = 0x9E3779B97F4A7C15
+
+
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the `width` words from each place on (len(words) - width + 1 of them)."""
+    n = len(words) - width + 1
+    total = np.zeros(max(n, 0), np.uint64)
+    for i in range(width):
+        total += words[i:i + len(total)] * np.uint64(pow(PLACE, i + 1, 1 << 64))
+    return mix(total)
+
+
 def hex_digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

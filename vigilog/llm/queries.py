@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import bpe, chat, decontaminate, huffman, rules
+from vigilog.llm import bpe, chat, decontaminate, huffman, neighbours, rules, samples, toxicity
 from vigilog.llm.common import table
 from vigilog.session import scratch_root
 
@@ -23,12 +23,28 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, _tokenizer("byte_bpe_50k.json"), keep=["doc_id"])
 
 
+def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    space = neighbours.fit(docs, table(spark, sf_dir, "labels"))
+    return neighbours.score(docs, space, keep=["doc_id"]).select(
+        "doc_id", (samples.fold_of("doc_id", neighbours.FOLDS) == 1).alias("held_out"), "score",
+        neighbours.predicted().alias("predicted"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     order = rules.plan_from(docs).rules
     return rules.apply_rules(docs, order, keep=["doc_id"])
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", (samples.fold_of("doc_id", toxicity.FOLDS) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     imitation = "</s>[INST] ok [/INST]"
@@ -68,7 +84,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality_votes": op2_quality_votes,
     "op3_quality_rules": op3_quality_rules,
+    "op5_toxicity": op5_toxicity,
     "op7_chat": op7_chat,
     "op8_huffman_ids": op8_huffman_ids,
     "op9_decontamination": op9_decontamination,
