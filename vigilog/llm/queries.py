@@ -7,7 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import bpe, chat, decontaminate, huffman, neighbours, rules, samples, toxicity
+from vigilog.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    huffman,
+    minhash,
+    neighbours,
+    repeats,
+    rules,
+    samples,
+    toxicity,
+)
 from vigilog.llm.common import table
 from vigilog.session import scratch_root
 
@@ -45,6 +56,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     imitation = "</s>[INST] ok [/INST]"
@@ -82,13 +97,22 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n_hit > 0).alias("contaminated"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.groups(docs, width=4).select(
+        "doc_id", "n_shingles", "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_votes": op2_quality_votes,
     "op3_quality_rules": op3_quality_rules,
     "op5_toxicity": op5_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_chat": op7_chat,
     "op8_huffman_ids": op8_huffman_ids,
     "op9_decontamination": op9_decontamination,
+    "op10_minhash": op10_minhash,
 }
 ORACLE: dict[str, str] = {}
