@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few(keys: DataFrame, bound: int = 1_000_000) -> DataFrame:
+    """The keys, to be broadcast if they are few (8 or 16 MB), else to be joined by shuffling."""
+    return F.broadcast(keys) if keys.limit(bound + 1).count() <= bound else keys
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds: texts are long, so few rows make a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

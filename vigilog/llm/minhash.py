@@ -17,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import PLACE, mix, small_batches, window_hashes, word_hashes
+from vigilog.llm.common import PLACE, few, mix, small_batches, window_hashes, word_hashes
 from vigilog.llm.components import components
 from vigilog.session import materialize
 
 WIDTH = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
-#: Node ids that may be broadcast to pick texts (8 MB); more are joined by shuffling.
-BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(texts: list, width: int) -> list[np.ndarray]:
@@ -101,9 +99,8 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, ids: DataFrame) -> D
                 [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())],
                 ["id", "shingles"])
 
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
-    return texts.join(F.broadcast(ids) if few else ids, "id").mapInArrow(
+    return texts.join(few(ids), "id").mapInArrow(
         run, "id bigint, shingles binary")
 
 
@@ -205,5 +202,6 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     Columns stay as they are. Rows with a null id and texts without words all stay.
     """
     found = groups(docs, key, text, width, percent)
-    out = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(out, key, "left_anti")
+    out = materialize(found.where(F.col(key) != F.col("component_id")).select(key).distinct(),
+                      "copies")
+    return docs.join(few(out), key, "left_anti").select(*docs.columns)

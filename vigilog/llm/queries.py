@@ -18,6 +18,7 @@ from vigilog.llm import (
     rules,
     samples,
     toxicity,
+    webpages,
 )
 from vigilog.llm.common import table
 from vigilog.session import scratch_root
@@ -48,6 +49,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(docs, order, keep=["doc_id"])
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webpages.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -108,6 +113,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_votes": op2_quality_votes,
     "op3_quality_rules": op3_quality_rules,
+    "op4_html": op4_html,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_chat": op7_chat,

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from vigilog.llm.common import extend, hex_digest, small_batches, window_hashes, word_hashes
+from vigilog.llm.common import extend, few, hex_digest, small_batches, window_hashes, word_hashes
 from vigilog.session import materialize
 
 WIDTH = 35
@@ -34,8 +34,6 @@ CORE = 8
 GROUP_SEGMENTS = 20_000
 #: Words of the groups that are refined together.
 TASK_WORDS = 1 << 20
-#: Document keys that may be broadcast to pick texts (16 MB); more are joined by shuffling.
-BROADCAST_KEYS = 1_000_000
 
 
 class Segments:
@@ -91,11 +89,6 @@ def _anchors(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "key bigint, doc bigint, first int")
 
 
-def _few(keys: DataFrame) -> DataFrame:
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return F.broadcast(keys) if few else keys
-
-
 def _segments(docs: DataFrame, width: int) -> DataFrame:
     """(key, doc, version, first, windows, digest, words) of segments whose anchor recurs."""
     anchors = _anchors(docs, width)
@@ -104,7 +97,7 @@ def _segments(docs: DataFrame, width: int) -> DataFrame:
     wanted = places.groupBy(F.col("doc").alias("_doc")).agg(
         F.collect_set("first").alias("firsts"))
     same = F.col("doc").eqNullSafe(F.col("_doc"))
-    flagged = _few(places.select(F.col("doc").alias("_doc")).distinct())
+    flagged = few(places.select(F.col("doc").alias("_doc")).distinct())
     rows = (docs.join(flagged, same, "left_semi").join(wanted, same)
             .select("doc", "version", "text", "firsts"))
 
@@ -267,7 +260,7 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                        F.col(text).alias("text"))
     runs = materialize(find_repeats(rows, width), "repeats").select(
         F.col("doc").alias("_doc"), F.col("version").alias("_version"), "runs")
-    keys = _few(runs.select("_doc", "_version"))
+    keys = few(runs.select("_doc", "_version"))
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                          F.col(key).cast("bigint").alias("_id"), F.xxhash64(text).alias("_hash"))
     same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_version"))
