@@ -244,3 +244,23 @@ def test_nearest_against_brute_force(spark):
     got = {(r.query_id, r.id) for r in hashed.collect()}
     want = {(n, i) for n, hits in exact.items() for _, i in hits}
     assert len(got & want) / len(want) >= 0.8
+
+
+def test_many_query_vectors_are_searched_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    corpus = rng.normal(size=(300, 8))
+    wanted = rng.normal(size=(2500, 8))
+    frame = lambda m, a, b: spark.createDataFrame(
+        [(i, [float(x) for x in row]) for i, row in enumerate(m)], f"{a} BIGINT, {b} ARRAY<DOUBLE>")
+    found = vectors.nearest(frame(corpus, "id", "embedding"), frame(wanted, "query_id", "vector"), 1)
+    got = {int(r.query_id): r.id for r in found.collect()}
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    assert got == dict(enumerate((unit(wanted) @ unit(corpus).T).argmax(1).tolist()))
+
+
+def test_batches_may_be_large(spark):
+    df, _ = make_log(spark, 200)
+    batched = batching.assign_batches(df, 100_000, include_partial=True)
+    assert batching.batch_profile(batched).agg({"n": "sum"}).first()[0] == df.count()

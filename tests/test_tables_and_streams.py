@@ -122,7 +122,7 @@ def test_model_plug_ins(spark):
 
     def scorer():
         def score(texts):
-            if "raw a 0\n" in texts[0]:
+            if any("raw a 0\n" in t for t in texts):
                 raise RuntimeError("model is away")
             return ['{"threats": [{"type": "bot", "source_ips": ["10.0.0.0"]}]}'] * len(texts)
         return score
@@ -132,10 +132,13 @@ def test_model_plug_ins(spark):
     done = analysis.analyze_batches(df, embedder=embedder, scorer=scorer, always_record=True)
     runs = {r.run_id: r for r in done.runs.collect()}
     assert set(runs) == {"a#0", "a#1", "b#0", "b#1"}
-    failed = [r for r in runs.values() if r.status == "error"]
-    assert all(r.error_message == "model is away" and r.threats_found == 0 for r in failed)
+    failed = {k: r for k, r in runs.items() if r.status == "error"}
+    assert set(failed) == {"a#0"}
+    assert failed["a#0"].error_message == "model is away" and failed["a#0"].threats_found == 0
     good = [r for r in runs.values() if r.status == "success"]
-    assert good and all(r.threats_found == 1 for r in good)
+    assert len(good) == 3 and all(r.threats_found == 1 for r in good)
+    told = {r.batch_id: r.document for r in done.analysis_summaries.collect() if r.source == "a"}
+    assert "Analysis failed: model is away" in told[0] and "failed" not in told[1]
     assert done.alerts.count() == len(good)
     assert done.prompts.filter(F.col("prompt").contains("Reply with one JSON object")).count() == 4
 
@@ -153,3 +156,24 @@ def test_scores_keep_going_after_a_failure(spark):
     rows = {r.k: r for r in prompts.score_prompts(asked, scorer, ["k"], batch_rows=1).collect()}
     assert rows[3].error == "no" and rows[3].reply == ""
     assert all(rows[k].error is None for k in rows if k != 3)
+
+
+def test_a_wrong_number_of_replies_is_an_error(spark):
+    asked = spark.createDataFrame([(i, f"p{i}") for i in range(5)], "k INT, prompt STRING").coalesce(1)
+
+    def scorer():
+        return lambda texts: ["{}"] * (len(texts) if "p2" not in texts else len(texts) + 1)
+
+    rows = {r.k: r for r in prompts.score_prompts(asked, scorer, ["k"]).collect()}
+    assert rows[2].error == "2 replies to 1 prompts"
+    assert all(rows[k].error is None and rows[k].reply == "{}" for k in rows if k != 2)
+
+
+def test_tail_takes_the_last_lines_of_every_source(spark):
+    from vigilog.sources.logs import tail
+
+    lines = spark.createDataFrame(
+        [("a", i, f"a{i}") for i in range(1, 31)] + [("b", i, f"b{i}") for i in range(1, 6)],
+        "source STRING, line_number BIGINT, value STRING")
+    got = {(r.source, r.line_number) for r in tail(lines, 10).collect()}
+    assert got == {("a", i) for i in range(21, 31)} | {("b", i) for i in range(1, 6)}

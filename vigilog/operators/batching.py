@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.functions import text
-from vigilog.operators.profiles import MAX_POSITIONS, group_profile, render_top
+from vigilog.operators.profiles import group_profile, render_top
 from vigilog.sources.numbering import rank_lines
 
 BATCH = ["source", "batch_id"]
@@ -21,8 +21,8 @@ def assign_batches(entries: DataFrame, size: int = 50, include_partial: bool = F
     The last, incomplete batch of a source is dropped unless `include_partial`. The result
     is partitioned by batch, so all later per-batch work runs without another shuffle.
     """
-    if not 0 < size <= MAX_POSITIONS:
-        raise ValueError(f"batch size must be between 1 and {MAX_POSITIONS}")
+    if size < 1:
+        raise ValueError("a batch has one entry at least")
     ranked = rank_lines(entries, "_rn", "_rows").withColumn(
         "batch_id", F.floor(F.col("_rn") / size))
     if not include_partial:
@@ -130,11 +130,13 @@ def batch_profile(batched: DataFrame) -> DataFrame:
     return group_profile(batched, BATCH, lists)
 
 
-def analysis_summary(profile: DataFrame, threats: DataFrame) -> DataFrame:
+def analysis_summary(profile: DataFrame, threats: DataFrame,
+                     errors: DataFrame | None = None) -> DataFrame:
     """One summary text per batch from its profile and the threats found in it.
 
     `threats` has one row per threat: batch keys, `threat_no` (its order in the reply),
-    `type`, `description`, `source_ips`. Addresses are listed in sorted order.
+    `type`, `description`, `source_ips`. Addresses are listed in sorted order. `errors` (batch
+    keys, `error`) names the batches whose analysis failed; their summary says so.
     """
     by_type = (threats.groupBy(*BATCH, F.coalesce("type", F.lit("unknown")).alias("type"))
                .agg(F.count(F.lit(1)).alias("n"), F.min("threat_no").alias("_first"))
@@ -154,6 +156,8 @@ def analysis_summary(profile: DataFrame, threats: DataFrame) -> DataFrame:
     joined = (profile.join(by_type, BATCH, "left").join(addresses, BATCH, "left")
               .join(described, BATCH, "left")
               .withColumn("threats_found", F.coalesce("threats_found", F.lit(0))))
+    joined = (joined.withColumn("error", F.lit(None).cast("string")) if errors is None else
+              joined.join(errors.select(*BATCH, "error"), BATCH, "left"))
     c = F.col
     found = F.concat_ws(
         "\n",
@@ -173,6 +177,7 @@ def analysis_summary(profile: DataFrame, threats: DataFrame) -> DataFrame:
         F.concat(F.lit("Top IPs: "), render_top(c("top_ips"))),
         F.concat(F.lit("Status Codes: "), render_top(c("top_status"))),
         F.concat(F.lit("Top Paths: "), render_top(c("top_paths"))),
-        F.when(c("threats_found") > 0, found).otherwise(calm))
+        F.when(c("error").isNotNull(), F.concat(F.lit("\nAnalysis failed: "), c("error")))
+        .when(c("threats_found") > 0, found).otherwise(calm))
     return joined.withColumn("document", F.when(c("n") > 0, document).otherwise(
         F.lit("Empty analysis batch")))

@@ -33,45 +33,11 @@ def render_top(items: Column, pattern: str = "%s (%s)") -> Column:
         F.lit(head), i["value"], F.lit(middle), i["n"].cast("string"), F.lit(tail))), ", ")
 
 
-# A moment inside a batch as one number that sorts by time, then position, and still carries
-# the offset of its log line: seconds, 16 bits of position, 12 bits of offset.
-POSITION_BITS, OFFSET_BITS = 16, 12
-MAX_POSITIONS = 1 << POSITION_BITS
-_NO_OFFSET = (1 << OFFSET_BITS) - 1
-
-
-def _offset_code(tz_offset: Column) -> Column:
-    minutes = (F.substring(tz_offset, 2, 2).cast("int") * 60
-               + F.substring(tz_offset, 5, 2).cast("int"))
-    signed = F.when(F.startswith(tz_offset, F.lit("-")), -minutes).otherwise(minutes)
-    return F.coalesce(signed + (1 << OFFSET_BITS - 1), F.lit(_NO_OFFSET)).cast("bigint")
-
-
-def _moment(position: Column) -> Column:
-    seconds = F.shiftleft(F.unix_seconds("ts"), POSITION_BITS + OFFSET_BITS)
-    return seconds + F.shiftleft(position.cast("bigint"), OFFSET_BITS) + _offset_code(
-        F.col("tz_offset"))
-
-
-def _unpack(moment: Column) -> Column:
-    """`(ts, tz_offset)` of a packed moment."""
-    code = moment.bitwiseAND(_NO_OFFSET)
-    minutes = code - (1 << OFFSET_BITS - 1)
-    size = F.abs(minutes)
-    two = [F.lpad(part.cast("string"), 2, "0") for part in (F.floor(size / 60), size % 60)]
-    return F.struct(
-        F.timestamp_seconds(F.shiftright(moment, POSITION_BITS + OFFSET_BITS)).alias("ts"),
-        F.when(code != _NO_OFFSET, F.concat(
-            F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")), two[0], F.lit(":"), two[1]))
-        .alias("tz_offset"))
-
-
 def group_profile(df: DataFrame, keys: list[str], lists: dict[str, tuple[Column, int | None]]
                   ) -> DataFrame:
     """Basic statistics and several top lists of every group in one pass over the input.
 
-    For groups inside a batch: `position` is an entry's place in its batch by time, so that
-    a first occurrence is one number and all counting stays in hash aggregates. Each entry
+    For groups inside a batch: `position` is an entry's place in its batch by time. Each entry
     is spread into one row per list plus one for the group itself; the input is read and
     shuffled once instead of once per list, and not again when it is already partitioned by
     a subset of `keys`. What is gathered per group is bounded by the batch size. Columns:
@@ -82,10 +48,12 @@ def group_profile(df: DataFrame, keys: list[str], lists: dict[str, tuple[Column,
     attributes = [F.struct(F.lit(0).alias("list"), F.lit("").alias("value"))] + [
         F.struct(F.lit(i).alias("list"), value.cast("string").alias("value"))
         for i, (value, _) in enumerate(lists.values(), 1)]
-    position = F.col("position")
+    def moment(position: Column) -> Column:
+        return F.struct("ts", position.alias("position"), "tz_offset")
+
     counted = (df.select(
-        *keys, _moment(position).alias("_moment"),
-        _moment(MAX_POSITIONS - 1 - position).alias("_reverse"),
+        *keys, moment(F.col("position")).alias("_moment"),
+        moment(-F.col("position")).alias("_reverse"),
         text.group_suspicious_query(F.col("query_string")).cast("int").alias("_suspicious"),
         F.coalesce(F.col("status_code").isin(401, 403), F.lit(False)).cast("int").alias("_auth"),
         F.inline(F.array(*attributes)))
@@ -99,6 +67,9 @@ def group_profile(df: DataFrame, keys: list[str], lists: dict[str, tuple[Column,
     gathered = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     own = F.get("_items", F.lit(0))
 
+    def entry(found: Column) -> Column:
+        return F.struct(found["ts"].alias("ts"), found["tz_offset"].alias("tz_offset"))
+
     def listed(index: int) -> Column:
         return F.filter("_items", lambda i: i["list"] == index)
 
@@ -107,8 +78,8 @@ def group_profile(df: DataFrame, keys: list[str], lists: dict[str, tuple[Column,
         return F.transform(rows, lambda i: F.struct(i["value"].alias("value"), i["n"].alias("n")))
 
     return gathered.select(
-        *keys, own["n"].alias("n"), _unpack(own["first"]).alias("first"),
-        _unpack(own["last"]).alias("last"), _unpack(own["last_entry"]).alias("last_entry"),
+        *keys, own["n"].alias("n"), entry(own["first"]).alias("first"),
+        entry(own["last"]).alias("last"), entry(own["last_entry"]).alias("last_entry"),
         (own["suspicious"] > 0).alias("suspicious_query"), own["auth"].alias("auth_failures"),
         *[F.size(listed(i)).cast("bigint").alias(f"distinct_{name}")
           for i, name in enumerate(lists, 1)],

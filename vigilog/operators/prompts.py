@@ -17,8 +17,6 @@ from vigilog.schema import SEVERITIES, THREAT_TYPES
 Scorer = Callable[[list[str]], list[str]]
 ScorerFactory = Callable[[], Scorer]
 
-SYSTEM_PROMPT = "Find threats and attack patterns in the given web server logs."
-
 _REPLY_FORMAT = (
     '{"threats": [{"type": "<' + "|".join(THREAT_TYPES) + '>", "severity": "<'
     + "|".join(SEVERITIES) + '>", "confidence": <0.0-1.0>, "description": "<text>", '
@@ -93,20 +91,34 @@ def score_prompts(prompts: DataFrame, scorer: ScorerFactory, keys: list[str],
                   batch_rows: int = 16) -> DataFrame:
     """`(keys, reply, error, seconds)`: prompts sent to a model, built once per partition.
 
-    A failing call leaves its message in `error` and an empty reply; other rows go on.
+    A call fails by raising or by a wrong number of replies. The prompts of a failed call are
+    sent again one by one, so only those that fail alone have an `error` and an empty reply.
     """
+    def call(score: Scorer, texts: list[str]) -> list[str]:
+        replies = list(score(texts))
+        if len(replies) != len(texts):
+            raise ValueError(f"{len(replies)} replies to {len(texts)} prompts")
+        return replies
+
+    def alone(score: Scorer, prompt: str) -> tuple[str, str | None]:
+        try:
+            return call(score, [prompt])[0], None
+        except Exception as failure:  # one bad prompt must not end the job
+            return "", str(failure)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = scorer()
         for pdf in batches:
             for at in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[at:at + batch_rows]
+                texts = part["prompt"].tolist()
                 began = time.monotonic()
                 try:
-                    replies, error = score(part["prompt"].tolist()), None
-                except Exception as failure:  # one bad call must not end the job
-                    replies, error = [""] * len(part), str(failure)
+                    replies, errors = call(score, texts), [None] * len(texts)
+                except Exception:
+                    replies, errors = zip(*[alone(score, t) for t in texts], strict=True)
                 spent = (time.monotonic() - began) / len(part)
-                yield part[keys].assign(reply=replies, error=error, seconds=spent)
+                yield part[keys].assign(reply=list(replies), error=list(errors), seconds=spent)
 
     schema = T.StructType([prompts.schema[k] for k in keys] + [
         T.StructField("reply", T.StringType()), T.StructField("error", T.StringType()),

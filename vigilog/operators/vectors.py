@@ -1,13 +1,14 @@
 """Nearest neighbours by cosine distance: exact, and approximate by hashed directions.
 
-The query side is a short list of vectors (a handful of phrases or centroids). The corpus
-is scanned once: each task multiplies its Arrow batches with the query matrix and keeps its
+The query side is a short list of vectors (a handful of phrases) or a table, which is taken in
+blocks. The corpus is scanned once per block: each task multiplies its Arrow batches with the query matrix and keeps its
 own best `k`, so only `k` rows per query and task are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,20 +16,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilog.session import materialize
+
 QueryVectors = list[tuple[str, Sequence[float]]]
-MAX_QUERIES = 1_000
+#: Query vectors of one pass over the corpus, and of one product inside it.
+QUERIES_PER_PASS, QUERIES_PER_PRODUCT = 2_048, 256
 
 
-def query_list(queries: DataFrame, key: str, vector: str) -> QueryVectors:
-    """Query vectors as a list; refuses sets too large to ship to every task.
+def query_blocks(queries: DataFrame) -> Iterator[QueryVectors]:
+    """The rows `(query_id, vector)` in blocks that fit in a task; any number of them.
 
-    A thousand vectors of 1,024 numbers are about 10 MB.
+    Queries are dealt to blocks by hash and only one block is on the driver at a time (2,048
+    vectors of 1,024 numbers are about 20 MB).
     """
-    rows = (queries.select(F.col(key).cast("string"), vector).orderBy(key)
-            .limit(MAX_QUERIES + 1).collect())
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors: search them in several calls")
-    return [(row[0], row[1]) for row in rows]
+    keyed = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
+    blocks = -(-keyed.count() // QUERIES_PER_PASS)
+    if blocks > 1:
+        keyed = materialize(keyed.withColumn(
+            "block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+    for block in range(blocks):
+        part = keyed if blocks == 1 else keyed.filter(F.col("block") == block)
+        rows = part.select("query_id", "vector").orderBy("query_id").collect()
+        if rows:
+            yield [(row[0], row[1]) for row in rows]
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -58,7 +68,13 @@ def nearest_candidates(corpus: DataFrame, queries: QueryVectors, k: int,
     keys = [*group, "query_id"]
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        distance = np.round(1.0 - unit_rows(matrix_of(pdf["embedding"])) @ unit.T, 6) + 0.0
+        rows = unit_rows(matrix_of(pdf["embedding"]))
+        return pd.concat([scored(pdf, rows, at) for at in range(
+            0, len(unit), QUERIES_PER_PRODUCT)], ignore_index=True)
+
+    def scored(pdf: pd.DataFrame, vectors: np.ndarray, at: int) -> pd.DataFrame:
+        some = slice(at, at + QUERIES_PER_PRODUCT)
+        distance = np.round(1.0 - vectors @ unit[some].T, 6) + 0.0
         rows, width = distance.shape
         flat = distance.ravel()
         pick = np.arange(rows * width)
@@ -67,7 +83,7 @@ def nearest_candidates(corpus: DataFrame, queries: QueryVectors, k: int,
             pick = np.flatnonzero(distance <= limit)
         row, col = pick // width, pick % width
         part = {c: pdf[c].to_numpy()[row] for c in group}
-        return pd.DataFrame({**part, "query_id": np.array(names, dtype=object)[col],
+        return pd.DataFrame({**part, "query_id": np.array(names[some], dtype=object)[col],
                              "id": pdf["id"].to_numpy()[row], "distance": flat[pick]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,8 +113,15 @@ def best_k(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
             .filter(F.col("rank") <= k))
 
 
-def nearest(corpus: DataFrame, queries: QueryVectors, k: int) -> DataFrame:
-    """`(query_id, rank, id, distance)`: the `k` nearest corpus rows of every query, exact."""
+def nearest(corpus: DataFrame, queries: QueryVectors | DataFrame, k: int) -> DataFrame:
+    """`(query_id, rank, id, distance)`: the `k` nearest corpus rows of every query, exact.
+
+    A table of queries `(query_id, vector)` is searched block by block, one pass over the corpus
+    for each 2,048 queries.
+    """
+    if isinstance(queries, DataFrame):
+        parts = [nearest(corpus, block, k) for block in query_blocks(queries)]
+        return reduce(DataFrame.unionByName, parts) if parts else nearest(corpus, [], k)
     if k <= 0 or not queries:
         return nearest_candidates(corpus, queries or [("", [0.0])], 1).withColumn(
             "rank", F.lit(0).cast("bigint")).filter(F.lit(False))
@@ -133,7 +156,7 @@ def with_buckets(corpus: DataFrame, dim: int, tables: int = 8, bits: int = 6,
     return corpus.withColumn("buckets", run("embedding"))
 
 
-def nearest_hashed(indexed: DataFrame, queries: QueryVectors, k: int, tables: int = 8,
+def nearest_hashed(indexed: DataFrame, queries: QueryVectors | DataFrame, k: int, tables: int = 8,
                    bits: int = 6, seed: int = 7) -> DataFrame:
     """Approximate `nearest` over a corpus prepared by `with_buckets`.
 
@@ -141,6 +164,10 @@ def nearest_hashed(indexed: DataFrame, queries: QueryVectors, k: int, tables: in
     filter on the stored array, so the corpus is not shuffled and a crowded bucket only
     means more rows to score in place. All candidates are re-ranked exactly.
     """
+    if isinstance(queries, DataFrame):
+        parts = [nearest_hashed(indexed, block, k, tables, bits, seed)
+                 for block in query_blocks(queries)]
+        return reduce(DataFrame.unionByName, parts) if parts else nearest(indexed, [], k)
     matrix = np.array([vector for _, vector in queries], dtype=np.float64)
     planes = direction_planes(matrix.shape[1], tables, bits, seed)
     wanted = direction_buckets(matrix, planes, bits)

@@ -33,12 +33,6 @@ class Analysis:
     runs: DataFrame
 
 
-def batch_ends(batched: DataFrame) -> DataFrame:
-    """`(source, batch_id, ts, as_of)`: the time of the last entry of every batch."""
-    return (batched.groupBy(*BATCH).agg(F.max("ts").alias("ts"))
-            .withColumn("as_of", F.unix_seconds("ts")))
-
-
 def rule_findings(batched: DataFrame, limits: rules.Thresholds | None = None) -> DataFrame:
     """Rule findings per batch in the shape of a model's threats."""
     found = rules.find_threats(batched, limits, scope=BATCH)
@@ -145,7 +139,7 @@ def analyze_batches(entries: DataFrame, config: EngineConfig | None = None,
         prompt_table = materialize(prompts.context_prompt(batched, context), "prompts")
         found, replies = model_findings(prompt_table, scorer)
     summaries = materialize(
-        tables.summary_rows(batching.analysis_summary(profile, found), embedder), "summaries")
+        tables.summary_rows(batching.analysis_summary(profile, found, replies), embedder), "summaries")
     if scorer is None:
         context = materialize(context_of(summaries), "context")
         prompt_table = materialize(prompts.context_prompt(batched, context), "prompts")

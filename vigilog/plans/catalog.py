@@ -614,7 +614,8 @@ def centroids(spark, d):
              .groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
              .groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))),
                                                lambda p: p["x"]).alias("centroid")))
-    return vectors.query_list(found, "label", "centroid")
+    return found.select(F.col("label").cast("string").alias("query_id"),
+                        F.col("centroid").alias("vector"))
 
 
 @query

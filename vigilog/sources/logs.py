@@ -34,8 +34,14 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tail(lines: DataFrame, n: int = 100) -> DataFrame:
-    """The last `n` raw lines, before any parsing or filtering."""
-    return lines.orderBy(F.desc("line_number"), "source").limit(n)
+    """The last `n` raw lines of every source, before any parsing or filtering.
+
+    The rank limit is applied in each task before rows are shuffled, so at most `n` lines of a
+    source leave a task.
+    """
+    last = Window.partitionBy("source").orderBy(F.desc("line_number"))
+    return (lines.withColumn("_rank", F.row_number().over(last))
+            .filter(F.col("_rank") <= n).drop("_rank"))
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
