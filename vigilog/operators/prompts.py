@@ -55,34 +55,27 @@ def chunk_prompt(chunks: DataFrame) -> DataFrame:
 def context_prompt(batched: DataFrame, context: DataFrame) -> DataFrame:
     """One prompt per batch: retrieved context, then the batch's raw lines in time order."""
     limits = {"individual_logs": 10, "grouped_summaries": 5, "analysis_summaries": 3}
-    titles = {
-        "individual_logs": "## Recent Individual Logs (last 30 minutes)\n\n"
-                           "These are recent individual log entries for context:\n\n",
-        "grouped_summaries": "\n\n## Recent Group Summaries (last 30 minutes)\n\n"
-                             "These are summaries of recent grouped activity:\n\n",
-        "analysis_summaries": "\n\n## Previous Analysis Results\n\n"
-                              "Recent security analysis summaries:\n\n",
-    }
+    titles = {"individual_logs": "[entries before this batch]",
+              "grouped_summaries": "[groups before this batch]",
+              "analysis_summaries": "[what earlier batches showed]"}
     picked = [F.array_sort(F.collect_list(F.when(
         (F.col("kind") == kind) & (F.col("rank") <= limit), F.struct("rank", "document"))))
         .alias(kind) for kind, limit in limits.items()]
     found = context.groupBy(*BATCH).agg(*picked)
     lines = batched.groupBy(*BATCH).agg(F.array_sort(F.collect_list(
         F.struct("ts", "line_number", "raw_line"))).alias("_lines"))
-    parts = [F.when(F.size(kind) > 0, F.concat(F.lit(titles[kind]), F.array_join(
-        F.transform(kind, lambda d: d["document"]), "\n---\n"))) for kind in limits]
-    current = F.concat(
-        F.lit("\n\n## Current Logs to Analyze ("), F.size("_lines").cast("string"),
-        F.lit(" logs)\n\nAnalyze these logs for security threats:\n\n"),
-        F.array_join(F.transform("_lines", lambda x: x["raw_line"]), "\n"))
+    parts = [F.when(F.size(kind) > 0, F.concat(F.lit(f"{titles[kind]}\n"), F.array_join(
+        F.transform(kind, lambda d: d["document"]), "\n\n"))) for kind in limits]
+    current = F.concat(F.lit("[this batch: "), F.size("_lines").cast("string"), F.lit(" lines]\n"),
+                       F.array_join(F.transform("_lines", lambda x: x["raw_line"]), "\n"))
     return with_tokens(lines.join(found, BATCH, "left").select(
-        *BATCH, F.concat_ws("\n", *parts, current).alias("sections")))
+        *BATCH, F.concat_ws("\n\n", *parts, current).alias("sections")))
 
 
 def with_tokens(prompts: DataFrame) -> DataFrame:
     """Adds the whole `prompt` and its estimated number of tokens."""
     return (prompts.withColumn("prompt", F.concat_ws("\n", F.lit(
-        "Analyze the web server logs below for security threats.\n"),
+        "Here is part of a web server's access log. Which attacks does it show?\n"),
         F.col("sections"), F.lit(INSTRUCTIONS)))
         .withColumn("tokens", token_estimate(F.col("prompt"))))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilog.functions import text
 from vigilog.operators.batching import BATCH
@@ -45,9 +46,20 @@ def read_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
 def reply_threats(read: DataFrame, keys: list[str]) -> DataFrame:
     """One row per threat of every reply, numbered from 1 in reply order."""
     items = read.select(*keys, F.posexplode("threats").alias("_at", "_item"))
-    threat = F.from_json("_item", THREAT)
-    return (items.withColumn("t", threat)
-            .select(*keys, (F.col("_at") + 1).alias("threat_no"), "t.*"))
+    lists = [f.name for f in THREAT if isinstance(f.dataType, T.ArrayType)]
+    loose = T.StructType([T.StructField(f.name, T.StringType() if f.name in lists else f.dataType)
+                          for f in THREAT])
+
+    def listed(value: Column) -> Column:
+        """A list, or a list of the one text that stands in its place."""
+        return F.when(F.startswith(value, F.lit("[")), F.coalesce(
+            F.from_json(value, "ARRAY<STRING>"), F.array(value))).when(
+            value.isNotNull(), F.array(value))
+
+    return (items.withColumn("t", F.from_json("_item", loose))
+            .select(*keys, (F.col("_at") + 1).alias("threat_no"), *[
+                (listed(F.col("t")[f.name]) if f.name in lists else F.col("t")[f.name])
+                .alias(f.name) for f in THREAT]))
 
 
 def normalize(threats: DataFrame, alias_bot: bool = False) -> DataFrame:

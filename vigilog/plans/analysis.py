@@ -103,19 +103,22 @@ def analyze_batches(entries: DataFrame, config: EngineConfig | None = None,
                     embedder: EmbedderFactory | None = None,
                     scorer: prompts.ScorerFactory | None = None,
                     history: DataFrame | None = None, include_partial: bool = False,
-                    always_record: bool = False) -> Analysis:
+                    always_record: bool = False, batched: DataFrame | None = None) -> Analysis:
     """Analyse all batches of accepted entries as one set of joins and aggregations.
 
-    With rules, the summaries of earlier batches are known at once and serve as context. A
+    With rules, the summaries of earlier batches are known at once and serve as context, beside
+    the stored ones given as `history`. A
     plugged-in model sees the stored summaries given as `history` instead, as a summary of
     the run itself would depend on the replies being asked for. Shared intermediates are
-    written once to the shared scratch folder.
+    written once to the shared scratch folder. `batched` gives the batches if they are already
+    cut (entries with `batch_id` and `position`).
     """
     config = config or EngineConfig()
     embedder = embedder or hashed_words(config.embedding_dim)
     queries = retrieval.embed_queries(retrieval.CONTEXT_QUERIES, embedder)
-    batched = materialize(
-        batching.assign_batches(entries, config.buffer_size, include_partial), "batched")
+    if batched is None:
+        batched = batching.assign_batches(entries, config.buffer_size, include_partial)
+    batched = materialize(batched, "batched")
     individual = materialize(tables.individual_rows(entries, embedder), "individual")
     profile = materialize(batching.batch_profile(batched), "profile")
     ends = profile.select(*BATCH, F.col("last_entry.ts").alias("ts"),
@@ -140,9 +143,9 @@ def analyze_batches(entries: DataFrame, config: EngineConfig | None = None,
         found, replies = model_findings(prompt_table, scorer)
     summaries = materialize(
         tables.summary_rows(batching.analysis_summary(profile, found, replies), embedder), "summaries")
-    if scorer is None:
-        context = materialize(context_of(summaries), "context")
-        prompt_table = materialize(prompts.context_prompt(batched, context), "prompts")
+    if scorer is None:      # no model reads them, so they are made only if they are looked at
+        context = context_of(summaries if history is None else history.unionByName(summaries))
+        prompt_table = prompts.context_prompt(batched, context)
     return Analysis(
         batched=batched, individual_logs=individual, group_summaries=groups,
         analysis_summaries=summaries, context=context, prompts=prompt_table, threats=found,

@@ -25,7 +25,7 @@ from vigilog.plans import analysis
 from vigilog.plans.oracle import BATCH_LOW, LOW
 from vigilog.session import configure, materialize, scratch_root
 from vigilog.sources import logs, numbering, tables
-from vigilog.streaming import jobs
+from vigilog.streaming import analyzer, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -812,14 +812,33 @@ def build_evidence(spark, d):
 @query
 def analyze_batches(spark, d):
     done = analysed(spark, d)
-    by_run = done.alerts.groupBy("run_id").agg(
+    return run_facts(done.alerts, done.runs)
+
+
+def run_facts(alerts: DataFrame, runs: DataFrame) -> DataFrame:
+    by_run = alerts.groupBy("run_id").agg(
         F.max("confidence").alias("top_confidence"),
         F.count_if(F.col("severity") == "critical").alias("critical"))
-    return done.runs.join(by_run, "run_id").select(
+    return runs.join(by_run, "run_id").select(
         "run_id", secs("ts"), "logs_analyzed", "threats_found", "status", "model_used",
         "top_confidence", "critical")
 
 
+@query
+def stream_analyze(spark, d):
+    """The continuous analyzer over two text segments, one after the other."""
+    root = f"{scratch_root(spark)}/analyzer-{uuid.uuid4().hex}"
+    numbered = lines(spark, d)
+    half = numbered.agg(F.max("line_number")).first()[0] // 2
+    for part, rows in (("a", F.col("line_number") <= half), ("b", F.col("line_number") > half)):
+        (numbered.filter(rows).repartition(1).sortWithinPartitions("line_number").select("value")
+         .write.text(f"{root}/in/part={part}"))
+    analyzer.run_stream(spark, f"{root}/in/*", f"{root}/out", f"{root}/state", max_files=1,
+                        limits=BATCH_LIMITS, trigger=ONCE).awaitTermination()
+    return run_facts(analyzer.stored(spark, f"{root}/out", "threat_alerts"),
+                     analyzer.stored(spark, f"{root}/out", "analysis_runs"))
+
+
 @query
 def analyze_window(spark, d):
     return analysis.analyze_window(chunks(spark, d), 1, 100).select(

@@ -234,21 +234,18 @@ check("analyze_window", f"""SELECT chunks AS chunks_analyzed, window_start, wind
   FROM ({_sections(1, 100)})""")
 
 
-def _part(kind: str, limit: int, title: str, lead: str) -> str:
-    first = "" if kind == "individual_logs" else f"{o.NL}, {o.NL}, "
-    return f"""CASE WHEN count(*) FILTER (kind = '{kind}') > 0 THEN concat({first}'## {title}', {o.NL}, {o.NL},
-      '{lead}', {o.NL}, {o.NL}, string_agg(document, {o.NL} || '---' || {o.NL} ORDER BY rank)
-      FILTER (kind = '{kind}' AND rank <= {limit})) END"""
+def _part(kind: str, limit: int, title: str) -> str:
+    return f"""CASE WHEN count(*) FILTER (kind = '{kind}') > 0 THEN concat('[{title}]', {o.NL},
+      string_agg(document, {o.NL} || {o.NL} ORDER BY rank) FILTER (kind = '{kind}' AND rank <= {limit})) END"""
 
 
-_SECTIONS = f"""SELECT batch_id, concat_ws({o.NL}, a, g, s, concat({o.NL}, {o.NL},
-    '## Current Logs to Analyze (', n, ' logs)', {o.NL}, {o.NL}, 'Analyze these logs for security threats:',
-    {o.NL}, {o.NL}, raw)) AS sections FROM (
+_SECTIONS = f"""SELECT batch_id, concat_ws({o.NL} || {o.NL}, a, g, s,
+    concat('[this batch: ', n, ' lines]', {o.NL}, raw)) AS sections FROM (
   SELECT batch_id, count(*) AS n, string_agg(raw_line, {o.NL} ORDER BY ts, line_number) AS raw FROM batched GROUP BY 1)
   LEFT JOIN (SELECT batch_id,
-    {_part('individual_logs', 10, 'Recent Individual Logs (last 30 minutes)', 'These are recent individual log entries for context:')} AS a,
-    {_part('grouped_summaries', 5, 'Recent Group Summaries (last 30 minutes)', 'These are summaries of recent grouped activity:')} AS g,
-    {_part('analysis_summaries', 3, 'Previous Analysis Results', 'Recent security analysis summaries:')} AS s
+    {_part('individual_logs', 10, 'entries before this batch')} AS a,
+    {_part('grouped_summaries', 5, 'groups before this batch')} AS g,
+    {_part('analysis_summaries', 3, 'what earlier batches showed')} AS s
     FROM context GROUP BY 1) USING (batch_id)"""
 check("context_prompt", _SECTIONS)
 check("score_batches", f"""SELECT batch_id, 'ok' AS status,
@@ -275,6 +272,7 @@ check("threat_evidence_join", "SELECT batch_id, threat_no, sample_no, line_numbe
 check("build_evidence", """SELECT batch_id, threat_no, type AS threat_type, severity, confidence, description,
   recommendation, derived_ips AS source_ips, derived_paths AS target_paths, samples, first_line FROM evidence""")
 check("analyze_batches", _RUNS.format("", "", "top_confidence, critical"))
+check("stream_analyze", _RUNS.format("", "", "top_confidence, critical"))
 
 # --- alert analytics
 check("alerts_with_run", """SELECT alert_id, run_id, r.ts AS run_ts, status AS run_status,

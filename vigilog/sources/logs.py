@@ -6,31 +6,41 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilog.schema import RAW_LINES
+from vigilog.session import materialize
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     """All lines of the text files under `path` with 1-based line numbers per file.
 
-    Inside one file split the reader keeps the line order, so a line's number is its place
-    in the split plus the lines of earlier splits. Only the split table (one row per
-    ~128 MB of text) is shuffled, never the text.
+    Inside one file split the reader keeps the line order, so a line's number is its place in the
+    split plus the lines of earlier splits. The table of splits (one row per ~128 MB of text) is
+    written once and broadcast while it is small, so the text itself isn't shuffled.
     """
     lines = (spark.read.text(path)
              .select(F.col("_metadata.file_path").alias("source"),
-                     F.col("_metadata.file_block_start").alias("_split"),
-                     F.make_valid_utf8("value").alias("value"))
-             .withColumn("_place", F.monotonically_increasing_id()))
-    splits = lines.groupBy("source", "_split").agg(
+                     F.col("_metadata.file_block_start").alias("split"),
+                     F.make_valid_utf8("value").alias("value")))
+    return number_lines(lines)
+
+
+#: Splits whose table may be broadcast: 64 TB of text in splits of 128 MB, about 50 MB of rows.
+BROADCAST_SPLITS = 500_000
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Line numbers from 1 per source for rows `(source, split, value)` as a text scan gives them."""
+    placed = lines.withColumn("_place", F.monotonically_increasing_id())
+    splits = placed.groupBy("source", "split").agg(
         F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = F.sum("_n").over(Window.partitionBy("source").orderBy("_split")
+    earlier = F.sum("_n").over(Window.partitionBy("source").orderBy("split")
                                .rowsBetween(Window.unboundedPreceding, -1))
-    starts = splits.select("source", "_split", "_first",
-                           F.coalesce(earlier, F.lit(0)).alias("_start"))
-    numbered = lines.join(starts, ["source", "_split"]).select(
-        "source",
-        (F.col("_place") - F.col("_first") + F.col("_start") + 1).alias("line_number"),
-        "value")
-    return numbered.to(RAW_LINES)
+    starts = materialize(splits.select("source", "split", "_first",
+                                       F.coalesce(earlier, F.lit(0)).alias("_start")), "splits")
+    if starts.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
+    return placed.join(starts, ["source", "split"]).select(
+        "source", (F.col("_place") - F.col("_first") + F.col("_start") + 1).alias("line_number"),
+        "value").to(RAW_LINES)
 
 
 def tail(lines: DataFrame, n: int = 100) -> DataFrame:
@@ -48,13 +58,15 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
     """Follow a directory of closed log segments; new files become new rows.
 
     Segment files have to be complete when they appear: bytes appended to a file already
-    read are not seen. Each row carries its file and its place in it.
+    read are not seen. Each row carries its file and the start of its split; `number_lines`
+    numbers the lines of a micro-batch, in which a segment is always whole.
     """
     reader = spark.readStream.schema("value STRING")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return (reader.format("text").load(path)
             .select(F.col("_metadata.file_path").alias("source"),
+                    F.col("_metadata.file_block_start").alias("split"),
                     F.make_valid_utf8("value").alias("value")))
 
 

@@ -68,12 +68,6 @@ def chunk_rows(profiles: DataFrame, embedder: EmbedderFactory | None = None) ->
 
 # --- operators on stored rows -----------------------------------------------------------------
 
-def retained(rows: DataFrame, as_of: Column, max_age: timedelta, time: str = "ts") -> DataFrame:
-    """Rows not older than `max_age`; a pass removes everything that is."""
-    cutoff = F.unix_seconds(as_of) - int(max_age.total_seconds())
-    return rows.filter(F.col(time) >= F.timestamp_seconds(cutoff))
-
-
 def chunks_since(chunks: DataFrame, before: Column) -> DataFrame:
     """Chunks that end at or after `before`."""
     return chunks.filter(F.col("end_time") >= before)
@@ -127,7 +121,7 @@ class TableStore:
 
     A table is replaced by writing a new version; `_versions` records which one is current.
     Appends go into the current version. Expiring rows records a cutoff in `_cutoffs`; readers
-    skip older dates and rows, and `compact` removes them from storage.
+    skip older dates and rows. `compact` rewrites the rest and deletes the version before.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -176,8 +170,9 @@ class TableStore:
         if cutoff is None:
             return rows
         since = F.timestamp_seconds(F.lit(cutoff))
-        return rows.filter((F.col("ingest_date") >= F.to_date(since))
-                           & (F.col(TIMES.get(name, "ts")) >= since))
+        if "ingest_date" in rows.columns:
+            rows = rows.filter(F.col("ingest_date") >= F.to_date(since))
+        return rows.filter(F.col(TIMES.get(name, "ts")) >= since)
 
     def replace(self, name: str, rows: DataFrame) -> None:
         version = self._version(name) + 1
@@ -194,12 +189,27 @@ class TableStore:
         self._note("_cutoffs", name, self._version(name), cutoff)
 
     def compact(self, name: str) -> None:
-        """Rewrite a table without its expired rows."""
+        """Rewrite a table without its expired rows and delete the old files."""
         self.replace(name, self.read(name))
+        self.vacuum(name)
 
     def truncate(self, *names: str) -> None:
         for name in names or tuple(TABLES):
             self.replace(name, self.spark.createDataFrame([], TABLES[name]))
+            self.vacuum(name)
+
+    def vacuum(self, name: str) -> None:
+        """Delete the files of all versions before the current one; readers of these fail."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for version in range(self._version(name)):
+            old = path(self._path(name, version))
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    def cleanup(self, as_of: Column, max_age: timedelta) -> None:
+        """Expire and remove what is older than `max_age` in the three context collections."""
+        for name in EXPIRING:
+            self.expire(name, as_of, max_age)
+            self.compact(name)
 
     def counts(self) -> DataFrame:
         return collection_counts({name: self.read(name) for name in COLLECTIONS})
