@@ -21,6 +21,7 @@ from vigilog.llm import (
     webpages,
 )
 from vigilog.llm.common import table
+from vigilog.llm.oracle import ORACLE  # noqa: F401
 from vigilog.session import scratch_root
 
 
@@ -46,7 +47,8 @@ def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     order = rules.plan_from(docs).rules
-    return rules.apply_rules(docs, order, keep=["doc_id"])
+    # Which rule came first depends on the measured order, the verdict doesn't.
+    return rules.apply_rules(docs, order, keep=["doc_id"]).drop("rejected_by")
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,4 +123,3 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_minhash": op10_minhash,
 }
-ORACLE: dict[str, str] = {}

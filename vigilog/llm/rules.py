@@ -14,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField
@@ -91,7 +92,7 @@ class Document:
 
 
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]{2}")
-_PLAIN = re.compile(r"(?<!\S)[^\W\d_]+[.,;:!?]?(?!\S)")
+_PLAIN = regex.compile(r"(?<![^ \t-\r])\p{L}+[.,;:!?]?(?![^ \t-\r])")
 
 
 @dataclass(frozen=True)
