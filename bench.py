@@ -37,7 +37,7 @@ def main() -> None:
     from vigilog.operators import batching, chunking, filtering, parsing, rules, vectors
     from vigilog.plans import analysis, catalog
     from vigilog.plans.oracle import BATCH_LOW, LOW
-    from vigilog.session import configure, materialize
+    from vigilog.session import configure, materialize, scratch_root
     from vigilog.sources import logs, tables
 
     configure(spark)
@@ -51,7 +51,13 @@ def main() -> None:
     def grouped() -> DataFrame:
         return batching.group_entries(batching.assign_batches(accepted))
 
+    text_path = f"{scratch_root(spark)}/text"
+    raw.select("value").write.text(text_path)
+    entries_row = materialize(tables.individual_rows(accepted), "entry_rows")
+    store = tables.TableStore(spark, f"{scratch_root(spark)}/store")
     jobs = {
+        "scan_lines": lambda: drain(logs.scan_lines(spark, text_path)),
+        "append": lambda: store.append("individual_logs", entries_row),
         "parse": lambda: drain(parsing.parse_log(raw)),
         "parse_filter": lambda: drain(filtering.keep_entries(parsing.parse_log(raw))),
         "filter_reasons": lambda: drain(filtering.reason_counts(access_log)),
