@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,9 @@ MOST_IDS = 1 << 20
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Pieces made of these characters alone are normalized by lower-casing each one.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_BEYOND_LATIN = re.compile("[^\\x00-ÿ]")
+#: A full stop or comma that follows another mark and so belongs to one word with it.
+_MARKS = re.compile(r"(?:[^\w\s]|_)[.,] ")
 
 
 class WordTokenizer:
@@ -58,21 +62,21 @@ class WordTokenizer:
         self.special = [str(t.content)
                         for t in self.whole.get_added_tokens_decoder().values()]
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
-        self.words, self.pieces = Recent(200_000), Recent(400_000)
+        self.pieces = Recent(500_000)
+
+    def _word(self, word: str) -> bytes:
+        mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word))
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
+        if not piece:
+            return b""
         if not _PLAIN.fullmatch(piece) or any(s in piece for s in self.special):
-            ids = self.whole.encode(piece, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
-        out = []
-        for word in _WORDS.findall(piece.lower()):
-            ids = self.words.get(word)
-            if ids is None:
-                mapped = "".join(map(self.letters.__getitem__, word))
-                ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-                self.words.put(word, ids)
-            out.append(ids)
-        return b"".join(out)
+            return array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
+        piece = piece.lower()
+        if piece.isalpha():
+            return self._word(piece)
+        return b"".join(map(self._word, _WORDS.findall(piece)))
 
     def _known(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
@@ -83,7 +87,19 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts, one after another, and each text's bounds; null is empty."""
-        return ids_of_pieces([t and t.replace("\n", " ") for t in texts], self._known, {})
+        return ids_of_pieces([t and _loosen(t) for t in texts], self._known, {})
+
+
+def _loosen(text: str) -> str:
+    """The text with the same ids but fewer distinct pieces: lower case, and a blank before a
+    full stop or comma that stands alone, where characters have but one lower case form."""
+    text = text.replace("\n", " ")
+    if "<|" in text or _BEYOND_LATIN.search(text):
+        return text
+    text = text.lower()
+    if _MARKS.search(text):
+        return text
+    return text.replace(". ", " . ").replace(", ", " , ")
 
 
 @functools.lru_cache(maxsize=1)
