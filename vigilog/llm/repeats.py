@@ -92,7 +92,9 @@ def _anchors(docs: DataFrame, width: int) -> DataFrame:
 def _segments(docs: DataFrame, width: int) -> DataFrame:
     """(key, doc, version, first, windows, digest, words) of segments whose anchor recurs."""
     anchors = _anchors(docs, width)
-    often = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Written first: a join of two plain shuffles can split a key that very many anchors have.
+    often = materialize(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+                        .select("key"), "repeated-anchors")
     places = materialize(_anchors(docs, width).join(often, "key").select("doc", "first"), "places")
     wanted = places.groupBy(F.col("doc").alias("_doc")).agg(
         F.collect_set("first").alias("firsts"))
