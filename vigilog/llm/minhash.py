@@ -134,8 +134,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     words, or null, is linked with none. Rows with a null id have a null component. Rows that
     repeat an id count as that one document. Equal sets are one node, so copies are never
     paired. In a bucket each member is first compared with the least one. Buckets that then still
-    hold members of several components go on: the next three members are compared with those of
-    other components, then the next twelve, and so on until each bucket is one component or all
+    hold members of several components go on: the next fifteen members are compared with those of
+    other components, then the next 240, and so on until each bucket is one component or all
     its pairs of different components have been compared, so no candidate link is lost and pairs
     within a component are never made.
     """
@@ -144,8 +144,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         signed.where("set_id IS NOT NULL AND id IS NOT NULL").groupBy("set_id")
         .agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes")
     spread = nodes.select(F.explode("bands").alias("bucket"), "node").distinct()
-    shared = (spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
-              .where("n > 1"))
+    # Written first: a join of two plain shuffles can split a bucket that very many nodes share.
+    shared = materialize(
+        spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
+        .where("n > 1"), "shared-buckets")
     members = materialize(spread.join(shared, "bucket"), "buckets")
     sets = materialize(_sets(docs, key, text, width, members.select(
         F.col("node").alias("id")).distinct()), "shingle-sets")
@@ -153,21 +155,25 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(confirmed(pairs, sets, percent), "links")
     roots = components(links)
-    done = 1                                        # members of a bucket used as hubs so far
+    done, measured = 1, None                        # members of a bucket used as hubs so far
     while True:
         placed = members.join(roots, "node", "left").select(
-            "bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+            *members.columns, F.coalesce("root", "node").alias("root"))
         open_ = (placed.where(F.col("n") > done).groupBy("bucket")
                  .agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                  .where("lo < hi").select("bucket"))
         left = materialize(placed.join(open_, "bucket", "left_semi"), "open-buckets")
         if left.isEmpty():
             break
-        until = 4 * done
-        pairs = _next_pairs(left, done, until)
-        links = links.unionByName(materialize(confirmed(pairs, sets, percent), "links"))
-        roots = components(links)
-        done = until
+        if measured is None:
+            measured = materialize(_own_shares(sets, left, percent), "own-shares")
+            left = left.join(measured, "node").where("room >= 0")
+        until = 16 * done
+        new = materialize(confirmed(_next_pairs(left, done, until), sets, percent), "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = components(links)
+        members, done = left.drop("root"), until    # closed ones never reopen
     least = nodes.select("set_id", "node").join(roots, "node", "left").select(
         "set_id", F.coalesce("root", "node").alias("component"))
     return signed.join(least, "set_id", "left").select(
@@ -176,22 +182,55 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         .alias("component_id"))
 
 
+def _own_shares(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+    """(node, own, room) of the nodes in open buckets.
+
+    `own` counts the shingles that no other such node has, so that no link can share them. If x
+    and y share s shingles, s <= size(x) - own(x), and size(y) >= s + own(y), so with p percent
+    p * own(y) <= 100 * (size(x) - own(x)) - p * size(x): `room` is the most that own(y) may be.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(x) // 8 for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
+                 pa.array(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64))],
+                ["node", "shingle"])
+
+    nodes = left.select(F.col("node").alias("id")).distinct()
+    some = sets.join(few(nodes), "id", "left_semi")
+    own = (some.mapInArrow(run, "node bigint, shingle bigint").groupBy("shingle")
+           .agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+           .groupBy("node").agg(F.count("*").alias("own")))
+    size = F.length("shingles") / 8
+    return (some.select(F.col("id").alias("node"), size.alias("size")).join(own, "node", "left")
+            .select("node", F.coalesce("own", F.lit(0)).alias("own"), "size")
+            .selectExpr("node", "own", f"(100 * (size - own) - {percent} * size) / {percent} AS room"))
+
+
 def _next_pairs(left: DataFrame, done: int, until: int) -> DataFrame:
     """Members ranked `done` to `until` of each bucket against those of other components.
 
-    The rank inside a bucket is cut off early: only the first `until` members are ranked, by a
-    bounded aggregate over map-side lists, so a huge bucket is never sorted in one task.
+    Members with the fewest shingles of their own come first, as most others can link to them; a
+    pair that `room` rules out is not made. Only the first `until` members of a bucket are ranked,
+    by a bounded aggregate, so a huge bucket is never sorted in one task.
     """
+    by_rank = F.struct("own", "node")
     first = (left.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(64)).alias("part"))
-             .agg(F.slice(F.array_sort(F.collect_set("node")), 1, until).alias("few"))
+             .agg(F.slice(F.array_sort(F.collect_set(by_rank)), 1, until).alias("few"))
              .groupBy("bucket")
-             .agg(F.slice(F.array_sort(F.flatten(F.collect_list("few"))), done + 1, until - done)
+             .agg(F.slice(F.array_sort(F.flatten(F.collect_list("few"))), done, until - done)
                   .alias("hubs")))
-    hubs = (first.select("bucket", F.explode("hubs").alias("a"))
-            .join(left.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")),
-                  ["bucket", "a"]))
-    rows = left.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-    return (rows.join(hubs, "bucket").where("ra <> rb")
+    hubs = (first.select("bucket", F.explode("hubs").alias("h"))
+            .select("bucket", F.col("h.node").alias("node"))
+            .join(left.select("bucket", "node", "root", "own", "room"), ["bucket", "node"])
+            .select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"),
+                    F.col("own").alias("oa"), F.col("room").alias("fa")))
+    rows = left.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"),
+                       F.col("own").alias("ob"), F.col("room").alias("fb"))
+    possible = (F.col("ra") != F.col("rb")) & (F.col("oa") <= F.col("fb")) & (
+        F.col("ob") <= F.col("fa"))
+    return (hubs.join(rows, "bucket").where(possible)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
