@@ -46,11 +46,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    keep = [c for c in ("doc_id", "lang", "source", "text") if c in docs.columns]
-    decoded = bpe.decode(bpe.encode(docs, path, keep=keep), path, keep=[*keep, "ids"])
-    return decoded.select(
-        *[c for c in keep if c != "text"], F.size("ids").cast("bigint").alias("n_tokens"), "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    keep = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    encoded = bpe.encode(docs, path, keep=keep, exact="exact")
+    return encoded.select(*keep, F.size("ids").cast("bigint").alias("n_tokens"), "ids", "exact")
 
 
 STAGES = [

@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField
 
-from vigilog.llm.common import Recent, extend, hex_digest, ids_of_pieces
+from vigilog.llm.common import Recent, extend, hex_digest, ids_of_pieces, utf8
 
 #: The byte-level pre-split rule of this tokenizer family.
 PRE_SPLIT = regex.compile(
@@ -252,9 +252,12 @@ def codec(path: str) -> ByteCodec:
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
-           keep: list[str] | None = None) -> DataFrame:
+           keep: list[str] | None = None, exact: str | None = None) -> DataFrame:
     """Adds the token ids of each whole text as array<int>.
 
+    `exact` names a further column that tells whether decoding the ids gives the text back; it
+    is made in the same pass, so that a task has one worker with one codec.
+
     Null and empty texts give an empty array; equal texts give equal arrays; an `ids` column
     of the input gives way. `path` is a tokenizer file present on every node. No shuffle.
     """
@@ -263,12 +266,19 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
 
         def work(texts: list) -> list:
             flat, bounds = c.encode_batch(texts)
-            return [pa.ListArray.from_arrays(bounds.astype(np.int32),
-                                             pa.array(flat.astype(np.int32)))]
+            out = [pa.ListArray.from_arrays(bounds.astype(np.int32),
+                                            pa.array(flat.astype(np.int32)))]
+            if exact:
+                out.append([raw == utf8(t) for raw, t in zip(
+                    c.decode_batch(flat, bounds), texts, strict=True)])
+            return out
 
         return work
 
-    return extend(df, text, [StructField(ids, ArrayType(IntegerType(), False))], build, keep)
+    fields = [StructField(ids, ArrayType(IntegerType(), False))]
+    if exact:
+        fields.append(StructField(exact, BooleanType()))
+    return extend(df, text, fields, build, keep)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
