@@ -35,7 +35,7 @@ SETTLED = "՘"
 #: A blank between white space, or at the end after it: there pieces can't be cut apart.
 _BLANK_RUN = regex.compile(r"\s (?:\s|$)")
 #: Entries of a per-process table before the older half goes; results don't change.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 CELLS = 2_000_000
 
 
