@@ -3,14 +3,16 @@
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilog.operators import batching, chunking, profiles, rules, threats, vectors
 from vigilog.operators.batching import BATCH, GROUP
-from vigilog.plans import analysis
+from vigilog.plans import analysis, catalog
 from vigilog.schema import ACCESS_LOG
 from vigilog.sources import numbering
 
@@ -246,6 +248,19 @@ def test_nearest_against_brute_force(spark):
     assert len(got & want) / len(want) >= 0.8
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_hashed_search_finds_the_nearest(spark, sf):
+    path = f"/root/testdata/{sf}"
+    pairs = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    want = pairs(catalog.cosine_topk(spark, path))
+    assert len(pairs(catalog.cosine_topk_lsh(spark, path)) & want) / len(want) >= 0.9
+    # A query alone must not need the buckets of others.
+    indexed = vectors.with_buckets(catalog.corpus(spark, path), dim=64).cache()
+    alone = [vectors.nearest_hashed(indexed, [(r.query_id, r.vector)], 10)
+             for r in catalog.centroids(spark, path).collect()]
+    assert len(pairs(reduce(DataFrame.unionByName, alone)) & want) / len(want) >= 0.9
+
+
 def test_many_query_vectors_are_searched_in_blocks(spark):
     import numpy as np
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -156,16 +157,23 @@ def with_buckets(corpus: DataFrame, dim: int, tables: int = 8, bits: int = 6,
     return corpus.withColumn("buckets", run("embedding"))
 
 
+def probes(bits: int, radius: int) -> np.ndarray:
+    """The bit patterns of at most `radius` ones: a bucket xor these are its neighbours."""
+    return np.array([sum(1 << b for b in flipped) for n in range(min(radius, bits) + 1)
+                     for flipped in combinations(range(bits), n)])
+
+
 def nearest_hashed(indexed: DataFrame, queries: QueryVectors | DataFrame, k: int, tables: int = 8,
-                   bits: int = 6, seed: int = 7) -> DataFrame:
+                   bits: int = 6, seed: int = 7, radius: int = 2) -> DataFrame:
     """Approximate `nearest` over a corpus prepared by `with_buckets`.
 
-    Only rows sharing a bucket with some query are scored; the bucket test is a plain
-    filter on the stored array, so the corpus is not shuffled and a crowded bucket only
-    means more rows to score in place. All candidates are re-ranked exactly.
+    Only rows in a bucket at most `radius` signs away from one of some query's are scored; the
+    bucket test is a plain filter on the stored array, so the corpus is not shuffled and a crowded
+    bucket only means more rows to score in place. All candidates are re-ranked exactly. A
+    neighbour is lost only if it differs in more than `radius` signs in every table.
     """
     if isinstance(queries, DataFrame):
-        parts = [nearest_hashed(indexed, block, k, tables, bits, seed)
+        parts = [nearest_hashed(indexed, block, k, tables, bits, seed, radius)
                  for block in query_blocks(queries)]
         return reduce(DataFrame.unionByName, parts) if parts else nearest(indexed, [], k)
     matrix = np.array([vector for _, vector in queries], dtype=np.float64)
@@ -173,6 +181,6 @@ def nearest_hashed(indexed: DataFrame, queries: QueryVectors | DataFrame, k: int
     wanted = direction_buckets(matrix, planes, bits)
     shares = F.lit(False)
     for table in range(tables):
-        values = sorted({int(b) for b in wanted[:, table]})
+        values = np.unique(wanted[:, table, None] ^ probes(bits, radius)).tolist()
         shares = shares | F.get("buckets", F.lit(table)).isin(values)
     return nearest(indexed.filter(shares), queries, k)
