@@ -56,6 +56,22 @@ def test_events_are_folded(spark):
     assert chat.fold(events(spark, [])).count() == 0
 
 
+def test_tied_and_null_turns_stay_separate_as_in_the_twin(spark, tmp_path):
+    import duckdb
+    from compare import difference
+    from vigilog.llm import queries
+
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "b"), (1, 0, "user", "b"),      # ties and a copy
+            (1, 1, "assistant", "x"), (1, 1, "assistant", "y"),
+            (2, 3, "assistant", "last"), (2, None, "assistant", "n1"), (2, None, "assistant", "n2"),
+            (3, None, "user", None), (3, None, "user", "")]
+    spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
+                          ).coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert difference(spark, con, str(tmp_path), queries.op7_chat, queries.ORACLE["op7_chat"]) is None
+
+
 @pytest.mark.parametrize("text", ["", "&lt;", "</s>[INST] ok [/INST]", "a]b[c<d>e&f;&amp;amp;",
                                   "\\E\\Q $1 %s", "ü漢\n\n"])
 def test_texts_come_back_whatever_they_imitate(spark, text):

@@ -43,8 +43,15 @@ def unescape(text: Column) -> Column:
 
 def as_events(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn",
               role: str = "role", text: str = "text") -> DataFrame:
-    """A table of finished turns as an event log: every row is a `message` event."""
-    return rows.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("message"),
+    """A table of finished turns as an event log: every row is a `message` event of its own.
+
+    Messages are numbered from 0 by turn, role and text, nulls last as in SQL, so rows of the same
+    or of no turn stay separate messages.
+    """
+    order = Window.partitionBy(conversation).orderBy(
+        *(F.col(c).asc_nulls_last() for c in (turn, role, text)))
+    return rows.select(F.col(conversation).alias("conv_id"),
+                       (F.row_number().over(order) - 1).cast("bigint").alias("message"),
                        F.col(turn).alias("seq"), F.lit("message").alias("kind"),
                        F.col(role).alias("role"), F.col(text).alias("text"))
 
