@@ -39,6 +39,22 @@ def test_suffix_arrays_drop_what_pages_of_a_host_share(spark):
     assert webpages.extract(pages.limit(0)).count() == 0
 
 
+def test_unmarked_notices_beside_different_articles_are_dropped(spark):
+    long = "this site will be closed for repairs from nine to ten tonight"
+    rows = [(i, f"http://h.example/{i}", f"<div>{n}</div><article><p>{t}</article>")
+            for i, (n, t) in enumerate([(long, "one"), (long, "two"), ("Log in", "three"),
+                                        ("Log in", "four"), ("only here", "five")])]
+    rows += [(9, "http://h.example/9", "<div>seen twice</div><article><p>copy</article>")] * 2
+    rows += [(10, "http://other.example/", f"<div>{long}</div><div>Log in</div><article>six</article>")]
+    words = " ".join(f"w{i}" for i in range(9))
+    rows += [(11, "http://h.example/11", f"<div>Log in</div><p>{words}")]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING").repartition(3)
+    got = sorted((r.page_id, r.text) for r in webpages.extract(pages).collect())
+    assert got == [(0, "one"), (1, "two"), (2, "three"), (3, "four"), (4, "only here\nfive"),
+                   (9, "seen twice\ncopy"), (9, "seen twice\ncopy"),
+                   (10, f"{long}\nLog in\nsix"), (11, words)]
+
+
 def events(spark, rows):
     return spark.createDataFrame(
         rows, "conv_id BIGINT, message BIGINT, seq BIGINT, kind STRING, role STRING, text STRING")

@@ -5,7 +5,8 @@ an element in it is marked as something else (navigation, notices, comments ...)
 such element are judged by what the host's pages share: the token streams of the host's pages are
 put one behind the other and the suffixes are sorted; neighbours in that order that agree for
 `LONG` tokens or more and come from distinct pages mark boilerplate. A block outside an article
-stays if its unique runs make up the larger part of it.
+stays if its unique runs make up the larger part of it; one of fewer than `LONG` tokens, if no
+other page of the host has it.
 
 Menus differ from page to page as often as they repeat, and articles are copied, so for the blocks
 that markup decides the array has no say; its tokens decide the rest.
@@ -156,11 +157,22 @@ def parse(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per distinct passage of LONG tokens of a host's part: its digest, its least and
-    greatest page. Rows come sorted by host; a suffix array holds whole pages."""
+    """One row per distinct passage of LONG tokens, and per shorter block, of a host's part: its
+    digest, its least and greatest page. Rows come sorted by host; a suffix array holds whole
+    pages."""
     from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-    def solve(host: str, pages: list[tuple[int, list[str]]]) -> pa.RecordBatch:
+    def solve(host: str, pages: list[tuple[int, list[str]]],
+              blocks: dict[bytes, tuple[int, int]]) -> pa.RecordBatch:
+        digests, low, high = solve_long(pages) if pages else ([], [], [])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([host] * (len(digests) + len(blocks)), pa.string()),
+             pa.array([*digests, *blocks], pa.binary()),
+             pa.array([*low, *(b[0] for b in blocks.values())], pa.int64()),
+             pa.array([*high, *(b[1] for b in blocks.values())], pa.int64())],
+            ["host", "passage", "low", "high"])
+
+    def solve_long(pages: list[tuple[int, list[str]]]) -> tuple[list, np.ndarray, np.ndarray]:
         tokens = [t for _, p in pages for t in p]
         ends = np.repeat(np.cumsum([len(p) for _, p in pages]), [len(p) for _, p in pages])
         page = np.repeat(np.array([i for i, _ in pages], np.int64), [len(p) for _, p in pages])
@@ -174,46 +186,64 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = (np.minimum.reduceat(page[array], first), np.maximum.reduceat(
             page[array], first)) if len(first) else (page[:0], page[:0])
         passages = [xxh3_128_digest("\0".join(tokens[i:i + LONG])) for i in array[first].tolist()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([host] * len(passages), pa.string()), pa.array(passages, pa.binary()),
-             pa.array(low, pa.int64()), pa.array(high, pa.int64())],
-            ["host", "passage", "low", "high"])
+        return passages, low, high
 
-    host, pages, size = None, [], 0
+    host, pages, blocks, size = None, [], {}, 0
     for batch in batches:
-        for h, row, stream in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if pages and (h != host or size >= ARRAY_TOKENS):
-                yield solve(host, pages)
-                pages, size = [], 0
+        for h, row, texts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (pages or blocks) and (h != host or size >= ARRAY_TOKENS):
+                yield solve(host, pages, blocks)
+                pages, blocks, size = [], {}, 0
             host = h
-            pages.append((row, stream))
+            stream = " ".join(texts).split(" ")
+            if len(stream) >= LONG:
+                pages.append((row, stream))
+            for _, digest in _short_blocks(texts):
+                low, high = blocks.get(digest, (row, row))
+                blocks[digest] = min(low, row), max(high, row)
             size += len(stream)
-    if pages:
-        yield solve(host, pages)
+    if pages or blocks:
+        yield solve(host, pages, blocks)
+
+
+def _short_blocks(texts: list[str]) -> Iterator[tuple[int, bytes]]:
+    """(number, digest) of the open blocks that have fewer than LONG tokens; no passage's digest
+    is as long."""
+    from xxhash import xxh3_128_digest
+
+    for k, text in enumerate(texts):
+        if text.count(" ") + 1 < LONG:
+            yield k, xxh3_128_digest(text) + b"b"
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The passages of each page again, as (host, passage, row, place)."""
+    """The passages and short blocks of each page again, as (host, passage, row, place); the place
+    of block k is -1 - k."""
     from xxhash import xxh3_128_digest
 
     for batch in batches:
-        for h, row, stream in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            n = max(0, len(stream) - LONG + 1)
+        for h, row, texts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            stream = " ".join(texts).split(" ")
+            found = [(i, xxh3_128_digest("\0".join(stream[i:i + LONG])))
+                     for i in range(len(stream) - LONG + 1)]
+            found += [(-1 - k, digest) for k, digest in _short_blocks(texts)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h] * n, pa.string()),
-                 pa.array([xxh3_128_digest("\0".join(stream[i:i + LONG])) for i in range(n)],
-                          pa.binary()),
-                 pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int32())],
+                [pa.array([h] * len(found), pa.string()),
+                 pa.array([digest for _, digest in found], pa.binary()),
+                 pa.array([row] * len(found), pa.int64()),
+                 pa.array([place for place, _ in found], pa.int32())],
                 ["host", "passage", "row", "place"])
 
 
 def boilerplate(parsed: DataFrame) -> DataFrame:
-    """(row, places): token places of open blocks that begin a passage of distinct pages.
+    """(row, places): token places of open blocks that begin a passage of distinct pages, and
+    -1 - k for every short open block k of distinct pages.
 
-    `parsed` has row (a hash of page and content), host and stream. A host's pages are dealt to
-    PARTS parts, so no task holds a large host; what a part's arrays find is merged by passage.
+    `parsed` has row (a hash of page and content), host and texts (the open blocks). A host's pages
+    are dealt to PARTS parts, so no task holds a large host; what a part's arrays find is merged by
+    passage.
     """
-    streams = parsed.select("host", "row", "stream").where(F.size("stream") >= LONG)
+    streams = parsed.select("host", "row", "texts")
     dealt = (streams.repartition("host", F.pmod(F.col("row"), F.lit(PARTS)))
              .sortWithinPartitions("host"))
     found = (dealt.mapInArrow(_arrays, "host string, passage binary, low bigint, high bigint")
@@ -235,16 +265,16 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     parsed = materialize(parse(pages, key, url, html).withColumn(
         "row", F.xxhash64("page_id", "host", "blocks")), "pages", compression="zstd")
     mixed = F.exists("blocks", lambda b: b["main"] == OPEN)
-    tokens = F.flatten(F.transform(F.filter("blocks", lambda b: b["main"] == OPEN),
-                                   lambda b: F.split(b["text"], " ")))
-    # Copies of one page's open text count once, under the least row.
-    streams = (parsed.where(mixed).select("host", tokens.alias("stream"), "row")
-               .groupBy("host", F.sha2(F.array_join("stream", " "), 256).alias("same"))
-               .agg(F.min_by("stream", "row").alias("stream"), F.min("row").alias("row")))
+    texts = F.transform(F.filter("blocks", lambda b: b["main"] == OPEN), lambda b: b["text"])
+    # Copies of a page, articles included, count once, under the least row. No text has a \n.
+    same = F.sha2(F.array_join(F.transform("blocks", lambda b: F.concat(
+        b["main"].cast("string"), b["text"])), "\n"), 256)
+    streams = (parsed.where(mixed).select("host", texts.alias("texts"), same.alias("same"), "row")
+               .groupBy("host", "same")
+               .agg(F.min_by("texts", "row").alias("texts"), F.min("row").alias("row")))
     shared = materialize(boilerplate(streams), "boilerplate")
     stream_of = materialize(streams.select("host", "same", "row"), "streams").join(shared, "row")
-    opened = parsed.where(mixed).withColumn(
-        "same", F.sha2(F.array_join(tokens, " "), 256)).join(
+    opened = parsed.where(mixed).withColumn("same", same).join(
         stream_of.select("host", "same", "places"), ["host", "same"], "left")
     closed = parsed.where(~mixed)
     main = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
@@ -262,8 +292,12 @@ def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   strict=True):
             sizes = [b["text"].count(" ") + 1 if b["main"] == OPEN else 0 for b in blocks]
             covered = np.zeros(sum(sizes) + LONG, bool)
+            starts = np.cumsum([0, *(n for n in sizes if n)])
             for p in places or ():
-                covered[p:p + LONG] = True
+                if p < 0:
+                    covered[starts[-1 - p]:starts[-p]] = True
+                else:
+                    covered[p:p + LONG] = True
             kept, at = [], 0
             for b, n in zip(blocks, sizes, strict=True):
                 if b["main"] == MAIN or 2 * covered[at:at + n].sum() < n:
