@@ -21,6 +21,26 @@ def test_blocks_of_an_article():
     assert webpages.blocks_of("<article>" * 500 + "deep")[-1] == (webpages.MAIN, "deep")
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='site has-sidebar'><article><p>one</article></div>", "one"),
+    ("<main class='with-footer'><p>one</main>", "one"),
+    ("<article><div class='entry-header'><h1>Head</h1></div><p>one</article>", "Head|one"),
+    ("<article><p>one<section id='related-work'><p>two</section></article>", "one|two"),
+    # What holds an article stays as a whole, what holds none does not.
+    ("<div class=widget>a<div id=sidebar>b<article>one</article></div>c<div class=ad>d</div></div>",
+     "a|b|one|c"),
+    ("<app class='menu'><main>one</main></app><div class='site_footer'>x</div>two", "one|two"),
+    ("<span>one <b class=share>x</b>two</span>", "one two"),
+    ("<main class=widget>one<div class='ad'>x</div></main>", "one"),
+    ("<div class=ad>" * 300 + "<article>one</article>", "one"),
+    ("<div class=ad>x<nav><article>y</article></nav></div>two", "two"),
+    ("<article>one<div class=comments><article>x</article></div></article>", "one"),
+    ("<div class=ad>x<p>y</div><p class='Comment-List'>z<p>two", "two"),
+])
+def test_marked_elements_never_take_an_article_along(page, text):
+    assert "|".join(t for _, t in webpages.blocks_of(page)) == text
+
+
 def test_suffix_arrays_drop_what_pages_of_a_host_share(spark):
     shared = "all rights are kept by the owners of this fine site since the start"
     rows = [(i, f"http://h.example/{i}", f"<p>{' '.join(f'w{i}n{j}' for j in range(20))}<p>{shared}")

@@ -43,12 +43,27 @@ _BLOCKS = frozenset(
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p "
     "pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id and role by which pages mark what isn't their text.
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|cookies?|disqus|"
-    r"footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|"
-    r"promo|promoted|related|replies|search|share|sharing|sidebar|social|sponsor|sponsored|"
-    r"subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Names in class, id and role by which pages mark what isn't their text. A name
+#: counts as a whole: has-sidebar, entry-header and related-work mark nothing.
+_MARKS = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie "
+    "cookies disqus footer header login masthead menu modal nav navbar navigation newsletter "
+    "notice notices popup promo promoted related replies search share sharing sidebar social "
+    "sponsor sponsored subscribe toolbar widget "
+    # Compounds; an underscore counts as a hyphen.
+    "site-nav site-navigation site-menu site-header site-footer site-notice main-nav "
+    "main-navigation main-menu main-header main-footer top-nav top-menu top-bar bottom-nav "
+    "global-nav global-header global-footer primary-nav primary-menu secondary-nav "
+    "secondary-menu page-footer footer-nav footer-menu footer-links footer-widgets header-nav "
+    "header-menu nav-bar nav-menu nav-links menu-bar dropdown-menu side-bar breadcrumb-nav "
+    "ad-banner ad-block ad-box ad-container ad-slot ad-unit ad-wrapper banner-ad sidebar-ad "
+    "google-ad comment-list comments-list comments-area comment-section comments-section "
+    "comment-form comment-respond disqus-thread cookie-banner cookie-bar cookie-consent "
+    "cookie-notice related-posts related-articles related-stories related-links related-content "
+    "share-bar share-buttons share-links sharing-buttons social-share social-links social-icons "
+    "social-media social-buttons newsletter-signup newsletter-form subscribe-form subscribe-box "
+    "search-form search-box search-bar login-form login-box promo-box promo-banner "
+    "sponsored-content sponsored-links widget-area".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -58,17 +73,33 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 MAIN, OPEN = 1, 0
 
 
+def _marked(attributes: str) -> bool:
+    """Whether class, id or role has a name of _MARKS."""
+    return any(name in _MARKS for found in _ATTRIBUTE.findall(attributes)
+               for name in "".join(found).lower().replace("_", "-").split())
+
+
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
     """(MAIN or OPEN, text) of the page's blocks in order, without what markup excludes.
 
     An excluded element ends with its own end tag, or with that of an element around it; one that
-    is never closed reaches to the end of the page.
+    is never closed reaches to the end of the page. Outside an article no class, id or role
+    excludes an article or main element or what holds one; inside an article, articles are
+    comments or teasers and excluded as other elements are.
     """
-    page = page or ""
+    out, wraps = _read(page or "", frozenset())
+    return _read(page or "", frozenset(wraps))[0] if wraps else out
+
+
+def _read(page: str, wraps: frozenset[int]) -> tuple[list[tuple[int, str]], set[int]]:
+    """The blocks, and the places of marked elements not in `wraps` that hold an article."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, bool]] = []        # name, excluded from here on, in an article
+    # Name; what held around: excluded for good, in a main, in an article, marked elements.
+    stack: list[tuple[str, bool, bool, bool, tuple | None]] = []
     text: list[str] = []
-    excluded = main = False
+    holding: set[int] = set()
+    hard = main = article = excluded = False
+    marks: tuple | None = None                      # place of the innermost, and those around it
 
     def flush() -> None:
         joined = " ".join(entities.unescape("".join(text)).split())
@@ -96,9 +127,8 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if excluded:
-                        text.clear()
-                    excluded, main = stack[k][1], stack[k][2]
+                    _, hard, main, article, marks = stack[k]
+                    excluded = hard or marks is not None
                     del stack[k:]
                     break
             continue
@@ -111,20 +141,31 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         if name == "p":                             # a paragraph ends where the next one begins
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
-                    excluded, main = stack[k][1], stack[k][2]
+                    _, hard, main, article, marks = stack[k]
+                    excluded = hard or marks is not None
                     del stack[k:]
                     break
                 if stack[k][0] in _BLOCKS:
                     break
-        stack.append((name, excluded, main))
-        if not excluded:
-            main = main or name in _MAIN
-            excluded = (name in _AROUND or name == "header" and not main
-                        or name not in ("html", "body") and bool(rest) and any(
-                            _MARKED.search(a or b or c) for a, b, c in _ATTRIBUTE.findall(rest)))
+        stack.append((name, hard, main, article, marks))
+        if not hard:
+            if name in _MAIN and not article:
+                main, article = True, name == "article"
+                around = marks
+                while around and around[0] not in holding:
+                    holding.add(around[0])
+                    around = around[1]
+            elif name in _AROUND or name == "header" and not main:
+                hard = True
+            elif name not in ("html", "body") and rest and _marked(rest):
+                if article:
+                    hard = True
+                elif tag.start() not in wraps:
+                    marks = tag.start(), marks
+            excluded = hard or marks is not None
     if not excluded:
         flush()
-    return out
+    return out, holding
 
 
 def host_of(url: str | None) -> str:
