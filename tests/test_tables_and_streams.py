@@ -177,3 +177,14 @@ def test_tail_takes_the_last_lines_of_every_source(spark):
         "source STRING, line_number BIGINT, value STRING")
     got = {(r.source, r.line_number) for r in tail(lines, 10).collect()}
     assert got == {("a", i) for i in range(21, 31)} | {("b", i) for i in range(1, 6)}
+
+
+def test_open_windows_are_returned_and_marked(spark):
+    path = "/root/testdata/sf0.001"
+    from vigilog.plans import catalog
+
+    rows = catalog.stream_group_stats_all(spark, path).collect()
+    assert sum(r.n for r in rows) == catalog.kept(spark, path).count()
+    assert any(r.open for r in rows)
+    closed = {tuple(r)[:4] for r in rows if not r.open}
+    assert closed == {tuple(r) for r in catalog.stream_group_stats(spark, path).collect()}

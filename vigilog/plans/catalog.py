@@ -980,6 +980,16 @@ def stream_group_stats(spark, d):
         secs("window_start"), "group_id", "n", "auth_failures")
 
 
+@query
+def stream_group_stats_all(spark, d):
+    """The windows of `stream_group_stats` and those still open when the input ends."""
+    root = f"{scratch_root(spark)}/stats-{uuid.uuid4().hex}"
+    jobs.keep_stats(jobs.recent_stats(live(spark, d)), f"{root}/out", f"{root}/state",
+                    trigger=ONCE).awaitTermination()
+    return jobs.all_stats(spark, f"{root}/out").select(
+        secs("window_start"), "group_id", "n", "auth_failures", "open")
+
+
 @query
 def stream_count_batches(spark, d):
     root = f"{scratch_root(spark)}/batches-{uuid.uuid4().hex}"

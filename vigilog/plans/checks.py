@@ -330,6 +330,10 @@ check("stream_group_stats", f"""SELECT CAST(ts // 300 * 300 AS BIGINT) AS window
   count(*) FILTER (status_code IN (401, 403)) AS auth_failures
   FROM (SELECT *, {o._GROUP} AS group_id FROM kept)
   WHERE ts // 300 * 300 + 300 <= (SELECT max(ts) FROM kept) - 600 GROUP BY 1, 2""")
+check("stream_group_stats_all", f"""SELECT CAST(ts // 300 * 300 AS BIGINT) AS window_start, group_id, count(*) AS n,
+  count(*) FILTER (status_code IN (401, 403)) AS auth_failures,
+  ts // 300 * 300 + 300 > (SELECT max(ts) FROM kept) - 600 AS open
+  FROM (SELECT *, {o._GROUP} AS group_id FROM kept) GROUP BY ALL""")
 check("stream_late_data", """SELECT line_number, coalesce(ts < max(newest) OVER (
     ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600, false) AS late FROM (
   SELECT line_number, ts, part, max(ts) OVER (PARTITION BY part) AS newest FROM (

@@ -105,6 +105,29 @@ def recent_stats(entries: DataFrame, window: str = "5 minutes", slide: str | Non
                     "max_ts", "auth_failures", "addresses"))
 
 
+def keep_stats(stats: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+               ) -> StreamingQuery:
+    """Write `recent_stats` as they change: one folder per micro-batch, open windows included."""
+    def write(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return start(stats, write, checkpoint, trigger, mode="update")
+
+
+def all_stats(spark: SparkSession, path: str, window_seconds: int = 300, delay_seconds: int = 600
+              ) -> DataFrame:
+    """The latest row of every window and group that `keep_stats` wrote, with `open`: whether the
+    window ends after the newest time seen minus the delay, so that rows may still come."""
+    written = spark.read.parquet(path)
+    values = [c for c in written.columns if c not in ("window_start", "group_id", "epoch")]
+    latest = written.groupBy("window_start", "group_id").agg(
+        F.max_by(F.struct(*values), "epoch").alias("last"))
+    newest = written.agg(F.max(F.unix_seconds("max_ts")).alias("_newest"))
+    end = F.unix_seconds("window_start") + window_seconds
+    return latest.crossJoin(F.broadcast(newest)).select(
+        "window_start", "group_id", "last.*", (end > F.col("_newest") - delay_seconds).alias("open"))
+
+
 def visits(entries: DataFrame, gap: str = "2 minutes", delay: str = "10 minutes") -> DataFrame:
     """Runs of requests per address, ended by a pause of `gap`."""
     return (entries.withWatermark("ts", delay)
