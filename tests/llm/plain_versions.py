@@ -70,3 +70,46 @@ def hits(text: str | None, items: list[tuple], window: int = 10) -> tuple:
                     hit |= set(range(i, i + len(part)))
                     found.add(str(item))
     return len(w), len(hit), sorted(found)
+
+
+def alignment(texts: list, a_path: str, b_path: str) -> list[tuple]:
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, digest) per text, byte range by byte range."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    letters = {}
+    spare = 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            letters[chr(b)] = b
+        else:
+            letters[chr(spare)] = b
+            spare += 1
+    left = Tokenizer.from_file(a_path)
+    left.encode_special_tokens = True
+    right = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    rows, count = [], defaultdict(int)
+    for text in texts:
+        a = left.encode(" " + (text or ""), add_special_tokens=False).ids if text else []
+        b = right.encode(text) if text else []
+        a_bytes = [bytes(letters[c] for c in left.id_to_token(i)) for i in a]
+        b_bytes = [bytes([int(right.id_to_piece(i)[3:5], 16)]) if right.is_byte(i)
+                   else right.id_to_piece(i).replace("▁", " ").encode() for i in b]
+        if b"".join(a_bytes) != b"".join(b_bytes) or b"".join(a_bytes) != (" " + (text or "")).encode():
+            a, b, a_bytes, b_bytes = [], [], [], []
+        ends = lambda parts: [sum(map(len, parts[:i + 1])) for i in range(len(parts))]
+        a_end, b_end = ends(a_bytes), ends(b_bytes)
+        links = [(x, y) for x, e in zip(a, a_end) for y, f in zip(b, b_end) if e == f]
+        groups, i, j = [], 0, 0
+        for e in sorted(set(a_end) & set(b_end)):
+            p, q = a_end.index(e) + 1, b_end.index(e) + 1
+            groups.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
+            i, j = p, q
+        for pair in links:
+            count[pair] += 1
+        rows.append((len(a), len(b), len(groups), links, sha(";".join(groups)) if groups else ""))
+    most = defaultdict(int)
+    for (_, y), n in count.items():
+        most[y] = max(most[y], n)
+    return [(a, b, g, len(links), sum(count[p] == most[p[1]] for p in links),
+             sum(count[p] for p in links), digest) for a, b, g, links, digest in rows]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.llm import (
+    align,
     bpe,
     chat,
     decontaminate,
@@ -111,6 +112,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align(docs, _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"),
+                       keep=["doc_id"])
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_votes": op2_quality_votes,
@@ -122,4 +129,5 @@ QUERIES = {
     "op8_huffman_ids": op8_huffman_ids,
     "op9_decontamination": op9_decontamination,
     "op10_minhash": op10_minhash,
+    "op11_alignment": op11_alignment,
 }
