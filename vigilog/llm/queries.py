@@ -14,6 +14,7 @@ from vigilog.llm import (
     decontaminate,
     huffman,
     minhash,
+    negatives,
     neighbours,
     repeats,
     rules,
@@ -118,6 +119,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                        keep=["doc_id"])
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_votes": op2_quality_votes,
@@ -130,4 +135,5 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_minhash": op10_minhash,
     "op11_alignment": op11_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
