@@ -14,6 +14,7 @@ from vigilog.llm import (
     decontaminate,
     huffman,
     minhash,
+    mixing,
     negatives,
     neighbours,
     repeats,
@@ -119,6 +120,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                        keep=["doc_id"])
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"),
+                      keep=["doc_id"]).rows
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -135,5 +141,6 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_minhash": op10_minhash,
     "op11_alignment": op11_alignment,
+    "op12_mixing": op12_mixing,
     "op13_hard_negatives": op13_hard_negatives,
 }
