@@ -14,6 +14,7 @@ shuffling, so no key holds many rows. A document's links travel as distinct pair
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +30,18 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from vigilog.llm.bpe import byte_letters, joined
+from vigilog.llm.bpe import PRE_SPLIT, SETTLED, byte_letters, joined
 from vigilog.llm.common import extend, utf8
 from vigilog.session import materialize
 
 #: Bytes of window alignments that a task keeps before the older half goes.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 48 << 20
 #: Pairs of ids that may be broadcast (about 50 MB as a join table).
 HOT_PAIRS = 500_000
-#: Bytes of text that a tokenizer gets at once: its own results are many times as large.
-CALL_BYTES = 1 << 20
+#: Longer windows are hardly seen again; they aren't kept.
+LONGEST_KEY = 64
+#: Characters of text that are aligned at once.
+SLICE = 1 << 20
 
 
 class Memo:
@@ -67,43 +70,53 @@ class Memo:
 class Side:
     """Ids of whole texts by one tokenizer, and the bytes that each id stands for."""
 
-    def __init__(self, labels: list[bytes], encode, lead: str):
-        self.encode, self.lead = encode, lead
+    def __init__(self, labels: list[bytes], encode):
+        self.encode = encode
         self.label = pa.array(labels, pa.large_binary())
         self.size = np.array([len(x) for x in labels], np.int64)
         self.marked = np.array([x[:1] == b" " for x in labels], bool)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's ids begin and end."""
-        parts, sizes, some, held = [], [], [], 0
-        for i, text in enumerate(texts):
-            some.append(self.lead + text)
-            held += len(text)
-            if held >= CALL_BYTES or i + 1 == len(texts):
-                for ids in self.encode(some):
-                    parts.append(np.array(ids, np.int32))
-                    sizes.append(len(ids))
-                some, held = [], 0
-        flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        return flat, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
+        parts = [np.array(ids, np.int32) for ids in self.encode(texts)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 def byte_level(path: str) -> Side:
-    """A byte-level vocabulary file; it gets the text behind a space."""
+    """A byte-level vocabulary file; it gets the text behind a space, special tokens as plain text.
+
+    Where ids follow the merges' order and the text has settled characters only, the same
+    vocabulary as ranks gives the same ids in a third of the time.
+    """
+    import tiktoken
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True          # their strings in a text are plain text
+    t.encode_special_tokens = True
     t.no_truncation()
     t.no_padding()
     byte_of = byte_letters()
-    labels = []
-    for i in range(t.get_vocab_size()):
-        token = t.id_to_token(i) or ""
-        labels.append(bytes(byte_of[c] for c in token) if all(c in byte_of for c in token)
-                      else utf8(token))
-    return Side(labels, lambda texts: [
-        e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], " ")
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    raw = lambda token: bytes(byte_of[c] for c in token)
+    vocabulary = spec["model"]["vocab"]
+    merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    labels = [b""] * (1 + max([*vocabulary.values(), *special.values()]))
+    for token, i in vocabulary.items():
+        labels[i] = utf8(token) if token in special else raw(token)
+    for token, i in special.items():
+        labels[i] = utf8(token)
+    ranks = tiktoken.Encoding("ranks", pat_str=PRE_SPLIT.pattern, special_tokens={}, mergeable_ranks={
+        raw(x): i for x, i in vocabulary.items() if x not in special}) if merged == sorted(merged) else None
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        settled = [ranks is not None and (not x or max(x) < SETTLED) for x in texts]
+        rest = iter(t.encode_batch_fast([" " + x for x, s in zip(texts, settled) if not s],
+                                        add_special_tokens=False))
+        return [ranks.encode_ordinary(" " + x) if s else next(rest).ids for x, s in zip(texts, settled)]
+
+    return Side(labels, encode)
 
 
 def sentence_pieces(path: str) -> Side:
@@ -116,28 +129,7 @@ def sentence_pieces(path: str) -> Side:
         piece = model.id_to_piece(i)
         labels.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i)
                       else utf8(piece.replace("▁", " ")))
-    return Side(labels, lambda texts: model.encode(texts, num_threads=1), "")
-
-
-def align_window(a: list[int], b: list[int], a_size: np.ndarray, b_size: np.ndarray
-                 ) -> tuple[bytes, bytes, int]:
-    """Groups of a window as `a1,a2|b1;` each, its links as packed id pairs, their number."""
-    groups, links = [], []
-    i = j = 0
-    while i < len(a):
-        first_a, first_b = i, j
-        left, right = int(a_size[a[i]]), int(b_size[b[j]])
-        i, j = i + 1, j + 1
-        while left != right:
-            if left < right:
-                left += int(a_size[a[i]])
-                i += 1
-            else:
-                right += int(b_size[b[j]])
-                j += 1
-        groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-        links.append(a[i - 1] << 32 | b[j - 1])
-    return (";".join(groups) + ";").encode(), np.array(links, "<i8").tobytes(), len(links)
+    return Side(labels, lambda texts: model.encode(texts, num_threads=1))
 
 
 class Aligner:
@@ -146,6 +138,10 @@ class Aligner:
     def __init__(self, a: Side, b: Side):
         self.a, self.b, self.memo = a, b, Memo(MEMO_BYTES)
         self.rows = 0
+        #: Decimal ids of both sides, each with its sign inside and at the end of its part.
+        told = [[b"%d%c" % (i, sign) for i in range(len(side.label)) for sign in signs]
+                for side, signs in ((a, b",|"), (b, b",;"))]
+        self.told, self.told_b = pa.array(told[0] + told[1], pa.large_binary()), len(told[0])
 
     def _same_bytes(self, texts: list, a_ids, a_to, b_ids, b_to) -> np.ndarray:
         """Which texts both sides spell: a space and the text, and at least one byte of it."""
@@ -184,16 +180,54 @@ class Aligner:
             pa.large_binary(), len(n_a), [None, pa.py_buffer((at * 4).astype(np.int64)),
                                           pa.py_buffer(out)])
 
-    def _aligned(self, key: bytes) -> tuple[bytes, bytes, int]:
-        found = self.memo.get(key)
-        if found is None:
-            ids = np.frombuffer(key, "<i4").tolist()
-            found = align_window(ids[1:1 + ids[0]], ids[1 + ids[0]:], self.a.size, self.b.size)
-            self.memo.put(key, found)
+    def _aligned(self, keys: list[bytes]) -> list[tuple[bytes, bytes, int]]:
+        """Of each window its groups as `a1,a2|b1;` each, its links as packed id pairs, their number.
+
+        Windows that the memo doesn't have are aligned together.
+        """
+        found = [self.memo.get(k) for k in keys]
+        new = [i for i, f in enumerate(found) if f is None]
+        for i, made in zip(new, self._align_windows([keys[i] for i in new]), strict=True):
+            found[i] = made
+            if len(keys[i]) <= LONGEST_KEY:
+                self.memo.put(keys[i], made)
         return found
 
+    def _align_windows(self, keys: list[bytes]) -> list[tuple[bytes, bytes, int]]:
+        if not keys:
+            return []
+        flat = np.frombuffer(b"".join(keys), "<i4").astype(np.int64)
+        start = np.concatenate([[0], np.cumsum([len(k) // 4 for k in keys])])
+        n_a = flat[start[:-1]]
+        n_b = np.diff(start) - 1 - n_a
+        spread = lambda first, n: np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        a, b = flat[spread(start[:-1] + 1, n_a)], flat[spread(start[:-1] + 1 + n_a, n_b)]
+        # The windows end to end: both sides have the same bytes in each, so ends stay comparable.
+        a_end, b_end = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        marks = np.zeros((2, a_end[-1] + 1), bool)
+        marks[0, a_end], marks[1, b_end] = True, True
+        shared = marks[0] & marks[1]
+        a_last, b_last = shared[a_end], shared[b_end]           # last tokens of groups
+        # Each group's left ids, then its right ids.
+        group = np.concatenate([np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last])
+        order = np.argsort(2 * group + np.repeat([0, 1], [len(a), len(b)]), kind="stable")
+        told = np.concatenate([2 * a + a_last, self.told_b + 2 * b + b_last])[order]
+        texts = joined(self.told, told, np.concatenate([[0], np.cumsum(n_a + n_b)]))
+        raw = memoryview((a[a_last] << 32 | b[b_last]).astype("<i8").tobytes())
+        ends = np.concatenate([[0], np.cumsum(a_last)])[np.concatenate([[0], np.cumsum(n_a)])].tolist()
+        return [(t, bytes(raw[8 * p:8 * q]), q - p) for t, p, q in zip(texts, ends, ends[1:])]
+
     def __call__(self, texts: list) -> list:
         """Columns of a batch: row number, n_a, n_b, n_groups, n_links, digest, pairs."""
+        parts, first, held = [], 0, 0
+        for i, text in enumerate(texts):
+            held += len(text or "")
+            if held >= SLICE or i + 1 == len(texts):
+                parts.append(self._columns(texts[first:i + 1]))
+                first, held = i + 1, 0
+        return [pa.concat_arrays([pa.array(p) for p in column]) for column in zip(*parts)] or [[]] * 7
+
+    def _columns(self, texts: list) -> list:
         here = TaskContext.get()
         base = (here.partitionId() if here else 0) << 40
         number = base + self.rows + np.arange(len(texts))
@@ -213,7 +247,7 @@ class Aligner:
         a_cut, b_cut = self._windows(a_ids, a_to, b_ids, b_to)
         coded = self._keys(a_ids, a_cut, b_ids, b_cut).dictionary_encode()
         codes = np.asarray(coded.indices)
-        found = [self._aligned(k) for k in coded.dictionary.to_pylist()]
+        found = self._aligned(coded.dictionary.to_pylist())
         of_text = np.searchsorted(a_cut, a_to)              # windows before each text
         upto = np.concatenate([[0], np.cumsum(np.array([f[2] for f in found], np.int64)[codes])])
         n_groups = np.diff(upto[of_text])
