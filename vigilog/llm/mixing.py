@@ -31,8 +31,9 @@ BLOCK_WORDS = 256
 MOST_BLOCKS = 400_000_000
 #: Block copies of a shard.
 SHARD_BLOCKS = 4096
-#: Documents of a source that are laid end to end in one task.
-DOCS_PER_BUCKET = 20_000
+#: Documents of a source that are laid end to end in one task; the square root of its documents
+#: where that is more, so that its buckets are no more either.
+DOCS_PER_BUCKET = 1000
 #: Levels of the splitting tree that one task goes down.
 LEVELS = 9
 ROUNDS = 4
@@ -182,8 +183,9 @@ def _laid_out(rows: DataFrame, sources: DataFrame) -> DataFrame:
     A source is cut into buckets by hash, so its rows are spread however many they are."""
     c = F.col
     high = F.shiftrightunsigned("h", 32)
+    wide = F.greatest(F.lit(float(DOCS_PER_BUCKET)), F.sqrt("docs"))
     cut = rows.join(few(sources.select("source", "no", "docs")), rows["source"].eqNullSafe(sources["source"])).select(
-        rows["*"], "no", F.shiftright(high * (1 + F.floor(c("docs") / DOCS_PER_BUCKET)), 32).alias("bucket"))
+        rows["*"], "no", F.shiftright(high * (1 + F.floor(c("docs") / wide)), 32).alias("bucket"))
     cut = materialize(cut, "mix-cut")
     before = (Window.unboundedPreceding, -1)
     sums = cut.groupBy("no", "bucket").agg(F.sum("size").alias("_n")).select(
