@@ -7,20 +7,28 @@ from pyspark.sql import functions as F
 
 from vigilog.schema import RAW_LINES
 from vigilog.session import materialize
+from vigilog.sources import ranges
 
 
-def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+def scan_lines(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
     """All lines of the text files under `path` with 1-based line numbers per file.
 
-    Inside one file split the reader keeps the line order, so a line's number is its place in the
-    split plus the lines of earlier splits. The table of splits (one row per ~128 MB of text) is
-    written once and broadcast while it is small, so the text itself isn't shuffled.
+    The files are cut into byte ranges, whose table is written once. One pass counts the lines of
+    each range, the other reads them with the lines before the range as offset: the text is never
+    shuffled, and both passes follow the same table, whatever the settings are when they run.
+    Readable are local files and the stores that pyarrow opens; `scan_text` reads all others.
     """
-    lines = (spark.read.text(path)
-             .select(F.col("_metadata.file_path").alias("source"),
-                     F.col("_metadata.file_block_start").alias("split"),
-                     F.make_valid_utf8("value").alias("value")))
-    return number_lines(lines)
+    return ranges.read_ranges(ranges.number_ranges(ranges.plan_ranges(spark, path, range_bytes)))
+
+
+def scan_text(spark: SparkSession, path: str) -> DataFrame:
+    """As `scan_lines`, by Spark's own text reader: for stores that only Spark opens.
+
+    Its splits can differ from one execution to the next, so the text is written once."""
+    return number_lines(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.make_valid_utf8("value").alias("value")))
 
 
 #: Splits whose table may be broadcast: 64 TB of text in splits of 128 MB, about 50 MB of rows.
@@ -28,8 +36,12 @@ BROADCAST_SPLITS = 500_000
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Line numbers from 1 per source for rows `(source, split, value)` as a text scan gives them."""
-    placed = lines.withColumn("_place", F.monotonically_increasing_id())
+    """Line numbers from 1 per source for rows `(source, split, value)` as a text scan gives them.
+
+    Inside a split the reader keeps the line order. The rows are written with their places before
+    anything is counted: two executions of the scan need not have the same splits.
+    """
+    placed = materialize(lines.withColumn("_place", F.monotonically_increasing_id()), "lines")
     splits = placed.groupBy("source", "split").agg(
         F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = F.sum("_n").over(Window.partitionBy("source").orderBy("split")
