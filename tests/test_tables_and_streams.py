@@ -9,7 +9,7 @@ from vigilog.operators import prompts
 from vigilog.functions.embedding import with_embedding
 from vigilog.plans import analysis
 from vigilog.schema import RAW_LINES
-from vigilog.session import scratch_root
+from vigilog.session import folders, scratch_root
 from vigilog.sources import logs, tables
 from vigilog.streaming import jobs
 
@@ -43,19 +43,64 @@ def test_store(spark, folder):
     assert store.read("individual_logs").count() == 120
     one = rows.first()
     assert store.get("individual_logs", one.id).first().document == one.document
-    newest = rows.agg(F.max("ts")).scalar()
-    store.expire("individual_logs", newest, timedelta(seconds=300))
-    kept = store.read("individual_logs").count()
-    assert kept == rows.filter(F.col("ts") >= F.timestamp_seconds(
-        F.unix_seconds(newest) - 300)).count() and 0 < kept < 120
+    since = tables.cutoff(rows.agg(F.max("ts")).scalar(), timedelta(seconds=300))
+    store.expire("individual_logs", since)
+    kept = store.read("individual_logs", since).count()
+    assert kept == rows.filter(F.col("ts") >= since).count() and 0 < kept < 120
     assert "PartitionFilters: [isnotnull(ingest_date" in store.read(
-        "individual_logs")._jdf.queryExecution().executedPlan().toString()
-    store.compact("individual_logs")
-    assert store.read("individual_logs").count() == kept
+        "individual_logs", since)._jdf.queryExecution().executedPlan().toString()
     store.truncate()
     assert [r.n for r in store.counts().collect()] == [0, 0, 0, 0]
 
 
+def test_clean_up_drops_days_and_no_row_appended_meanwhile(spark, folder, monkeypatch):
+    store = tables.TableStore(spark, folder)
+    df, _ = make_log(spark, 30)
+    rows = tables.individual_rows(df)
+    aged = lambda days: rows.select("*").withColumns({
+        "ts": F.col("ts") - F.make_dt_interval(F.lit(days)),
+        "ingest_date": F.date_sub("ingest_date", days), "id": F.concat("id", F.lit(f"-{days}"))})
+    for days in (0, 1, 5, 9):
+        store.append("individual_logs", aged(days))
+    before = folders(spark, f"{folder}/individual_logs")
+    newest = rows.agg(F.max("ts")).scalar()
+    real = tables.remove
+
+    def racing(session, path):          # an indexer appends while the clean-up deletes
+        store.append("individual_logs", aged(0).withColumn("id", F.concat("id", F.lit("-late"))))
+        real(session, path)
+
+    monkeypatch.setattr(tables, "remove", racing)
+    files = lambda: {r.f for r in store.read("individual_logs").filter(
+        "id NOT LIKE '%-late'").select(F.input_file_name().alias("f")).collect()}
+    held = files()
+    store.cleanup(newest, timedelta(days=2))
+    after = folders(spark, f"{folder}/individual_logs")
+    assert set(after) < set(before) and len(after) < len(before)
+    left = store.read("individual_logs")
+    assert left.filter("id LIKE '%-late'").count() == 60 * (len(before) - len(after))
+    assert left.filter("id LIKE '%-0'").count() == 60 and left.filter("id LIKE '%-9'").count() == 0
+    assert files() < held                                        # nothing was written anew
+
+
+def test_lookup_uses_bloom_filters(spark, folder):
+    import pyarrow.parquet as pq
+
+    store = tables.TableStore(spark, folder)
+    df, _ = make_log(spark, 30)
+    store.append("individual_logs", tables.individual_rows(df))
+    name = next(r.f for r in store.read("individual_logs").select(F.input_file_name().alias("f")).collect())
+    path = name.removeprefix("file://").removeprefix("file:").replace("%3D", "=")
+    with open(path, "rb") as f:
+        bare = f.read()
+    store.truncate("individual_logs")
+    tables.individual_rows(df).write.partitionBy("ingest_date").parquet(f"{folder}/individual_logs")
+    plain = next(r.f for r in store.read("individual_logs").select(F.input_file_name().alias("f")).collect())
+    assert pq.ParquetFile(plain.removeprefix("file://")).metadata.num_rows <= 60
+    with open(plain.removeprefix("file://"), "rb") as f:
+        assert len(bare) > len(f.read()) + 1000                  # the filter's bits
+
+
 def write_segments(spark, folder, df, parts):
     for part in parts:
         df.filter(part).coalesce(1).write.mode("append").parquet(folder)

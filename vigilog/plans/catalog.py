@@ -7,6 +7,7 @@ across engines.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -24,7 +25,7 @@ from vigilog.operators.batching import BATCH, GROUP
 from vigilog.plans import analysis
 from vigilog.plans.oracle import BATCH_LOW, LOW
 from vigilog.session import configure, materialize, scratch_root
-from vigilog.sources import logs, numbering, tables
+from vigilog.sources import follow, logs, numbering, tables
 from vigilog.streaming import analyzer, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +156,58 @@ def stream_log_lines(spark, d):
         segment_of(F.col("source")), "value")
 
 
+GROWING = 8
+
+
+def _grow(rows: DataFrame, folder: str) -> None:
+    """Appends (file, at, n, piece) to growing files, each file by one task: its pieces in the order of
+    `n` go behind its first `at` bytes, whatever a lost attempt has left there."""
+    def write(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                with open(f"{folder}/{r['file']}.log", "r+b" if r["at"] else "wb") as f:
+                    f.seek(r["at"])
+                    f.truncate()
+                    f.write("".join(x["piece"] for x in r["pieces"]).encode())
+            yield batch.select(["file"])
+
+    pieces = rows.groupBy("file").agg(F.max("at").alias("at"), F.array_sort(F.collect_list(
+        F.struct("n", "piece"))).alias("pieces"))
+    pieces.mapInArrow(write, "file BIGINT").count()
+
+
+@query
+def stream_follow(spark, d):
+    """Growing files followed from their end: half of the log and half of the next line are there when
+    the stream starts, the rest is appended while it runs. Every later line arrives once, and whole."""
+    root = f"{scratch_root(spark)}/follow-{uuid.uuid4().hex}"
+    folder = f"{root}/in".removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder)
+    numbered = lines(spark, d)
+    # Files of about 2,000 lines: what is gathered for one is bounded, and their number grows.
+    last = numbered.agg(F.max("line_number")).first()[0]
+    files, half = last // LINES_PER_SEGMENT + GROWING, last // 2
+    n = F.col("line_number")
+    rows = numbered.select((n % files).alias("file"), n.alias("n"), F.concat("value", F.lit("\n")).alias("line"))
+    begun = F.col("n").between(half + 1, half + files)             # each file's first new line
+    cut = F.floor(F.length("line") / 2).cast("int")
+    old = rows.where(F.col("n") <= half + files).select("file", "n", F.lit(0).cast("bigint").alias("at"), F.when(
+        begun, F.left("line", cut)).otherwise(F.col("line")).alias("piece"))
+    _grow(old, folder)
+    query = jobs.write_parquet(follow.follow_lines(spark, folder, range_bytes=100_000), f"{root}/out",
+                               f"{root}/state")
+    try:
+        query.processAllAvailable()
+        at = old.groupBy("file").agg(F.sum(F.octet_length("piece")).cast("bigint").alias("at"))
+        _grow(rows.where(F.col("n") > half).join(at, "file").select("file", "n", "at", F.when(
+            begun, F.substr("line", cut + 1)).otherwise(F.col("line")).alias("piece")), folder)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema("source STRING, value STRING").parquet(f"{root}/out").select(
+        F.regexp_extract("source", r"(\d+)\.log$", 1).cast("bigint").alias("file"), "value")
+
+
 @query
 def sink_individual_logs(spark, d):
     target = store(spark)
@@ -217,16 +270,17 @@ def collection_counts(spark, d):
 def ttl_expire(spark, d):
     target = store(spark)
     target.append("individual_logs", analysed(spark, d).individual_logs)
-    rows = target.read("individual_logs")
-    target.expire("individual_logs", newest(rows), timedelta(minutes=30))
-    return target.read("individual_logs").select("id", secs("ts"))
+    since = tables.cutoff(newest(target.read("individual_logs")), timedelta(minutes=30))
+    target.expire("individual_logs", since)
+    return target.read("individual_logs", since).select("id", secs("ts"))
 
 
 @query
 def expire_chunks_before(spark, d):
-    stored = chunks(spark, d)
-    before = F.timestamp_seconds(F.unix_seconds(retrieval.latest(stored)) - 1800)
-    return tables.chunks_since(stored, before).select("chunk_id", secs("end_time"))
+    target = _chunk_store(spark, d)
+    since = tables.cutoff(retrieval.latest(target.read("chunks")), timedelta(minutes=30))
+    target.expire("chunks", since)
+    return target.read("chunks", since).select("chunk_id", secs("end_time"))
 
 
 @query
@@ -824,6 +878,9 @@ def run_facts(alerts: DataFrame, runs: DataFrame) -> DataFrame:
         "top_confidence", "critical")
 
 
+FILES_PER_HALF = 4
+
+
 @query
 def stream_analyze(spark, d):
     """The continuous analyzer over two text segments, one after the other."""
@@ -831,9 +888,10 @@ def stream_analyze(spark, d):
     numbered = lines(spark, d)
     half = numbered.agg(F.max("line_number")).first()[0] // 2
     for part, rows in (("a", F.col("line_number") <= half), ("b", F.col("line_number") > half)):
-        (numbered.filter(rows).repartition(1).sortWithinPartitions("line_number").select("value")
-         .write.text(f"{root}/in/part={part}"))
-    analyzer.run_stream(spark, f"{root}/in/*", f"{root}/out", f"{root}/state", max_files=1,
+        # Files by range of line number, named in order; a half of the log is one micro-batch.
+        (numbered.filter(rows).repartitionByRange(FILES_PER_HALF, "line_number")
+         .sortWithinPartitions("line_number").select("value").write.text(f"{root}/in/part={part}"))
+    analyzer.run_stream(spark, f"{root}/in/*", f"{root}/out", f"{root}/state", max_files=FILES_PER_HALF,
                         limits=BATCH_LIMITS, trigger=ONCE).awaitTermination()
     return run_facts(analyzer.stored(spark, f"{root}/out", "threat_alerts"),
                      analyzer.stored(spark, f"{root}/out", "analysis_runs"))
@@ -1022,5 +1080,6 @@ def stream_ttl(spark, d):
     target = store(spark)
     jobs.store_individual(live(spark, d), target, f"{target.root}/state", trigger=ONCE
                           ).awaitTermination()
-    target.expire("individual_logs", newest(target.read("individual_logs")), timedelta(minutes=30))
-    return target.read("individual_logs").select("id", secs("ts"))
+    since = tables.cutoff(newest(target.read("individual_logs")), timedelta(minutes=30))
+    target.expire("individual_logs", since)
+    return target.read("individual_logs", since).select("id", secs("ts"))

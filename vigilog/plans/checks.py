@@ -19,6 +19,9 @@ check("scan_log_lines", f"""SELECT {_SEGMENT} AS segment, row_number() OVER (
   PARTITION BY {_SEGMENT} ORDER BY line_number) AS line_number, value FROM log""")
 check("scan_tail_n", "SELECT line_number, value FROM log ORDER BY line_number DESC LIMIT 100")
 check("stream_log_lines", f"SELECT {_SEGMENT} AS segment, value FROM log")
+_FILES = "(SELECT max(line_number) // 2000 + 8 FROM log)"
+check("stream_follow", f"""SELECT line_number % {_FILES} AS file, value FROM log
+  WHERE line_number > (SELECT max(line_number) // 2 FROM log)""")
 check("sink_individual_logs", """SELECT id, ts, line_number, client_ip, status_code, path, method,
   document, CAST(64 AS INTEGER) AS dim FROM log_ids""")
 check("sink_group_summaries",

@@ -47,3 +47,43 @@ def materialize(df: DataFrame, name: str, compression: str | None = None) -> Dat
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of a path as pyarrow sees it, for sessions without the JVM's (Connect)."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it isn't there."""
+    if hasattr(spark, "_jsc"):
+        store, where = _hadoop(spark, path)
+        found = store.listStatus(where) if store.exists(where) else []
+        return sorted(f.getPath().getName() for f in found if f.isDirectory())
+    from pyarrow import fs
+
+    store, where = _store(spark, path)
+    found = store.get_file_info(fs.FileSelector(where, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.type == fs.FileType.Directory)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder with all it holds, if it is there."""
+    if hasattr(spark, "_jsc"):
+        store, where = _hadoop(spark, path)
+        store.delete(where, True)
+        return
+    from pyarrow import fs
+
+    store, where = _store(spark, path)
+    if store.get_file_info(where).type == fs.FileType.Directory:
+        store.delete_dir(where)

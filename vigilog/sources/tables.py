@@ -13,6 +13,7 @@ from vigilog import schema
 from vigilog.config import EXCLUDED_PATH_HINTS
 from vigilog.functions import text
 from vigilog.functions.embedding import EmbedderFactory, with_embedding
+from vigilog.session import folders, remove
 
 TABLES: dict[str, T.StructType] = {
     "individual_logs": schema.INDIVIDUAL_LOGS,
@@ -68,10 +69,6 @@ def chunk_rows(profiles: DataFrame, embedder: EmbedderFactory | None = None) ->
 
 # --- operators on stored rows -----------------------------------------------------------------
 
-def chunks_since(chunks: DataFrame, before: Column) -> DataFrame:
-    """Chunks that end at or after `before`."""
-    return chunks.filter(F.col("end_time") >= before)
-
 
 def collection_counts(collections: dict[str, DataFrame]) -> DataFrame:
     counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("collection"), "n")
@@ -116,100 +113,67 @@ def new_rows(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
         *rows.columns)
 
 
+def cutoff(as_of: Column, max_age: timedelta) -> Column:
+    return F.timestamp_seconds(F.unix_seconds(as_of) - int(max_age.total_seconds()))
+
+
 class TableStore:
-    """Parquet tables below one root, partitioned by `ingest_date` where they have it.
+    """Parquet tables below one root, in folders by `ingest_date` where they have it.
 
-    A table is replaced by writing a new version; `_versions` records which one is current.
-    Appends go into the current version. Expiring rows records a cutoff in `_cutoffs`; readers
-    skip older dates and rows. `compact` rewrites the rest and deletes the version before.
+    Retention has two halves. Readers pass the time from which rows count, which prunes folders and
+    filters the rest. `expire` deletes the folders of whole days before that time: no row is
+    copied, and what is appended meanwhile stays, as it goes to files that no one touches.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _note(self, kind: str, name: str, version: int, value: Column) -> None:
-        (self.spark.range(1).select(F.lit(name).alias("name"), F.lit(version).alias("version"),
-                                    value.cast("bigint").alias("value"))
-         .write.mode("append").parquet(f"{self.root}/{kind}"))
-
-    def _noted(self, kind: str, wanted: Column) -> int | None:
-        """Largest value noted so far (a few rows per table ever)."""
-        try:
-            notes = self.spark.read.schema("name STRING, version INT, value BIGINT").parquet(
-                f"{self.root}/{kind}")
-        except AnalysisException:
-            return None
-        return notes.filter(wanted).agg(F.max("value")).first()[0]
-
-    def _version(self, name: str) -> int:
-        return self._noted("_versions", F.col("name") == name) or 0
+    def _path(self, name: str) -> str:
+        return f"{self.root}/{name}"
 
-    def _path(self, name: str, version: int) -> str:
-        return f"{self.root}/{name}/v{version}"
-
-    def _write(self, rows: DataFrame, name: str, version: int) -> None:
-        writer = rows.to(TABLES[name]).write.mode("append")
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Adds rows; files carry a Bloom filter of the ids, so that a lookup by id skips them."""
+        writer = (rows.to(TABLES[name]).write.mode("append")
+                  .option(f"parquet.bloom.filter.enabled#{KEYS[name]}", "true"))
         if "ingest_date" in TABLES[name].names:
             writer = writer.partitionBy("ingest_date")
-        writer.parquet(self._path(name, version))
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        self._write(rows, name, self._version(name))
+        writer.parquet(self._path(name))
 
     def append_new(self, name: str, rows: DataFrame) -> None:
         """Append the rows whose key is not stored yet."""
         self.append(name, new_rows(rows, self.read(name), KEYS[name]))
 
-    def read(self, name: str) -> DataFrame:
-        version = self._version(name)
+    def read(self, name: str, since: Column | None = None) -> DataFrame:
+        """The stored rows, or those from `since` on."""
         try:
-            rows = self.spark.read.schema(TABLES[name]).parquet(self._path(name, version))
+            rows = self.spark.read.schema(TABLES[name]).parquet(self._path(name))
         except AnalysisException:
             return self.spark.createDataFrame([], TABLES[name])
-        cutoff = self._noted("_cutoffs", (F.col("name") == name) & (F.col("version") == version))
-        if cutoff is None:
+        if since is None:
             return rows
-        since = F.timestamp_seconds(F.lit(cutoff))
         if "ingest_date" in rows.columns:
             rows = rows.filter(F.col("ingest_date") >= F.to_date(since))
         return rows.filter(F.col(TIMES.get(name, "ts")) >= since)
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        version = self._version(name) + 1
-        self._write(rows, name, version)
-        self._note("_versions", name, version, F.lit(version))
-
     def get(self, name: str, key: str) -> DataFrame:
-        """Point lookup by id; the predicate reaches the Parquet scan."""
+        """Point lookup by id; the predicate reaches the Parquet scan and its Bloom filters."""
         return self.read(name).filter(F.col(KEYS[name]) == key)
 
-    def expire(self, name: str, as_of: Column, max_age: timedelta) -> None:
-        """Drop rows older than `max_age`; whatever their number, this writes one row."""
-        cutoff = F.unix_seconds(as_of) - int(max_age.total_seconds())
-        self._note("_cutoffs", name, self._version(name), cutoff)
-
-    def compact(self, name: str) -> None:
-        """Rewrite a table without its expired rows and delete the old files."""
-        self.replace(name, self.read(name))
-        self.vacuum(name)
+    def expire(self, name: str, since: Column) -> None:
+        """Delete the days that end before `since`."""
+        day = str(self.spark.range(1).select(F.to_date(since)).first()[0])
+        for folder in folders(self.spark, self._path(name)):
+            if folder.startswith("ingest_date=") and folder.partition("=")[2] < day:
+                remove(self.spark, f"{self._path(name)}/{folder}")
 
     def truncate(self, *names: str) -> None:
         for name in names or tuple(TABLES):
-            self.replace(name, self.spark.createDataFrame([], TABLES[name]))
-            self.vacuum(name)
-
-    def vacuum(self, name: str) -> None:
-        """Delete the files of all versions before the current one; readers of these fail."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for version in range(self._version(name)):
-            old = path(self._path(name, version))
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+            remove(self.spark, self._path(name))
 
     def cleanup(self, as_of: Column, max_age: timedelta) -> None:
-        """Expire and remove what is older than `max_age` in the three context collections."""
+        """Delete what is older than `max_age` in the three context collections, by whole days."""
         for name in EXPIRING:
-            self.expire(name, as_of, max_age)
-            self.compact(name)
+            self.expire(name, cutoff(as_of, max_age))
 
     def counts(self) -> DataFrame:
         return collection_counts({name: self.read(name) for name in COLLECTIONS})
