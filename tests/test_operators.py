@@ -69,6 +69,50 @@ def test_numbering_over_many_blocks(spark, log, monkeypatch):
     assert found == expected
 
 
+def test_a_hot_second_is_cut_by_line_number(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "LINES_PER_BLOCK", 50)
+    at = "timestamp_seconds(1700000000 + CASE WHEN id BETWEEN 20 AND 950 THEN 7 ELSE id % 5 END)"
+    df = spark.range(1000).selectExpr("'a' AS source", f"{at} AS ts", "999 - id AS line_number")
+    got = numbering.rank_by_time(df, ["source"], "pos")
+    want = sorted(df.collect(), key=lambda r: (r.ts, r.line_number))
+    assert [r.line_number for r in got.orderBy("pos").collect()] == [r.line_number for r in want]
+    assert got.agg(F.min("pos"), F.max("pos"), F.countDistinct("pos")).first()[:] == (0, 999, 1000)
+    blocks = []
+    monkeypatch.setattr(numbering, "materialize", lambda d, name, **_: blocks.append((name, d)) or d)
+    numbering.rank_by_time(df, ["source"], "pos")
+    counts = next(d for name, d in blocks if name == "blocks")
+    assert counts.agg(F.max("_n")).first()[0] <= 50             # no task ranks more
+
+
+def test_fractions_of_seconds_keep_their_order(spark):
+    df = spark.range(400).selectExpr(
+        "'a' AS source", "timestamp_micros(1700000000000000 + (id * 7919) % 400 * 5000) AS ts", "id AS line_number")
+    want = [r.line_number for r in sorted(df.collect(), key=lambda r: (r.ts, r.line_number))]
+    assert [r.line_number for r in numbering.rank_by_time(df, ["source"]).orderBy("rn").collect()] == want
+
+
+def test_an_hour_s_windows_over_ten_years(spark, monkeypatch):
+    """3,650 blocks: the tree has three levels, and no group holds more than 16 of a source's tables."""
+    rng = __import__("random").Random(8)
+    seconds = sorted(rng.sample(range(3650 * 86_400), 9_000))
+    df = spark.createDataFrame([("a", 1_400_000_000 + s) for s in seconds], "source string, s bigint").select(
+        "source", F.timestamp_seconds("s").alias("ts"))
+    trees = []
+    real = chunking.materialize
+    monkeypatch.setattr(chunking, "materialize", lambda d, name: trees.append((name, real(d, name))) or trees[-1][1])
+    got = {r.sec - 1_400_000_000: (r.window_start - 1_400_000_000, r.window_index)
+           for r in chunking.window_starts(df, 3600).collect()}
+    start, index, want = None, -1, {}
+    for s in seconds:
+        if start is None or s > start + 3600:
+            start, index = s, index + 1
+        want[s] = (start, index)
+    assert got == want
+    levels = [d for name, d in trees if name == "window-tree"]
+    assert len(levels) == 3
+    assert all(d.agg(F.max(F.size("parts"))).first()[0] <= 16 for d in levels)
+
+
 @pytest.mark.parametrize("window, spread, n, span", [
     (60, 900, 300, 86_400), (3, 40, 60, 16), (10, 5_000, 200, 64), (0, 50, 60, 8), (7, 300, 300, 32)])
 def test_greedy_windows(spark, monkeypatch, window, spread, n, span):

@@ -52,3 +52,12 @@ def test_summaries_shuffle_rows_once_after_batching(log):
     batched = batching.assign_batches(log)
     extra = plan(batching.summarize_groups(batching.group_entries(batched))).count("Exchange hash")
     assert extra == plan(batched).count("Exchange hash")
+
+
+def test_entries_are_parsed_once_for_batches(spark):
+    raw = spark.createDataFrame([("s", 1, "x")], RAW_LINES)
+    entries = filtering.keep_entries(parsing.parse_log(raw))
+    for df in (batching.assign_batches(entries), chunking.fixed_size(entries), chunking.intelligent(entries)):
+        text = plan(df)
+        assert "regexp" not in text and "Generate inline" not in text     # it reads what was parsed
+        assert text.count("FileScan parquet") == 2                        # rows, and starts of blocks

@@ -13,17 +13,19 @@ BATCH = ["source", "batch_id"]
 GROUP = ["source", "batch_id", "group_id"]
 
 
-def assign_batches(entries: DataFrame, size: int = 50, include_partial: bool = False) -> DataFrame:
+def assign_batches(entries: DataFrame, size: int = 50, include_partial: bool = False,
+                   stored: bool = False) -> DataFrame:
     """Adds `batch_id` and `position`: every `size` entries of a source form a batch.
 
     `position` is the entry's place in its batch by time, then line.
 
     The last, incomplete batch of a source is dropped unless `include_partial`. The result
-    is partitioned by batch, so all later per-batch work runs without another shuffle.
+    is partitioned by batch, so all later per-batch work runs without another shuffle. `stored`
+    says that the entries can be read more than once at little cost; others are written first.
     """
     if size < 1:
         raise ValueError("a batch has one entry at least")
-    ranked = rank_lines(entries, "_rn", "_rows").withColumn(
+    ranked = rank_lines(entries, "_rn", "_rows", stored).withColumn(
         "batch_id", F.floor(F.col("_rn") / size))
     if not include_partial:
         ranked = ranked.filter((F.col("batch_id") + 1) * size <= F.col("_rows"))

@@ -6,25 +6,29 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.functions import text
+from vigilog.session import materialize
 from vigilog.sources.numbering import rank_by_time, rank_lines
 
 CHUNK = ["source", "chunk_id"]
 
 
-def fixed_size(entries: DataFrame, chunk_size: int = 10) -> DataFrame:
-    """Every `chunk_size` entries of a source, in line order, form a chunk."""
-    ranked = rank_lines(entries, "pos", "_rows")
+def fixed_size(entries: DataFrame, chunk_size: int = 10, stored: bool = False) -> DataFrame:
+    """Every `chunk_size` entries of a source, in line order, form a chunk.
+
+    Here and below, `stored` says that the entries can be read more than once at little cost.
+    """
+    ranked = rank_lines(entries, "pos", "_rows", stored)
     start = F.floor(F.col("pos") / chunk_size) * chunk_size
     end = F.least(start + chunk_size, F.col("_rows"))
     return ranked.withColumn("chunk_id", F.concat_ws(
         "_", F.lit("fixed"), start.cast("string"), end.cast("string"))).drop("_rows")
 
 
-def intelligent(entries: DataFrame, chunk_size: int = 20) -> DataFrame:
+def intelligent(entries: DataFrame, chunk_size: int = 20, stored: bool = False) -> DataFrame:
     """4xx, 5xx, successes by /24 and the rest, each cut into runs of `chunk_size` by time.
 
     A category can hold most of a log, so positions come from per-second counts rather than
@@ -32,12 +36,14 @@ def intelligent(entries: DataFrame, chunk_size: int = 20) -> DataFrame:
     """
     sorted_in = rank_by_time(
         entries.withColumn("category", text.chunk_category(F.col("status_code"), F.col("client_ip"))),
-        ["source", "category"], "pos")
+        ["source", "category"], "pos", stored)
     return sorted_in.withColumn("chunk_id", F.concat_ws(
         "_", "category", F.floor(F.col("pos") / chunk_size).cast("string")))
 
 
 SECONDS_PER_BLOCK = 86_400
+#: Transition tables that are composed at once.
+FAN = 16
 
 
 def _hop(seconds: np.ndarray, window: int) -> np.ndarray:
@@ -46,7 +52,7 @@ def _hop(seconds: np.ndarray, window: int) -> np.ndarray:
 
 
 def _block_exits(window: int, span: int):
-    """For every delay with which a block may be entered: how its windows leave it."""
+    """How windows leave a block, for every delay with which it may be entered."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         seconds = np.sort(pdf["sec"].to_numpy())
@@ -60,37 +66,53 @@ def _block_exits(window: int, span: int):
             last[i] = seconds[i] if nxt[i] == n else last[nxt[i]]
         # Entering with delay d: the first window may start no earlier than base + d.
         first = np.searchsorted(seconds, base + np.arange(window + 1))
-        free = np.where(first < n, last[first] + window + 1 - (base + span), -1)
-        return pd.DataFrame({
-            "source": pdf["source"].iloc[0], "block": pdf["block"].iloc[0],
-            "delay": np.arange(window + 1), "windows": count[first],
-            "overhang": np.where(first < n, free, -1)})
+        reach = np.where(first < n, last[first] + window + 1 - (base + span), 0)
+        out = np.maximum(0, reach - int(pdf["gap"].iloc[0]))
+        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "i": [pdf["i"].iloc[0]],
+                             "block": [pdf["block"].iloc[0]], "windows": [count[first]], "out": [out]})
 
     return run
 
 
-def _entry_delays(window: int, span: int):
-    """Walk the blocks of one source in order, carrying the delay from block to block."""
+def _then(f: Column, g: Column) -> Column:
+    """The transition table of two neighbours from theirs: windows so far, delay at the exit."""
+    return F.struct(
+        F.zip_with(f["windows"], F.transform(f["out"], lambda d: F.get(g["windows"], d)),
+                   lambda x, y: x + y).alias("windows"),
+        F.transform(f["out"], lambda d: F.get(g["out"], d)).alias("out"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "delay"])
-        blocks = pdf["block"].to_numpy()[:: window + 1]
-        windows = pdf["windows"].to_numpy().reshape(-1, window + 1)
-        overhang = pdf["overhang"].to_numpy().reshape(-1, window + 1)
-        delays, numbers = [], []
-        free_at, number = None, 0
-        for i, block in enumerate(blocks):
-            base = int(block) * span
-            delay = 0 if free_at is None else max(0, free_at - base)
-            delays.append(delay)
-            numbers.append(number)
-            number += int(windows[i, delay])
-            if windows[i, delay]:
-                free_at = base + span + int(overhang[i, delay])
-        return pd.DataFrame({"source": pdf["source"].iloc[0], "block": blocks,
-                             "delay": delays, "number": numbers})
 
-    return run
+def _entry_delays(tables: DataFrame, window: int) -> DataFrame:
+    """(source, block, delay, number): with what delay, and after how many windows, each block is entered.
+
+    The tables of `FAN` neighbours are composed into one, those into one again, up to one per
+    source; then the delays go down the same tree. No task holds more than `FAN` tables of a group.
+    """
+    zero = F.lit(0).cast("bigint")
+    same = F.struct(F.transform(F.sequence(F.lit(0), F.lit(window)), lambda _: zero).alias("windows"),
+                    F.transform(F.sequence(F.lit(0), F.lit(window)), lambda d: d.cast("bigint")).alias("out"))
+    level = tables.select("source", "i", "block", F.struct("windows", "out").alias("f"))
+    levels = []
+    while True:
+        level = materialize(level.groupBy("source", F.floor(F.col("i") / FAN).alias("i")).agg(
+            F.array_sort(F.collect_list(F.struct(F.col("i").alias("i"), "block", "f"))).alias("parts")),
+            "window-tree")
+        levels.append(level)
+        if not level.where("i > 0").limit(1).count():
+            break
+        level = level.select("source", "i", zero.alias("block"), F.aggregate(
+            "parts", same, lambda f, part: _then(f, part["f"])).alias("f"))
+    entered = levels[-1].select("source", "i", zero.alias("delay"), zero.alias("number"))
+    for level in reversed(levels):
+        start = F.struct(F.col("delay").alias("delay"), F.col("number").alias("number"),
+                         F.array().cast("array<struct<i:bigint,block:bigint,delay:bigint,number:bigint>>").alias("into"))
+        walked = F.aggregate("parts", start, lambda at, part: F.struct(
+            F.get(part["f"]["out"], at["delay"]).alias("delay"),
+            (at["number"] + F.get(part["f"]["windows"], at["delay"])).alias("number"),
+            F.array_append(at["into"], F.struct(part["i"].alias("i"), part["block"].alias("block"),
+                                                at["delay"].alias("delay"), at["number"].alias("number"))).alias("into")))
+        entered = level.join(entered, ["source", "i"]).select("source", F.inline(walked["into"]))
+    return entered.drop("i")
 
 
 def _block_windows(window: int, span: int):
@@ -121,20 +143,24 @@ def window_starts(entries: DataFrame, window_seconds: int = 60) -> DataFrame:
     the next entry starts the next window. That is sequential, but only over the distinct
     seconds of a source, and only through one number: how far into a block of time (one
     day, or longer for long windows) the previous window still reaches. So every block is
-    reduced in parallel to a table "delay at entry -> windows and reach at exit", the tables
-    of a source (one small table per day) are walked in order, and every block is then
+    reduced in parallel to a table "delay at entry -> windows, delay at the next entry", the
+    tables are composed up a tree and the delays handed down it, and every block is then
     cut in parallel. No task ever sees more than one block of distinct seconds.
     """
     window = int(window_seconds)
     span = max(SECONDS_PER_BLOCK, 4 * window)
-    seconds = (entries.select("source", F.unix_seconds("ts").alias("sec")).distinct()
-               .withColumn("block", F.floor(F.col("sec") / span)))
-    exits = seconds.groupBy("source", "block").applyInPandas(
+    seconds = materialize(
+        entries.select("source", F.unix_seconds("ts").alias("sec")).distinct()
+        .withColumn("block", F.floor(F.col("sec") / span)), "seconds")
+    # One row per day: its number among the source's days, and the seconds to the next one.
+    days = Window.partitionBy("source").orderBy("block")
+    index = seconds.select("source", "block").distinct().withColumns({
+        "i": F.row_number().over(days).cast("bigint") - 1,
+        "gap": F.coalesce((F.lead("block").over(days) - F.col("block") - 1) * span, F.lit(0))})
+    exits = seconds.join(index, ["source", "block"]).groupBy("source", "block").applyInPandas(
         _block_exits(window, span),
-        "source STRING, block BIGINT, delay BIGINT, windows BIGINT, overhang BIGINT")
-    delays = exits.groupBy("source").applyInPandas(
-        _entry_delays(window, span),
-        "source STRING, block BIGINT, delay BIGINT, number BIGINT")
+        "source STRING, i BIGINT, block BIGINT, windows ARRAY<BIGINT>, out ARRAY<BIGINT>")
+    delays = _entry_delays(exits, window)
     cut = seconds.join(delays, ["source", "block"]).groupBy("source", "block").applyInPandas(
         _block_windows(window, span),
         "source STRING, sec BIGINT, window_start BIGINT, window_index BIGINT")

@@ -116,8 +116,9 @@ def analyze_batches(entries: DataFrame, config: EngineConfig | None = None,
     config = config or EngineConfig()
     embedder = embedder or hashed_words(config.embedding_dim)
     queries = retrieval.embed_queries(retrieval.CONTEXT_QUERIES, embedder)
+    entries = materialize(entries, "entries")           # parsed once, read by both branches
     if batched is None:
-        batched = batching.assign_batches(entries, config.buffer_size, include_partial)
+        batched = batching.assign_batches(entries, config.buffer_size, include_partial, stored=True)
     batched = materialize(batched, "batched")
     individual = materialize(tables.individual_rows(entries, embedder), "individual")
     profile = materialize(batching.batch_profile(batched), "profile")

@@ -55,7 +55,7 @@ def run_stream(spark: SparkSession, path: str, root: str, checkpoint: str,
         new = put(entries, "_entries", epoch)
         put(individual_rows(new, embedder), "individual_logs", epoch)
         arrived = before("waiting", epoch, ACCESS_LOG).unionByName(new)
-        cut = put(batching.assign_batches(arrived, size, include_partial=True), "_cut", epoch)
+        cut = put(batching.assign_batches(arrived, size, include_partial=True, stored=True), "_cut", epoch)
         full = (cut.groupBy("source", "batch_id").agg(F.count(F.lit(1)).alias("n"))
                 .filter(F.col("n") == size).select("source", "batch_id"))
         done = cut.join(full, ["source", "batch_id"], "left_semi").withColumn(
