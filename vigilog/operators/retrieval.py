@@ -101,8 +101,9 @@ def nearest_in_window(corpus: DataFrame, moments: DataFrame, queries: QueryVecto
 
 
 def distinct_texts(found: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """One row per text (its nearest), ranked by distance then id, at most `limit`."""
-    per_text = Window.partitionBy(*keys, "document").orderBy("distance", "id")
+    """One row per text, told by the digest `_text`: its nearest, ranked by distance then id, at most
+    `limit`."""
+    per_text = Window.partitionBy(*keys, "_text").orderBy("distance", "id")
     unique = (found.withColumn("_n", F.row_number().over(per_text)).filter("_n = 1").drop("_n"))
     return best_k(unique.drop("rank"), keys, limit)
 
@@ -121,8 +122,10 @@ def recent_context(batches: DataFrame, individual: DataFrame, groups: DataFrame,
     def similar(corpus: DataFrame, kind: str, limit: int) -> DataFrame:
         k = max(1, limit // len(queries))
         ids = nearest_in_window(corpus, batches, queries, k, window)
-        texts = ids.join(corpus.select("source", "id", "document"), ["source", "id"])
-        unique = distinct_texts(texts, ["source", "as_of"], limit)
+        # Digests tell equal texts apart; the texts themselves are joined to what is left.
+        hashed = ids.join(corpus.select("source", "id", F.sha2("document", 256).alias("_text")), ["source", "id"])
+        unique = distinct_texts(hashed, ["source", "as_of"], limit).drop("_text").join(
+            corpus.select("source", "id", "document"), ["source", "id"])
         return batches.join(unique, ["source", "as_of"]).select(
             "source", "batch_id", F.lit(kind).alias("kind"), "rank", "id", "document", "distance")
 

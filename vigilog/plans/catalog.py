@@ -629,7 +629,8 @@ def dedup_text(spark, d):
     done = analysed(spark, d)
     found = vectors.nearest(done.group_summaries, context_queries(), 50).join(
         done.group_summaries.select("id", "document"), "id").withColumn("all", F.lit(1))
-    return retrieval.distinct_texts(found, ["all"], 100).select("rank", "id", "document", "distance")
+    digest = F.sha2("document", 256)
+    return retrieval.distinct_texts(found.withColumn("_text", digest), ["all"], 100).select("rank", "id", "document", "distance")
 
 
 # --- vectors and retrieval --------------------------------------------------------------------------------------------
@@ -1024,12 +1025,15 @@ def drain(df: DataFrame, spark) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
+def ingested(spark, d) -> str:
+    root = f"{scratch_root(spark)}/ingest-{uuid.uuid4().hex}"
+    jobs.store_individual(live(spark, d), root, f"{root}/state", trigger=ONCE).awaitTermination()
+    return root
+
+
 @query
 def stream_ingest(spark, d):
-    target = store(spark)
-    jobs.store_individual(live(spark, d), target, f"{target.root}/state", trigger=ONCE
-                          ).awaitTermination()
-    return target.read("individual_logs").select("id", "line_number", "document")
+    return jobs.stored_individual(spark, ingested(spark, d)).select("id", "line_number", "document")
 
 
 @query
@@ -1052,7 +1056,7 @@ def stream_group_stats_all(spark, d):
 def stream_count_batches(spark, d):
     root = f"{scratch_root(spark)}/batches-{uuid.uuid4().hex}"
     jobs.flush_batches(live(spark, d), root, f"{root}/state", trigger=ONCE).awaitTermination()
-    return jobs.full_batches(spark, root).select("batch_id", "line_number")
+    return jobs.full_batches(spark, root, live(spark, d).schema).select("batch_id", "line_number")
 
 
 @query
@@ -1065,21 +1069,12 @@ def stream_dedup(spark, d):
 @query
 def stream_late_data(spark, d):
     root = f"{scratch_root(spark)}/late-{uuid.uuid4().hex}"
-    jobs.split_late(live(spark, d), f"{root}/on_time", f"{root}/late", f"{root}/marks",
-                    f"{root}/state", trigger=ONCE).awaitTermination()
-    schema = live(spark, d).schema
-    on_time = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(
-        f"{root}/on_time").withColumn("late", F.lit(False))
-    late = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(
-        f"{root}/late").withColumn("late", F.lit(True))
-    return on_time.unionByName(late).select("line_number", "late")
+    jobs.split_late(live(spark, d), root, f"{root}/state", trigger=ONCE).awaitTermination()
+    return jobs.late_split(spark, root, live(spark, d).schema).select("line_number", "late")
 
 
 @query
 def stream_ttl(spark, d):
-    target = store(spark)
-    jobs.store_individual(live(spark, d), target, f"{target.root}/state", trigger=ONCE
-                          ).awaitTermination()
-    since = tables.cutoff(newest(target.read("individual_logs")), timedelta(minutes=30))
-    target.expire("individual_logs", since)
-    return target.read("individual_logs", since).select("id", secs("ts"))
+    root = ingested(spark, d)
+    since = tables.cutoff(newest(jobs.stored_individual(spark, root)), timedelta(minutes=30))
+    return jobs.stored_individual(spark, root, since).select("id", secs("ts"))

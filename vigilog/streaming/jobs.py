@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from vigilog.config import EngineConfig
@@ -14,7 +15,8 @@ from vigilog.functions.embedding import EmbedderFactory
 from vigilog.operators.filtering import keep_entries
 from vigilog.operators.parsing import parse_log
 from vigilog.sources.numbering import rank_lines
-from vigilog.sources.tables import TableStore, individual_rows
+from vigilog.sources.tables import TABLES, individual_rows
+from vigilog.streaming.epochs import EpochTable
 
 
 def accepted(lines: DataFrame, config: EngineConfig | None = None) -> DataFrame:
@@ -22,16 +24,33 @@ def accepted(lines: DataFrame, config: EngineConfig | None = None) -> DataFrame:
     return keep_entries(parse_log(lines), config)
 
 
-def store_individual(entries: DataFrame, store: TableStore, checkpoint: str,
+def store_individual(entries: DataFrame, root: str, checkpoint: str,
                      embedder: EmbedderFactory | None = None, trigger: dict | None = None
                      ) -> StreamingQuery:
-    """Append every accepted entry with its sentence and vector; a replayed batch adds nothing."""
-    def write(rows: DataFrame, _: int) -> None:
-        store.append_new("individual_logs", individual_rows(rows, embedder))
+    """Store every accepted entry with its sentence and vector; a replayed batch adds nothing.
+
+    A micro-batch owns its folder, so nothing stored is searched for its ids; `stored_individual`
+    reads the rows.
+    """
+    def write(rows: DataFrame, epoch: int) -> None:
+        table = _individual(rows.sparkSession, root)
+        table.begin(epoch)
+        table.put(individual_rows(rows, embedder), epoch)
 
     return start(entries, write, checkpoint, trigger)
 
 
+def _individual(spark: SparkSession, root: str) -> EpochTable:
+    return EpochTable(spark, root, "individual_logs", TABLES["individual_logs"])
+
+
+def stored_individual(spark: SparkSession, root: str, since: Column | None = None) -> DataFrame:
+    """The rows that `store_individual` has written so far, from `since` on."""
+    rows = _individual(spark, root).all()
+    return rows if since is None else rows.filter(
+        (F.col("ingest_date") >= F.to_date(since)) & (F.col("ts") >= since))
+
+
 def start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
           trigger: dict | None = None, mode: str = "append") -> StreamingQuery:
     return (df.writeStream.outputMode(mode).foreachBatch(write)
@@ -53,42 +72,46 @@ def flush_batches(entries: DataFrame, root: str, checkpoint: str, size: int = 50
 
     Every micro-batch ranks its entries together with the few (fewer than `size` per source)
     left waiting by the one before. The ranking is the distributed one, so a source that
-    sends most of the lines is still spread over many tasks. What a micro-batch leaves behind
-    is one folder named by its number, which a replay overwrites. `on_batches` gets the
-    entries of the batches that just became full.
+    sends most of the lines is still spread over many tasks. What a micro-batch writes lies in
+    folders named by its number, which a replay overwrites and later ones merge. `on_batches` gets
+    the entries of the batches that just became full.
     """
+    schema = entries.schema
+    cut_schema = T.StructType(
+        [*schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("_full", T.BooleanType())])
+
     def write(rows: DataFrame, epoch: int) -> None:
         spark = rows.sparkSession
-        arrived, done = rows, None
-        if epoch > 0:
-            before = spark.read.parquet(f"{root}/ranked/epoch={epoch - 1}")
-            arrived = before.filter(~F.col("_full")).select(*rows.columns).unionByName(rows)
-            done = spark.read.parquet(f"{root}/done/epoch={epoch - 1}")
-        ranked = rank_lines(arrived, "_rn", "_rows")
-        if done is None:
-            ranked = ranked.withColumn("_done", F.lit(0).cast("bigint"))
-        else:
-            ranked = ranked.join(done.withColumnRenamed("batches", "_done"), "source", "left")
+        cut = EpochTable(spark, root, "cut", cut_schema)
+        counts = EpochTable(spark, root, "done", "source STRING, batches BIGINT")
+        full = _batches(spark, root, schema)
+        full.begin(epoch)
+        cut.keep_last(epoch)
+        counts.keep_last(epoch)
+        done = counts.of(epoch - 1)
+        waiting = cut.of(epoch - 1).filter(~F.col("_full")).select(*rows.columns)
+        ranked = rank_lines(waiting.unionByName(rows), "_rn", "_rows").join(
+            done.withColumnRenamed("batches", "_done"), "source", "left")
         turn = F.floor(F.col("_rn") / size)
-        (ranked.withColumn("batch_id", F.coalesce("_done", F.lit(0)) + turn)
-         .withColumn("_full", (turn + 1) * size <= F.col("_rows"))
-         .select(*rows.columns, "batch_id", "_full")
-         .write.mode("overwrite").parquet(f"{root}/ranked/epoch={epoch}"))
-        full = spark.read.parquet(f"{root}/ranked/epoch={epoch}").filter("_full").drop("_full")
-        counts = full.groupBy("source").agg((F.max("batch_id") + 1).alias("batches"))
-        if done is not None:
-            counts = counts.unionByName(done).groupBy("source").agg(
-                F.max("batches").alias("batches"))
-        counts.write.mode("overwrite").parquet(f"{root}/done/epoch={epoch}")
+        new = cut.put(ranked.withColumn("batch_id", F.coalesce("_done", F.lit(0)) + turn)
+                      .withColumn("_full", (turn + 1) * size <= F.col("_rows")), epoch)
+        ready = full.put(new.filter("_full").drop("_full"), epoch)
+        counts.put(ready.groupBy("source").agg((F.max("batch_id") + 1).alias("batches"))
+                   .unionByName(done).groupBy("source").agg(F.max("batches").alias("batches")), epoch)
         if on_batches:
-            on_batches(full, epoch)
+            on_batches(ready, epoch)
 
     return start(entries, write, checkpoint, trigger)
 
 
-def full_batches(spark: SparkSession, root: str) -> DataFrame:
-    """Entries of all batches `flush_batches` has completed so far."""
-    return spark.read.parquet(f"{root}/ranked").filter("_full").drop("_full", "epoch")
+def _batches(spark: SparkSession, root: str, schema: T.StructType) -> EpochTable:
+    return EpochTable(spark, root, "full", T.StructType(
+        [*schema.fields, T.StructField("batch_id", T.LongType())]))
+
+
+def full_batches(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """Entries, of the given schema, of all batches `flush_batches` has completed so far."""
+    return _batches(spark, root, schema).all()
 
 
 def recent_stats(entries: DataFrame, window: str = "5 minutes", slide: str | None = None,
@@ -141,28 +164,31 @@ def unique_rows(rows: DataFrame, key: str = "id", delay: str = "10 minutes") ->
     return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def split_late(entries: DataFrame, on_time_path: str, late_path: str, marks_path: str,
-               checkpoint: str, delay_seconds: int = 600, trigger: dict | None = None
-               ) -> StreamingQuery:
-    """Write entries to two tables: in time, and later than the newest seen minus the delay.
+def split_late(entries: DataFrame, root: str, checkpoint: str, delay_seconds: int = 600,
+               trigger: dict | None = None) -> StreamingQuery:
+    """Mark entries that are later than the newest seen, minus the delay; `late_split` reads them.
 
-    The newest time per source so far is one small folder per micro-batch. Output is written
-    per micro-batch folder, so a replay replaces its own files.
+    A micro-batch is evaluated once, as it is written with its marks. The newest time per source
+    so far is handed on from one to the next. What it writes lies in folders named by its number.
     """
+    schema = T.StructType([*entries.schema.fields, T.StructField("late", T.BooleanType())])
+
     def write(rows: DataFrame, epoch: int) -> None:
         spark = rows.sparkSession
-        newest = rows.groupBy("source").agg(F.max(F.unix_seconds("ts")).alias("newest"))
-        if epoch > 0:
-            before = spark.read.parquet(f"{marks_path}/epoch={epoch - 1}")
-            marked = rows.join(before, "source", "left")
-            newest = newest.unionByName(before).groupBy("source").agg(
-                F.max("newest").alias("newest"))
-        else:
-            marked = rows.withColumn("newest", F.lit(None).cast("bigint"))
+        marks = EpochTable(spark, root, "marks", "source STRING, newest BIGINT")
+        marked = EpochTable(spark, root, "entries", schema)
+        marked.begin(epoch)
+        marks.keep_last(epoch)
+        before = marks.of(epoch - 1)
         late = F.coalesce(F.unix_seconds("ts") < F.col("newest") - delay_seconds, F.lit(False))
-        for path, wanted in ((on_time_path, ~late), (late_path, late)):
-            (marked.filter(wanted).select(*rows.columns)
-             .write.mode("overwrite").parquet(f"{path}/epoch={epoch}"))
-        newest.write.mode("overwrite").parquet(f"{marks_path}/epoch={epoch}")
+        new = marked.put(rows.join(before, "source", "left").withColumn("late", late), epoch)
+        marks.put(new.groupBy("source").agg(F.max(F.unix_seconds("ts")).alias("newest"))
+                  .unionByName(before).groupBy("source").agg(F.max("newest").alias("newest")), epoch)
 
     return start(entries, write, checkpoint, trigger)
+
+
+def late_split(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """Entries, of the given schema, that `split_late` has seen so far, with `late`."""
+    return EpochTable(spark, root, "entries", T.StructType(
+        [*schema.fields, T.StructField("late", T.BooleanType())])).all()
