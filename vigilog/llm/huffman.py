@@ -35,8 +35,9 @@ _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: Pieces made of these characters alone are normalized by lower-casing each one.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _BEYOND_LATIN = re.compile("[^\\x00-ÿ]")
-#: A full stop or comma that follows another mark and so belongs to one word with it.
-_MARKS = re.compile(r"(?:[^\w\s]|_)[.,] ")
+#: A full stop or comma that follows another mark and so belongs to one word with it. Separators
+#: from 1C to 1F are marks to the tokenizer, though white space in Python's patterns.
+_MARKS = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f])[.,] ")
 
 
 class WordTokenizer:
