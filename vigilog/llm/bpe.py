@@ -36,7 +36,7 @@ SETTLED = "՘"
 _BLANK_RUN = regex.compile(r"\s (?:\s|$)")
 #: Entries of a per-process table before the older half goes; results don't change.
 CACHE_ENTRIES = 200_000
-CELLS = 2_000_000
+CELLS = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,12 +57,8 @@ class TokenAutomaton:
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.vocabulary = vocabulary
         self.labels = {i: b for b, i in vocabulary.items()}
-        self.trie: dict = {}
-        for label, i in vocabulary.items():
-            node = self.trie
-            for byte in label:
-                node = node.setdefault(byte, {})
-            node[-1] = i
+        #: The id of every label, and -1 for what only begins one.
+        self.begun = {label[:k]: -1 for label in vocabulary for k in range(1, len(label))} | vocabulary
         self.size = max(self.labels, default=0) + 1
         self.parent, self.lost, self.born = [-1], [-1], [-1]
         self.target = {i: 0 for b, i in vocabulary.items() if len(b) == 1}
@@ -117,18 +113,17 @@ class TokenAutomaton:
         Whatever accepted path reaches a place, it is the same one, so a place from which
         the search came back is never tried again.
         """
-        n, root, target, cells, size = (
-            len(word), self.trie, self.target, self.cells, self.size)
+        n, begun, target, cells, size = (
+            len(word), self.begun.get, self.target, self.cells, self.size)
         place, state, path, trials, dead = 0, 0, [], [], set()
         while place < n:
-            node, arcs = root, []
-            for k in range(place, n):
-                node = node.get(word[k])
-                if node is None:
+            arcs = []
+            for end in range(place + 1, n + 1):
+                token = begun(word[place:end])
+                if token is None:
                     break
-                token = node.get(-1)
-                if token is not None:
-                    arcs.append((token, k + 1))
+                if token >= 0:
+                    arcs.append((token, end))
             while True:
                 if arcs:
                     token, end = arcs.pop()
