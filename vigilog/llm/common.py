@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -134,6 +135,24 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, made longer until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and idle ones add up."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def extend(df: DataFrame, column: str, fields: list[StructField],
            build: Callable[[], Callable[[list], list]], keep: list[str] | None = None) -> DataFrame:
     """Columns computed from one column, batch by batch, beside the columns in `keep`.
@@ -150,11 +169,15 @@ def extend(df: DataFrame, column: str, fields: list[StructField],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = build()
-        for batch in batches:
-            values = batch.column(len(kept)).to_pylist()
-            made = [v if isinstance(v, pa.Array) else pa.array(v, type=t)
-                    for v, t in zip(work(values), arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:len(kept)] + made, names=names)
+        try:
+            for batch in batches:
+                values = batch.column(len(kept)).to_pylist()
+                made = [v if isinstance(v, pa.Array) else pa.array(v, type=t)
+                        for v, t in zip(work(values), arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays(batch.columns[:len(kept)] + made, names=names)
+        finally:
+            work = batch = values = made = None             # noqa: F841
+            give_back()
 
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(column).alias("_input"))
     schema = StructType(source.schema.fields[:-1] + fields)

@@ -9,7 +9,6 @@ here; items shorter than that count when they are matched whole.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,20 +198,13 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
     return current
 
 
-_AUTOMATA: dict[str, ItemAutomaton] = {}
-
-
 def _pass(docs: DataFrame, rows: list, text: str, window: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(rows)
-    key = uuid.uuid4().hex
     at = docs.columns.index(text)
     kept = len(docs.columns) - 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _AUTOMATA:                # one automaton per worker process
-            _AUTOMATA.clear()
-            _AUTOMATA[key] = ItemAutomaton(sent.value, window)
-        automaton = _AUTOMATA[key]
+        automaton = ItemAutomaton(sent.value, window)       # the task's own: nothing stays in the worker
         for batch in batches:
             n, hits, found = [], [], []
             for t, old, seen in zip(batch.column(at).to_pylist(),
@@ -242,27 +234,30 @@ def hit_count(hit: str = "hit") -> F.Column:
 
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text",
                  max_coverage: float = 0.5, **options) -> DataFrame:
-    """The rows of `docs` without what they share with the items, columns unchanged.
+    """The rows of `docs` without what they share with the items; all columns but the text, whatever
+    their names, come back unchanged.
 
     Every stretch of hit words goes, with what stands between its words. A document loses all its
     text to the limit `max_coverage`: if more than that part of its words is hit, it is dropped.
     Documents without a hit come back as they are.
     """
-    marked = find_hits(docs, items, text=text, **options)
+    # The rows travel in one struct, so that none of their names can clash with the marks'.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                         F.col(f"`{text}`").alias("text"))
+    marked = find_hits(packed, items, **options)
     share = hit_count() / F.greatest(F.col("n_words"), F.lit(1))
-    left = marked.where(share <= max_coverage)
-    at, columns = docs.columns.index(text), docs.columns
+    left = marked.where(share <= max_coverage).select("row", "text", "hit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [cut(t, np.frombuffer(h, bool)) for t, h in zip(
-                batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(),
-                strict=True)]
-            arrays = batch.columns[:len(columns)]
-            arrays[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+                batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())],
+                                             names=["row", "text"])
 
-    return left.select(*[F.col(f"`{c}`") for c in columns], "hit").mapInArrow(run, docs.schema)
+    done = left.mapInArrow(run, packed.schema)
+    return done.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c)
+                         for c in docs.columns])
 
 
 def cut(text: str | None, hit: np.ndarray) -> str | None:

@@ -25,7 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from vigilog.llm.common import extend, few, hex_digest, small_batches, window_hashes, word_hashes
+from vigilog.llm.common import (
+    extend,
+    few,
+    fresh,
+    hex_digest,
+    small_batches,
+    window_hashes,
+    word_hashes,
+)
 from vigilog.session import materialize
 
 WIDTH = 35
@@ -254,7 +262,7 @@ def covered(runs: list | None, n: int, width: int) -> np.ndarray:
 
 def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
          ) -> tuple[DataFrame, DataFrame]:
-    """`docs` with a `_runs` column, as (rows with repeats, rows without, whose runs are null).
+    """`docs` with a last column of runs, as (rows with repeats, rows without, whose runs are null).
 
     Only rows with repeats are moved to meet them, while their keys may be broadcast.
     """
@@ -267,10 +275,11 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                          F.col(key).cast("bigint").alias("_id"), F.xxhash64(text).alias("_hash"))
     same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_version"))
     columns = [F.col("_row").getField(c).alias(c) for c in docs.columns]
+    name = fresh("_runs", docs.columns)
     met = tagged.join(keys, same, "left_semi").join(runs, same).select(
-        *columns, F.col("runs").alias("_runs"))
+        *columns, F.col("runs").alias(name))
     rest = tagged.join(keys, same, "left_anti").select(
-        *columns, F.lit(None).cast(runs.schema["runs"].dataType).alias("_runs"))
+        *columns, F.lit(None).cast(runs.schema["runs"].dataType).alias(name))
     return met, rest
 
 
@@ -287,8 +296,9 @@ def _apply(rows: DataFrame, text: str, width: int, fields: list[StructField], ke
 
         return work
 
-    packed = rows.withColumn("_packed", F.struct(F.col(text).alias("text"), F.col("_runs").alias("runs")))
-    return extend(packed, "_packed", fields, build, keep)
+    name = fresh("_packed", rows.columns)
+    packed = rows.withColumn(name, F.struct(F.col(text).alias("text"), F.col(rows.columns[-1]).alias("runs")))
+    return extend(packed, name, fields, build, keep)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text",
