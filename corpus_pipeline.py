@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.llm import bpe, decontaminate, minhash, repeats, toxicity
-from vigilog.llm.common import table
+from vigilog.llm.common import fresh, table
 from vigilog.session import materialize
 
 
@@ -21,8 +21,9 @@ def _same_columns(changed: DataFrame, docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more go; the others stay as they are."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, out="_toxicity")
-    return scored.where("_toxicity < 0.5").select(*docs.columns)
+    score = fresh("toxicity", docs.columns)
+    scored = toxicity.score(docs, model, out=score)
+    return scored.where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
