@@ -92,6 +92,49 @@ def search_alerts(alerts: DataFrame, needle: str) -> DataFrame:
         | F.exists("target_paths", lambda p: _mentions(p, needle)))
 
 
+GRAM = 3
+#: Grams of a needle whose postings are read: the rarest ones.
+GRAMS_READ = 4
+
+
+def _grams(value: Column) -> Column:
+    value = F.lower(value)
+    last = F.length(value) - GRAM + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(value, i, F.lit(GRAM)))
+                  ).otherwise(F.array().cast("array<string>"))
+
+
+def postings(alerts: DataFrame) -> DataFrame:
+    """(gram, alert_id): which alerts have three characters in a row in one of their searched texts."""
+    texts = F.filter(F.concat(F.array("description", "recommendation"), F.coalesce(
+        "source_ips", F.array()), F.coalesce("target_paths", F.array())), lambda t: t.isNotNull())
+    return alerts.select("alert_id", F.explode(F.array_distinct(F.flatten(
+        F.transform(texts, _grams)))).alias("gram")).select("gram", "alert_id")
+
+
+def write_postings(alerts: DataFrame, path: str) -> None:
+    """Stores the postings in the order of grams, so that a search opens few row groups."""
+    (postings(alerts).repartitionByRange("gram", "alert_id").sortWithinPartitions("gram", "alert_id")
+     .write.option("parquet.bloom.filter.enabled#gram", "true").mode("append").parquet(path))
+
+
+def search_indexed(alerts: DataFrame, index: DataFrame, needle: str) -> DataFrame:
+    """`search_alerts` by stored postings: only alerts that have the needle's rarest grams are read
+    in full and compared. A needle of fewer than three characters has no gram, so all are."""
+    low = needle.lower()
+    grams = sorted({low[i:i + GRAM] for i in range(len(low) - GRAM + 1)})
+    if not grams:
+        return search_alerts(alerts, needle)
+    # At most one row per gram of the needle; grams that no alert has end the search at once.
+    found = index.filter(F.col("gram").isin(grams)).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()
+    if len(found) < len(grams):
+        return alerts.limit(0)
+    rare = [r.gram for r in sorted(found, key=lambda r: (r.n, r.gram))[:GRAMS_READ]]
+    hits = (index.filter(F.col("gram").isin(rare)).groupBy("alert_id").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") == len(rare)).select("alert_id"))
+    return search_alerts(alerts.join(hits, "alert_id", "left_semi"), needle)
+
+
 def search_runs(runs: DataFrame, needle: str, status: str | None = None,
                 since: Column | None = None) -> DataFrame:
     found = runs.filter(_mentions(F.col("error_message"), needle))

@@ -110,16 +110,17 @@ def distinct_texts(found: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
 def recent_context(batches: DataFrame, individual: DataFrame, groups: DataFrame,
                    summaries: DataFrame, queries: QueryVectors, minutes: int = 30,
-                   max_individual: int = 20, max_groups: int = 10, max_summaries: int = 5
-                   ) -> DataFrame:
+                   max_individual: int = 20, max_groups: int = 10, max_summaries: int = 5,
+                   group_queries: QueryVectors | None = None) -> DataFrame:
     """`(source, batch_id, kind, rank, id, document, distance)` for all batches at once.
 
     `batches` has `(source, batch_id, as_of)` with the second of the batch's last entry; a
-    batch sees rows of the `minutes` up to it, and the latest summaries of earlier batches.
+    batch sees rows of the `minutes` up to it, and the latest summaries of earlier batches. Groups
+    are searched with `group_queries` where they have vectors of another model.
     """
     window = minutes * 60
 
-    def similar(corpus: DataFrame, kind: str, limit: int) -> DataFrame:
+    def similar(corpus: DataFrame, kind: str, limit: int, queries: QueryVectors) -> DataFrame:
         k = max(1, limit // len(queries))
         ids = nearest_in_window(corpus, batches, queries, k, window)
         # Digests tell equal texts apart; the texts themselves are joined to what is left.
@@ -142,8 +143,8 @@ def recent_context(batches: DataFrame, individual: DataFrame, groups: DataFrame,
              .withColumn("rank", F.row_number().over(order).cast("bigint"))
              .select("source", "batch_id", F.lit("analysis_summaries").alias("kind"), "rank",
                      "id", "document", F.lit(None).cast("double").alias("distance")))
-    return (similar(individual, "individual_logs", max_individual)
-            .unionByName(similar(groups, "grouped_summaries", max_groups))
+    return (similar(individual, "individual_logs", max_individual, queries)
+            .unionByName(similar(groups, "grouped_summaries", max_groups, group_queries or queries))
             .unionByName(prior))
 
 

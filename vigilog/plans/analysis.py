@@ -103,7 +103,8 @@ def analyze_batches(entries: DataFrame, config: EngineConfig | None = None,
                     embedder: EmbedderFactory | None = None,
                     scorer: prompts.ScorerFactory | None = None,
                     history: DataFrame | None = None, include_partial: bool = False,
-                    always_record: bool = False, batched: DataFrame | None = None) -> Analysis:
+                    always_record: bool = False, batched: DataFrame | None = None,
+                    summary_embedder: EmbedderFactory | None = None) -> Analysis:
     """Analyse all batches of accepted entries as one set of joins and aggregations.
 
     With rules, the summaries of earlier batches are known at once and serve as context, beside
@@ -111,11 +112,15 @@ def analyze_batches(entries: DataFrame, config: EngineConfig | None = None,
     plugged-in model sees the stored summaries given as `history` instead, as a summary of
     the run itself would depend on the replies being asked for. Shared intermediates are
     written once to the shared scratch folder. `batched` gives the batches if they are already
-    cut (entries with `batch_id` and `position`).
+    cut (entries with `batch_id` and `position`). Vectors have two tiers: `embedder` is for single
+    entries, where it has to be fast, `summary_embedder` (default: the same) for groups and summaries.
     """
     config = config or EngineConfig()
     embedder = embedder or hashed_words(config.embedding_dim)
+    summary_embedder = summary_embedder or embedder
     queries = retrieval.embed_queries(retrieval.CONTEXT_QUERIES, embedder)
+    group_queries = (queries if summary_embedder is embedder else
+                     retrieval.embed_queries(retrieval.CONTEXT_QUERIES, summary_embedder))
     entries = materialize(entries, "entries")           # parsed once, read by both branches
     if batched is None:
         batched = batching.assign_batches(entries, config.buffer_size, include_partial, stored=True)
@@ -126,12 +131,12 @@ def analyze_batches(entries: DataFrame, config: EngineConfig | None = None,
                           F.unix_seconds("last_entry.ts").alias("as_of"))
     groups = materialize(tables.group_rows(
         batching.summarize_groups(batching.group_entries(batched)),
-        ends.select(*BATCH, "ts"), embedder), "groups")
+        ends.select(*BATCH, "ts"), summary_embedder), "groups")
 
     def context_of(summaries: DataFrame) -> DataFrame:
         return retrieval.recent_context(
             ends.select(*BATCH, "as_of"), individual, groups, summaries, queries,
-            config.rag_time_window_minutes)
+            config.rag_time_window_minutes, group_queries=group_queries)
 
     replies = None
     if scorer is None:
@@ -143,7 +148,7 @@ def analyze_batches(entries: DataFrame, config: EngineConfig | None = None,
         prompt_table = materialize(prompts.context_prompt(batched, context), "prompts")
         found, replies = model_findings(prompt_table, scorer)
     summaries = materialize(
-        tables.summary_rows(batching.analysis_summary(profile, found, replies), embedder), "summaries")
+        tables.summary_rows(batching.analysis_summary(profile, found, replies), summary_embedder), "summaries")
     if scorer is None:      # no model reads them, so they are made only if they are looked at
         context = context_of(summaries if history is None else history.unionByName(summaries))
         prompt_table = prompts.context_prompt(batched, context)
@@ -156,23 +161,52 @@ def analyze_batches(entries: DataFrame, config: EngineConfig | None = None,
 
 def analyze_window(chunks: DataFrame, hours: float | None = 1, n: int = 100,
                    phrases=retrieval.THREAT_QUERIES, embedder: EmbedderFactory | None = None,
-                   scorer: prompts.ScorerFactory | None = None, as_of: Column | None = None
-                   ) -> DataFrame:
-    """One row: what a window of stored chunks shows. Without a scorer no reply is asked for."""
+                   scorer: prompts.ScorerFactory | None = None, as_of: Column | None = None,
+                   members: DataFrame | None = None, limits: rules.Thresholds | None = None,
+                   model: str = "rules") -> DataFrame:
+    """One row: what a window of stored chunks shows.
+
+    A plugged-in model is sent the prompt of the retrieved chunks. Without one, the rules look at
+    the entries of these chunks, which `members` has (entries with `chunk_id`); they count over all
+    of the window's entries together. `threats` are JSON texts in either case; `status`, `error`,
+    `model_used` and `seconds` tell how the analysis went.
+    """
     queries = retrieval.embed_queries(phrases, embedder)
-    found = ranked_chunks(retrieval.combined(chunks, queries, hours, n, as_of))
+    found = materialize(ranked_chunks(retrieval.combined(chunks, queries, hours, n, as_of)), "retrieved")
     prompt = prompts.chunk_prompt(found)
+    none = F.lit(None)
     if scorer is None:
-        scored = prompt.withColumn("reply", F.lit('{"threats": []}'))
+        scored = prompt.withColumns({"error": none.cast("string"), "seconds": F.lit(0.0)})
+        if members is None:
+            scored = scored.withColumn("reply", F.lit('{"threats": []}'))
+        else:
+            scored = scored.withColumn("reply", _window_reply(found, members, limits).scalar())
     else:
         keys = ["chunks", "window_start", "window_end", "sections", "tokens"]
         scored = prompts.score_prompts(prompt, scorer, keys)
     read = threats.read_replies(scored)
-    empty = F.col("chunks") == 0
+    empty, failed = F.col("chunks") == 0, F.col("error").isNotNull()
     return read.select(
         F.col("chunks").alias("chunks_analyzed"), "window_start", "window_end",
-        F.when(empty, F.lit(NO_LOGS)).otherwise(F.col("summary")).alias("summary"),
-        F.when(~empty, F.col("tokens")).alias("estimated_tokens"), "sections", "threats")
+        F.when(empty, F.lit(NO_LOGS)).when(failed, F.concat(F.lit("Analysis failed: "), "error"))
+        .otherwise(F.col("summary")).alias("summary"),
+        F.when(~empty, F.col("tokens")).alias("estimated_tokens"), "sections", "threats",
+        F.when(failed, F.lit("error")).otherwise(F.lit("success")).alias("status"), "error",
+        F.lit(model).alias("model_used"), "seconds")
+
+
+def _window_reply(found: DataFrame, members: DataFrame, limits: rules.Thresholds | None) -> DataFrame:
+    """One row, one column: what the rules find in the retrieved chunks, in the form of a model's reply.
+
+    The chunks are at most as many as were asked for and of bounded size, and so are the findings.
+    """
+    ids = found.select("chunk_id").distinct()
+    inside = members.join(F.broadcast(ids), "chunk_id", "left_semi").withColumn("batch_id", F.lit(0).cast("bigint"))
+    rows = rule_findings(inside, limits)
+    threat = F.struct("type", "severity", "confidence", "description", "evidence", "recommendation",
+                      "source_ips", "target_paths")
+    return rows.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(
+        F.struct("source", "threat_no", threat.alias("threat")))), lambda r: r["threat"]).alias("threats"))))
 
 
 def ranked_chunks(found: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from vigilog.config import EngineConfig
 from vigilog.functions import text
 from vigilog.functions.embedding import with_embedding
 from vigilog.operators import (alerts, batching, chunking, filtering, parsing, profiles, prompts,
-                               retrieval, rules, threats, vectors)
+                               retrieval, rules, sketches, threats, vectors)
 from vigilog.operators.batching import BATCH, GROUP
 from vigilog.plans import analysis
 from vigilog.plans.oracle import BATCH_LOW, LOW
@@ -900,12 +900,42 @@ def stream_analyze(spark, d):
 
 @query
 def analyze_window(spark, d):
-    return analysis.analyze_window(chunks(spark, d), 1, 100).select(
-        "chunks_analyzed", secs("window_start"), secs("window_end"), "summary",
+    members = chunking.intelligent(entries(spark, d))
+    return analysis.analyze_window(chunks(spark, d), 1, 100, members=members, limits=BATCH_LIMITS).select(
+        "chunks_analyzed", secs("window_start"), secs("window_end"), "summary", "status", "model_used",
         F.size("threats").cast("bigint").alias("threats"),
+        F.size(F.filter("threats", lambda t: F.get_json_object(t, "$.severity") == "critical"))
+        .cast("bigint").alias("critical"),
         F.length("sections").cast("bigint").alias("prompt_chars"))
 
 
+def panes(spark, d) -> DataFrame:
+    """The sketches of every five minutes, as they would be stored."""
+    return stage(spark, d, "panes", lambda: materialize(sketches.pane_sketches(kept(spark, d)), "panes"))
+
+
+@query
+def sketch_top_paths(spark, d):
+    """Paths with a thousandth of an hour's requests or more, from the merged sketches of its panes."""
+    hour = (F.floor(F.col("pane_start") / 3600) * 3600).alias("hour")
+    merged = sketches.merge_panes(panes(spark, d).withColumn("hour", hour), ["hour"])
+    found = sketches.top_of(merged.withColumnRenamed("n", "all"), ["hour", "all"], "top_paths", 1000)
+    return found.filter(F.col("n") * 1000 >= F.col("all")).select("hour", "value", "n")
+
+
+@query
+def sketch_addresses(spark, d):
+    """Distinct addresses of an hour from merged sketches: whether they are within five percent (three
+    standard errors) of the exact number beside them."""
+    hour = (F.floor(F.col("pane_start") / 3600) * 3600).alias("hour")
+    found = sketches.addresses_of(sketches.merge_panes(
+        panes(spark, d).withColumn("hour", hour), ["hour"]), ["hour"])
+    exact = kept(spark, d).groupBy((F.floor(F.unix_seconds("ts") / 3600) * 3600).alias("hour")).agg(
+        F.countDistinct(text.filled(F.col("client_ip"))).alias("exact"))
+    return found.join(exact, "hour").select("hour", "n", "exact", (
+        F.abs(F.col("addresses") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within"))
+
+
 # --- alert analytics -----------------------------------------------------------------------------------------------------
 
 @query
@@ -962,6 +992,16 @@ def alerts_search(spark, d):
     return alerts.search_alerts(alert_table(spark, d), "User 1").select("alert_id")
 
 
+@query
+def alerts_search_indexed(spark, d):
+    """The rows of `alerts_search` by stored trigrams."""
+    path = f"{scratch_root(spark)}/postings-{uuid.uuid4().hex}"
+    table = alert_table(spark, d)
+    alerts.write_postings(table, path)
+    index = spark.read.schema("gram STRING, alert_id BIGINT").parquet(path)
+    return alerts.search_indexed(table, index, "User 1").select("alert_id")
+
+
 @query
 def runs_search(spark, d):
     return alerts.search_runs(run_table(spark, d), "timeout", "error").select(

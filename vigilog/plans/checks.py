@@ -232,9 +232,15 @@ def _sections(hours, n: int) -> str:
 
 
 check("chunk_prompt", f"SELECT chunks, sections FROM ({_sections(1, 30)})")
+o.CTES["window_entries"] = f"""SELECT 0 AS batch_id, e.* FROM intelligent e
+  WHERE chunk_id IN (SELECT chunk_id FROM ({o.combined(1, 100)}))"""
+o.CTES["window_findings"] = " UNION ALL ".join(
+    f"SELECT threat_type, n, lim FROM ({o.rule(k, 'batch_id', 'window_entries', o.BATCH_LOW)})" for k in o.KINDS)
 check("analyze_window", f"""SELECT chunks AS chunks_analyzed, window_start, window_end,
-  'Analysis complete.' AS summary, CAST(0 AS BIGINT) AS threats, length(sections) AS prompt_chars
-  FROM ({_sections(1, 100)})""")
+  'Analysis complete.' AS summary, 'success' AS status, 'rules' AS model_used,
+  (SELECT count(*) FROM window_findings) AS threats,
+  (SELECT count(*) FROM (SELECT {o._SEVERITY} AS severity FROM window_findings) WHERE severity = 'critical') AS critical,
+  length(sections) AS prompt_chars FROM ({_sections(1, 100)})""")
 
 
 def _part(kind: str, limit: int, title: str) -> str:
@@ -297,6 +303,14 @@ check("recent_runs", """SELECT run_id, ts, status, round(duration_seconds, 2) AS
 check("alerts_search", """SELECT alert_id FROM alerts WHERE contains(lower(description), 'user 1')
   OR contains(lower(recommendation), 'user 1') OR contains(lower(array_to_string(source_ips, ' ')), 'user 1')
   OR contains(lower(array_to_string(target_paths, ' ')), 'user 1')""")
+check("alerts_search_indexed", """SELECT alert_id FROM alerts WHERE contains(lower(description), 'user 1')
+  OR contains(lower(recommendation), 'user 1') OR contains(lower(array_to_string(source_ips, ' ')), 'user 1')
+  OR contains(lower(array_to_string(target_paths, ' ')), 'user 1')""")
+check("sketch_top_paths", """SELECT hour, path AS value, count(*) AS n FROM (SELECT CAST(ts // 3600 * 3600 AS BIGINT) AS hour, path,
+    count(*) OVER (PARTITION BY ts // 3600) AS total FROM kept)
+  WHERE path <> '' GROUP BY hour, path, total HAVING count(*) * 1000 >= total""")
+check("sketch_addresses", """SELECT CAST(ts // 3600 * 3600 AS BIGINT) AS hour, count(*) AS n,
+  count(DISTINCT nullif(client_ip, '')) AS exact, true AS within FROM kept GROUP BY 1""")
 check("runs_search", """SELECT run_id, error_message FROM runs
   WHERE contains(lower(error_message), 'timeout') AND status = 'error'""")
 check("acknowledge_alerts", """SELECT alert_id, acknowledged OR severity = 'critical' AS acknowledged,

@@ -33,7 +33,8 @@ def run_stream(spark: SparkSession, path: str, root: str, checkpoint: str,
                source: str = "access.log", config: EngineConfig | None = None,
                limits: rules.Thresholds | None = None, embedder: EmbedderFactory | None = None,
                scorer: prompts.ScorerFactory | None = None, max_files: int | None = None,
-               trigger: dict | None = None, follow: str | None = None) -> StreamingQuery:
+               trigger: dict | None = None, follow: str | None = None,
+               summary_embedder: EmbedderFactory | None = None) -> StreamingQuery:
     """Follow closed log segments in `path` as one log named `source` and analyse it on the way.
 
     With `follow`, `path` is a growing file, or a folder of them, read from its "end" or from its
@@ -75,7 +76,7 @@ def run_stream(spark: SparkSession, path: str, root: str, checkpoint: str,
         # A batch sees the summaries of a few batches before it: the filter reaches the Parquet scan.
         history = kept["analysis_summaries"].upto(epoch, epoch).filter(F.col("batch_id") >= batches - HISTORY)
         found = analyze_batches(done.drop("batch_id", "position"), config, limits, embedder, scorer,
-                                history, batched=done)
+                                history, batched=done, summary_embedder=summary_embedder)
         for name, part in WRITTEN.items():
             kept[name].put(getattr(found, part), epoch)
         hand_over["_state"].put(spark.createDataFrame([(lines + total, batches + full.count())],
