@@ -87,3 +87,24 @@ def test_text_is_neither_shuffled_nor_parsed_twice(spark, tmp_path):
     plan = logs.scan_lines(spark, str(tmp_path / "a.log"))._jdf.queryExecution().executedPlan().toString()
     after = plan[:plan.index("MapInArrow")]
     assert plan.count("MapInArrow") == 1 and "Exchange" not in after and "Join" not in plan
+
+
+@pytest.mark.parametrize("step", [3, 1 << 20])
+def test_tails_are_read_backwards(tmp_path, monkeypatch, step):
+    monkeypatch.setattr(ranges, "STEP_BYTES", step)
+    rng = random.Random(step)
+    for case in range(60):
+        data = b"".join(rng.choice([b"a", b"bc", b"\n", b"\r\n", b"\r", b"long line"]) for _ in range(rng.randrange(30)))
+        (tmp_path / "f").write_bytes(data)
+        for n in (1, 2, 5, 50):
+            start = ranges.start_of_tail(str(tmp_path / "f"), len(data), n)
+            assert split(data[start:]) == split(data)[-n:], (data, n)
+
+
+def test_the_tail_of_files(spark, tmp_path):
+    rows = write(tmp_path / "logs")
+    got = {}
+    for r in logs.scan_tail(spark, str(tmp_path / "logs"), 3).collect():
+        got.setdefault(r.source.rpartition("/")[2], {})[r.from_end] = r.value
+    assert got["a.log"] == {3: rows[-3], 2: rows[-2], 1: rows[-1]}
+    assert got["old.log.gz"] == {2: "one", 1: "two"} and got["b%20c.log"][1] == "end"

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_operators import make_log
-from vigilog.operators import alerts, chunking, rules, sketches
+from vigilog.config import EngineConfig
+from vigilog.operators import alerts, chunking, prompts, rules, sketches
 from vigilog.plans import analysis
 from vigilog.sources import tables
 
@@ -127,3 +128,13 @@ def test_two_embedding_tiers(spark):
     assert sizes(done.individual_logs) == {2}
     assert sizes(done.group_summaries) == {3} and sizes(done.analysis_summaries) == {3}
     assert done.context.groupBy("kind").count().count() == 3
+
+
+def test_call_settings_reach_the_scorer(spark):
+    def scorer(call):
+        return lambda texts: [f"{call.system}|{call.temperature}|{call.max_tokens}" for _ in texts]
+
+    asked = spark.createDataFrame([(1, "p")], "k int, prompt string")
+    call = prompts.ModelCall("be brief", 0.7, 99)
+    assert prompts.score_prompts(asked, scorer, ["k"], settings=call).first().reply == "be brief|0.7|99"
+    assert EngineConfig(temperature=0.3, max_tokens=7).model_call == prompts.ModelCall(temperature=0.3, max_tokens=7)

@@ -38,6 +38,8 @@ class EngineConfig:
     retention_minutes: int = 60
     max_results: int = 100
     model: str = "rules"
+    temperature: float = 0.1
+    max_tokens: int | None = None
     embedding_dim: int = 64
     enabled: bool = True
 
@@ -51,6 +53,12 @@ class EngineConfig:
             included_methods_override=OVERRIDE_METHODS,
         )
 
+    @property
+    def model_call(self):
+        from vigilog.operators.prompts import ModelCall
+
+        return ModelCall(temperature=self.temperature, max_tokens=self.max_tokens)
+
     @property
     def extensions(self) -> tuple[str, ...]:
         items = split_option(self.excluded_extensions) or split_option(STATIC_EXTENSIONS)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import inspect
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +17,8 @@ from vigilog.operators.batching import BATCH
 from vigilog.schema import SEVERITIES, THREAT_TYPES
 
 Scorer = Callable[[list[str]], list[str]]
-ScorerFactory = Callable[[], Scorer]
+#: Called without arguments, or with a `ModelCall` if it has a parameter for one.
+ScorerFactory = Callable[..., Scorer]
 
 _REPLY_FORMAT = (
     '{"threats": [{"type": "<' + "|".join(THREAT_TYPES) + '>", "severity": "<'
@@ -80,12 +83,28 @@ def with_tokens(prompts: DataFrame) -> DataFrame:
         .withColumn("tokens", token_estimate(F.col("prompt"))))
 
 
+@dataclass(frozen=True)
+class ModelCall:
+    """What a model is called with beside the prompt."""
+
+    system: str = ("You look for attacks in web-server logs. You report what the lines show, nothing "
+                   "else, as JSON.")
+    temperature: float = 0.1
+    max_tokens: int | None = None
+
+
+def build_scorer(scorer: ScorerFactory, call: ModelCall | None) -> Scorer:
+    """The scorer of a factory; one that takes an argument is given the call's settings."""
+    return scorer(call or ModelCall()) if inspect.signature(scorer).parameters else scorer()
+
+
 def score_prompts(prompts: DataFrame, scorer: ScorerFactory, keys: list[str],
-                  batch_rows: int = 16) -> DataFrame:
+                  batch_rows: int = 16, settings: ModelCall | None = None) -> DataFrame:
     """`(keys, reply, error, seconds)`: prompts sent to a model, built once per partition.
 
     A call fails by raising or by a wrong number of replies. The prompts of a failed call are
-    sent again one by one, so only those that fail alone have an `error` and an empty reply.
+    sent again one by one, so only those that fail alone have an `error` and an empty reply. A scorer
+    factory with a parameter gets the `settings`: system text, temperature and token limit.
     """
     def call(score: Scorer, texts: list[str]) -> list[str]:
         replies = list(score(texts))
@@ -100,7 +119,7 @@ def score_prompts(prompts: DataFrame, scorer: ScorerFactory, keys: list[str],
             return "", str(failure)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = scorer()
+        score = build_scorer(scorer, settings)
         for pdf in batches:
             for at in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[at:at + batch_rows]

@@ -51,9 +51,10 @@ def rule_findings(batched: DataFrame, limits: rules.Thresholds | None = None) ->
         .otherwise(F.array().cast("array<string>")).alias("target_paths"))
 
 
-def model_findings(prompt_table: DataFrame, scorer: prompts.ScorerFactory) -> tuple[DataFrame, DataFrame]:
+def model_findings(prompt_table: DataFrame, scorer: prompts.ScorerFactory,
+                   settings: prompts.ModelCall | None = None) -> tuple[DataFrame, DataFrame]:
     """Threats read from a model's replies, and the replies themselves."""
-    replies = materialize(prompts.score_prompts(prompt_table, scorer, BATCH), "replies")
+    replies = materialize(prompts.score_prompts(prompt_table, scorer, BATCH, settings=settings), "replies")
     read = threats.read_replies(replies)
     return threats.reply_threats(read, BATCH), read
 
@@ -146,7 +147,7 @@ def analyze_batches(entries: DataFrame, config: EngineConfig | None = None,
             history = entries.sparkSession.createDataFrame([], ANALYSIS_SUMMARIES)
         context = materialize(context_of(history), "context")
         prompt_table = materialize(prompts.context_prompt(batched, context), "prompts")
-        found, replies = model_findings(prompt_table, scorer)
+        found, replies = model_findings(prompt_table, scorer, config.model_call)
     summaries = materialize(
         tables.summary_rows(batching.analysis_summary(profile, found, replies), summary_embedder), "summaries")
     if scorer is None:      # no model reads them, so they are made only if they are looked at
@@ -163,7 +164,7 @@ def analyze_window(chunks: DataFrame, hours: float | None = 1, n: int = 100,
                    phrases=retrieval.THREAT_QUERIES, embedder: EmbedderFactory | None = None,
                    scorer: prompts.ScorerFactory | None = None, as_of: Column | None = None,
                    members: DataFrame | None = None, limits: rules.Thresholds | None = None,
-                   model: str = "rules") -> DataFrame:
+                   model: str = "rules", settings: prompts.ModelCall | None = None) -> DataFrame:
     """One row: what a window of stored chunks shows.
 
     A plugged-in model is sent the prompt of the retrieved chunks. Without one, the rules look at
@@ -183,7 +184,7 @@ def analyze_window(chunks: DataFrame, hours: float | None = 1, n: int = 100,
             scored = scored.withColumn("reply", _window_reply(found, members, limits).scalar())
     else:
         keys = ["chunks", "window_start", "window_end", "sections", "tokens"]
-        scored = prompts.score_prompts(prompt, scorer, keys)
+        scored = prompts.score_prompts(prompt, scorer, keys, settings=settings)
     read = threats.read_replies(scored)
     empty, failed = F.col("chunks") == 0, F.col("error").isNotNull()
     return read.select(

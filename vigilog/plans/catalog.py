@@ -147,6 +147,13 @@ def scan_tail_n(spark, d):
     return logs.tail(lines(spark, d), 100).select("line_number", "value")
 
 
+@query
+def scan_tail_files(spark, d):
+    """The last 100 lines of every file, read from the files' ends."""
+    found = logs.scan_tail(spark, segments(spark, d), 100)
+    return found.select(segment_of(F.col("source")), "from_end", "value")
+
+
 @query
 def stream_log_lines(spark, d):
     root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"

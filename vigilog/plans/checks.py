@@ -18,6 +18,8 @@ _SEGMENT = "line_number // 2000"
 check("scan_log_lines", f"""SELECT {_SEGMENT} AS segment, row_number() OVER (
   PARTITION BY {_SEGMENT} ORDER BY line_number) AS line_number, value FROM log""")
 check("scan_tail_n", "SELECT line_number, value FROM log ORDER BY line_number DESC LIMIT 100")
+check("scan_tail_files", f"""SELECT {_SEGMENT} AS segment, row_number() OVER (
+  PARTITION BY {_SEGMENT} ORDER BY line_number DESC) AS from_end, value FROM log QUALIFY from_end <= 100""")
 check("stream_log_lines", f"SELECT {_SEGMENT} AS segment, value FROM log")
 _FILES = "(SELECT max(line_number) // 2000 + 8 FROM log)"
 check("stream_follow", f"""SELECT line_number % {_FILES} AS file, value FROM log

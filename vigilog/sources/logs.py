@@ -66,6 +66,14 @@ def tail(lines: DataFrame, n: int = 100) -> DataFrame:
             .filter(F.col("_rank") <= n).drop("_rank"))
 
 
+def scan_tail(spark: SparkSession, path: str, n: int = 100) -> DataFrame:
+    """`(source, from_end, value)`: the last `n` lines of every file under `path`.
+
+    Files are read backwards from their ends, so a log of any length costs what its tail does.
+    """
+    return ranges.read_tails(ranges.plan_ranges(spark, path), n)
+
+
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Follow a directory of closed log segments; new files become new rows.
 

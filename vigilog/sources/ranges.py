@@ -8,6 +8,7 @@ whatever the session's settings are when they run.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from typing import BinaryIO
 from urllib.parse import unquote
@@ -134,6 +135,44 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                           f"{r['lines']} when they were counted")
 
 
+def start_of_tail(uri: str, size: int, n: int) -> int:
+    """The byte at which the last `n` lines of a file begin, found from its end backwards."""
+    stop, wanted = size, n
+    while stop > 0 and wanted > 0:
+        start = max(0, stop - STEP_BYTES)
+        with open_input(uri, max(start - 1, 0)) as f:
+            before = f.read(1)[0] if start else _LF
+            data = np.frombuffer(f.read(stop - start), np.uint8)
+        last = np.concatenate([np.array([before], np.uint8), data[:-1]])
+        begins = np.flatnonzero((last == _LF) | (last == _CR) & (data != _LF))
+        if len(begins) >= wanted:
+            return start + int(begins[-wanted])
+        stop, wanted = start, wanted - len(begins)
+    return 0 if wanted > 0 else size
+
+
+def _tails(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _each_range(batches):
+            last: deque = deque(maxlen=n)
+            start = 0 if r["source"].endswith(PACKED) else start_of_tail(r["source"], r["size"], n)
+            for lines in lines_of_range(r["source"], start, r["size"], r["size"]):
+                last.extend(lines)
+            back = np.arange(len(last), 0, -1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["source"]] * len(last), pa.string()), pa.array(back, pa.int64()),
+                 pa.array(list(last), pa.binary())], names=["source", "from_end", "value"])
+
+    return run
+
+
+def read_tails(ranges: DataFrame, n: int) -> DataFrame:
+    """The last `n` lines of every planned file, `from_end` counting down to 1; only their bytes are read
+    (packed files are read through)."""
+    read = spread(ranges.where("start = 0")).mapInArrow(_tails(n), "source STRING, from_end BIGINT, value BINARY")
+    return read.withColumn("value", F.make_valid_utf8(F.col("value").cast("string")))
+
+
 def number_ranges(ranges: DataFrame) -> DataFrame:
     """Adds `lines` and `first`, the lines before a range; one pass over the bytes, written once."""
     pinned = materialize(ranges, "planned-ranges")
