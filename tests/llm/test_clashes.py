@@ -39,3 +39,35 @@ def test_word_ids_with_control_characters():
 def test_bytes_that_only_begin_labels():
     t = bpe.TokenAutomaton({b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"abc": 4}, [(b"a", b"b"), (b"ab", b"c")])
     assert t.encode(b"abcabab") == (4, 3, 3) and t.encode(b"") == ()
+
+
+def test_toxic_words_are_seen_wherever_they_stand(spark):
+    from vigilog.llm import toxicity
+
+    model = toxicity.Model({"badword": 3.0, "~adword": 1.0}, -1.0)
+    texts = ["badword here", "badword,hello", "hello/badword", "hello_badword", "中文badword", "x" * 50 + ",badword",
+             "x" * 60 + "badword" + "y" * 9, "good words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r.score > 0.45 for r in toxicity.score(df, model).orderBy("doc_id").collect()]
+    assert got == [True] * 7 + [False]
+
+
+def test_toxicity_scores_equal_a_plain_sum(spark):
+    import math
+    import re
+
+    from vigilog.llm import toxicity
+
+    weights = {"bad": 1.5, "badw-": 0.5, "~中文": 0.7, "ok": -0.4, "~文字": -0.2}
+    texts = [None, "", "bad ok", "Bad, BADWORDS bad", "中文字 ok", "badwords/bad_ok\nbad", "ok " * 3000 + "bad"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").selectExpr("*", "1 AS score", "2 AS _input_")
+
+    def plain(text):
+        words = re.findall(r"[0-9a-z]+|[^\W_0-9a-z]+", (text or "").lower())
+        seen = {f for f in weights if any(
+            f == w or (f[-1] == "-" and w.startswith(f[:-1]) and len(w) > len(f) - 1)
+            or (f[0] == "~" and w[0] > "z" and f[1:] in w) for w in words)}
+        return 1 / (1 + math.exp(0.3 - sum(weights[f] for f in seen)))
+
+    got = {r.doc_id: r.score for r in toxicity.score(df, toxicity.Model(weights, -0.3)).collect()}
+    assert all(abs(got[i] - plain(t)) < 1e-9 for i, t in enumerate(texts))

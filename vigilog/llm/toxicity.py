@@ -1,7 +1,7 @@
 """Operator 5: toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier is trained with numpy from confirmed toxic texts (positives, P) and texts
-without any label (U). With the class prior p of toxic texts the risk is
+A linear classifier is trained with numpy from confirmed toxic texts (positives, P) and texts of the
+training folds whose label it does not look at (U). With the class prior p of toxic texts the risk is
 p R(P, +) + max(0, R(U, -) - p R(P, -)): the unlabelled set stands for the negatives once the
 positives in it are taken off, and the correction never drives the negative part below zero.
 Features are words and word beginnings that positives have more often than other texts do.
@@ -9,6 +9,7 @@ Features are words and word beginnings that positives have more often than other
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,15 +28,28 @@ MOST_POSITIVE = 4_000
 MOST_UNLABELLED = 8_000
 FEATURES = 1_024
 FOLDS = 5
-_EDGES = ".,;:!?\"'()[]{}#*$%&|<>+-_=~`/\\"
+#: Words: runs of Latin letters and digits, or of other letters; marks and underscores part them.
+_WORD = re.compile(r"[0-9a-z\u00df-\u00f6\u00f8-\u024f]+|[^\W_0-9a-z\u00df-\u00f6\u00f8-\u024f]+")
+#: Longer runs count by all their stretches of so many characters.
+LONGEST_WORD, STRETCH = 48, 6
 
 
 def features_of(piece: str) -> tuple[str, ...]:
-    """The lower-cased word without marks at its ends, and its beginnings of 4 to 6 letters."""
-    word = piece.strip(_EDGES).lower()[:48]
-    if not word:
-        return ()
-    return (word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n))
+    """Of each lower-cased word: itself and its beginnings of 4 to 6 letters.
+
+    A run that is no single word, as it is very long or of a script written without blanks, counts by
+    all of its stretches: six characters of a long Latin run, two and three of others.
+    """
+    out: list[str] = []
+    for word in _WORD.findall(piece.lower()):
+        n = len(word)
+        if n <= LONGEST_WORD:
+            out.append(word)
+            out += [f"{word[:k]}-" for k in (4, 5, 6) if n > k]
+        if n > LONGEST_WORD or word[0] > "\u024f":
+            for k in (2, 3) if word[0] > "\u024f" else (STRETCH,):
+                out += [f"~{word[i:i + k]}" for i in range(n - k + 1)]
+    return tuple(dict.fromkeys(out))
 
 
 @dataclass(frozen=True)
@@ -97,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return None
     names = _choose(rows, n_pos, n_unl)
     x, y = _matrix(rows, names)
-    prior = min(max(prior, 1e-3), 0.5)
+    prior = min(max(prior, 1e-3), 1 - 1e-3)
     weights, bias = fit_nnpu(x[y == 1], x[y == 0], prior)
     return Model(dict(zip(names, weights.tolist(), strict=True)), bias)
 
