@@ -17,7 +17,7 @@ from pyspark.sql.types import StructField, StructType
 #: Bytes that the corpus contracts count as white space: blank and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 BATCH_ROWS = 2048
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
