@@ -133,11 +133,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     The component is the least id reachable over links of `percent` similarity; a document without
     words, or null, is linked with none. Rows with a null id have a null component. Rows that
     repeat an id count as that one document. Equal sets are one node, so copies are never
-    paired. In a bucket each member is first compared with the least one. Buckets that then still
-    hold members of several components go on: the next fifteen members are compared with those of
-    other components, then the next 240, and so on until each bucket is one component or all
-    its pairs of different components have been compared, so no candidate link is lost and pairs
-    within a component are never made.
+    paired. In a bucket each member is first compared with the least one, then with the one that has
+    the fewest shingles of its own, the centre of most groups. Buckets that then still hold members
+    of several components are open; all links between open nodes of different components are found
+    by a prefix filter, so no candidate link is lost, whatever the number of a bucket's members, and
+    pairs within a component are never made.
     """
     signed = materialize(signatures(docs, key, text, width), "signatures")
     nodes = materialize(
@@ -155,25 +155,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(confirmed(pairs, sets, percent), "links")
     roots = components(links)
-    done, measured = 1, None                        # members of a bucket used as hubs so far
-    while True:
-        placed = members.join(roots, "node", "left").select(
-            *members.columns, F.coalesce("root", "node").alias("root"))
-        open_ = (placed.where(F.col("n") > done).groupBy("bucket")
-                 .agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-                 .where("lo < hi").select("bucket"))
-        left = materialize(placed.join(open_, "bucket", "left_semi"), "open-buckets")
-        if left.isEmpty():
-            break
-        if measured is None:
-            measured = materialize(_own_shares(sets, left, percent), "own-shares")
-            left = left.join(measured, "node").where("room >= 0")
-        until = 16 * done
-        new = materialize(confirmed(_next_pairs(left, done, until), sets, percent), "links")
+    left = _open(members.select("bucket", "node"), roots)
+    if not left.isEmpty():
+        ranked = materialize(_by_rarity(sets, left), "ranked-shingles")
+        new = materialize(confirmed(_centre_pairs(left, ranked, percent), sets, percent), "links")
         if not new.isEmpty():
             links = links.unionByName(new)
             roots = components(links)
-        members, done = left.drop("root"), until    # closed ones never reopen
+            left = _open(left.select("bucket", "node"), roots)
+        if not left.isEmpty():
+            new = materialize(confirmed(_prefix_pairs(left, ranked, percent), sets, percent), "links")
+            if not new.isEmpty():
+                roots = components(links.unionByName(new))
     least = nodes.select("set_id", "node").join(roots, "node", "left").select(
         "set_id", F.coalesce("root", "node").alias("component"))
     return signed.join(least, "set_id", "left").select(
@@ -182,13 +175,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         .alias("component_id"))
 
 
-def _own_shares(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
-    """(node, own, room) of the nodes in open buckets.
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, root) of the members of buckets that hold several components."""
+    placed = members.join(roots, "node", "left").select(
+        "bucket", "node", F.coalesce("root", "node").alias("root"))
+    several = (placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+               .where("lo < hi").select("bucket"))
+    return materialize(placed.join(several, "bucket", "left_semi"), "open-buckets")
 
-    `own` counts the shingles that no other such node has, so that no link can share them. If x
-    and y share s shingles, s <= size(x) - own(x), and size(y) >= s + own(y), so with p percent
-    p * own(y) <= 100 * (size(x) - own(x)) - p * size(x): `room` is the most that own(y) may be.
-    """
+
+def _by_rarity(sets: DataFrame, left: DataFrame) -> DataFrame:
+    """(node, size, own, tokens) of the open nodes: the shingles in the order of how many open nodes
+    have them, and how many no other has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = [len(x) // 8 for x in batch.column(1).to_pylist()]
@@ -198,40 +196,70 @@ def _own_shares(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
                 ["node", "shingle"])
 
     nodes = left.select(F.col("node").alias("id")).distinct()
-    some = sets.join(few(nodes), "id", "left_semi")
-    own = (some.mapInArrow(run, "node bigint, shingle bigint").groupBy("shingle")
-           .agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-           .groupBy("node").agg(F.count("*").alias("own")))
-    size = F.length("shingles") / 8
-    return (some.select(F.col("id").alias("node"), size.alias("size")).join(own, "node", "left")
-            .select("node", F.coalesce("own", F.lit(0)).alias("own"), "size")
-            .selectExpr("node", "own", f"(100 * (size - own) - {percent} * size) / {percent} AS room"))
-
-
-def _next_pairs(left: DataFrame, done: int, until: int) -> DataFrame:
-    """Members ranked `done` to `until` of each bucket against those of other components.
-
-    Members with the fewest shingles of their own come first, as most others can link to them; a
-    pair that `room` rules out is not made. Only the first `until` members of a bucket are ranked,
-    by a bounded aggregate, so a huge bucket is never sorted in one task.
+    some = sets.join(few(nodes), "id", "left_semi").dropDuplicates(["id"])
+    tokens = materialize(some.mapInArrow(run, "node bigint, shingle bigint"), "open-shingles")
+    held = tokens.groupBy("shingle").agg(F.count("*").alias("n"))
+    return (tokens.join(held, "shingle").groupBy("node")
+            .agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("t"))
+            .select("node", F.size("t").alias("size"),
+                    F.size(F.filter("t", lambda x: x["n"] == 1)).alias("own"),
+                    F.transform("t", lambda x: x["shingle"]).alias("tokens")))
+
+
+def _shared(x: F.Column, y: F.Column, percent: int) -> F.Column:
+    """The fewest shingles that sets of these sizes must share to be linked."""
+    return F.ceil(percent * (x + y) / (100 + percent))
+
+
+def _centre_pairs(left: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """Each open bucket's member with the fewest shingles of its own, against its other components.
+
+    If x and y share s shingles, s <= size(x) - own(x), and size(y) >= s + own(y), so with p percent
+    p * own(y) <= 100 * (size(x) - own(x)) - p * size(x): `room` is the most that own(y) may be, and
+    pairs beyond it are not made.
+    """
+    facts = ranked.select("node", "own", F.expr(
+        f"(100 * (size - own) - {percent} * size) / {percent}").alias("room"))
+    known = left.join(facts, "node")
+    hubs = known.groupBy("bucket").agg(F.min(F.struct("own", "node", "root", "room")).alias("h")).select(
+        "bucket", "h.*")
+    rows = known.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"),
+                        F.col("own").alias("ob"), F.col("room").alias("fb"))
+    possible = (F.col("root") != F.col("rb")) & (F.col("own") <= F.col("fb")) & (F.col("ob") <= F.col("room"))
+    return hubs.join(rows, "bucket").where(possible).select(
+        F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+def _prefix_pairs(left: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """All pairs of open nodes of different components that can be linked, by a prefix filter.
+
+    Linked sets share a number of shingles that follows from their sizes, so the rarest one they
+    share stands, in either order by rarity, no later than that number from the end. Nodes meet by
+    such a shingle and by the class of the smaller one's size (steps of five percent), which bounds
+    how far into its order the larger one has to look: sets with many rare shingles meet nobody.
     """
-    by_rank = F.struct("own", "node")
-    first = (left.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(64)).alias("part"))
-             .agg(F.slice(F.array_sort(F.collect_set(by_rank)), 1, until).alias("few"))
-             .groupBy("bucket")
-             .agg(F.slice(F.array_sort(F.flatten(F.collect_list("few"))), done, until - done)
-                  .alias("hubs")))
-    hubs = (first.select("bucket", F.explode("hubs").alias("h"))
-            .select("bucket", F.col("h.node").alias("node"))
-            .join(left.select("bucket", "node", "root", "own", "room"), ["bucket", "node"])
-            .select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"),
-                    F.col("own").alias("oa"), F.col("room").alias("fa")))
-    rows = left.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"),
-                       F.col("own").alias("ob"), F.col("room").alias("fb"))
-    possible = (F.col("ra") != F.col("rb")) & (F.col("oa") <= F.col("fb")) & (
-        F.col("ob") <= F.col("fa"))
-    return (hubs.join(rows, "bucket").where(possible)
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    root = left.select("node", "root").distinct()
+    step = F.log(F.lit(1.05))
+    size_class = lambda n: F.floor(F.log(n) / step)
+    c = F.col
+    rows = ranked.join(root, "node").select("node", "root", "size", "tokens")
+    places = c("size") - _shared(c("size"), c("size"), percent) + 1
+    small = rows.select(
+        c("node").alias("a"), c("root").alias("ra"), c("size").alias("na"), size_class(c("size")).alias("cls"),
+        F.posexplode(F.slice("tokens", F.lit(1), places.cast("int"))).alias("ia", "shingle"))
+    least = F.ceil(percent * c("size") / 100)
+    classes = rows.withColumn("cls", F.explode(F.sequence(size_class(F.greatest(least, F.lit(1))), size_class(c("size")))))
+    # The least size in the class that can be linked with this one, a little less for rounding.
+    lowest = F.greatest(least, F.floor(F.pow(F.lit(1.05), "cls") * 0.999))
+    far = F.least(c("size"), c("size") - _shared(lowest, c("size"), percent) + 1)
+    large = classes.where(far > 0).select(
+        c("node").alias("b"), c("root").alias("rb"), c("size").alias("nb"), "cls",
+        F.posexplode(F.slice("tokens", F.lit(1), far.cast("int"))).alias("ib", "shingle"))
+    need = _shared(c("na"), c("nb"), percent)
+    meet = ((c("ra") != c("rb")) & ((c("na") < c("nb")) | (c("na") == c("nb")) & (c("a") < c("b")))
+            & (100 * c("na") >= percent * c("nb")) & (c("ia") + need <= c("na")) & (c("ib") + need <= c("nb")))
+    return small.join(large, ["shingle", "cls"]).where(meet).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
