@@ -15,7 +15,6 @@ Decoding emits the arcs' labels, the byte strings of the tokens.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 
@@ -240,9 +239,8 @@ def joined(labels: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]
     return [bytes(data[a:b]) for a, b in zip(offsets, offsets[1:])]
 
 
-@functools.lru_cache(maxsize=2)
 def codec(path: str) -> ByteCodec:
-    """One compiled codec per worker process."""
+    """A compiled codec. A task has its own: what stays in idle workers adds up."""
     return ByteCodec(path)
 
 

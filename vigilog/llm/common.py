@@ -153,6 +153,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(run: Callable) -> Callable:
+    """A function over Arrow batches that gives its memory back when it ends."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def extend(df: DataFrame, column: str, fields: list[StructField],
            build: Callable[[], Callable[[list], list]], keep: list[str] | None = None) -> DataFrame:
     """Columns computed from one column, batch by batch, beside the columns in `keep`.

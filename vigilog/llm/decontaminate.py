@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from vigilog.llm.common import small_batches, utf8
+from vigilog.llm.common import small_batches, tidy, utf8
 from vigilog.session import materialize
 
 WINDOW = 10
@@ -161,7 +161,7 @@ def _pieces(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame
                  pa.array([len(p) for p in pieces], pa.int64())], ["item_id", "words", "n"])
 
     rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "item_id string, words array<binary>, n bigint")
+    return rows.mapInArrow(tidy(run), "item_id string, words array<binary>, n bigint")
 
 
 def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
@@ -224,7 +224,7 @@ def _pass(docs: DataFrame, rows: list, text: str, window: int) -> DataFrame:
     schema = StructType(docs.schema.fields[:kept] + [
         StructField("n_words", LongType()), StructField("hit", BinaryType()),
         StructField("item_ids", ArrayType(StringType()))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def hit_count(hit: str = "hit") -> F.Column:
@@ -255,7 +255,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())],
                                              names=["row", "text"])
 
-    done = left.mapInArrow(run, packed.schema)
+    done = left.mapInArrow(tidy(run), packed.schema)
     return done.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c)
                          for c in docs.columns])
 

@@ -17,7 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import PLACE, few, mix, small_batches, window_hashes, word_hashes
+from vigilog.llm.common import (
+    PLACE,
+    few,
+    mix,
+    small_batches,
+    tidy,
+    window_hashes,
+    word_hashes,
+)
 from vigilog.llm.components import components
 from vigilog.session import materialize
 
@@ -87,7 +95,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, bands: int = BA
                 pa.ListArray.from_arrays(offsets, flat)], ["id", "n_shingles", "set_id", "bands"])
 
     rows_ = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
-    return rows_.mapInArrow(run, "id bigint, n_shingles bigint, set_id binary, bands array<bigint>")
+    return rows_.mapInArrow(tidy(run), "id bigint, n_shingles bigint, set_id binary, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, key: str, text: str, width: int, ids: DataFrame) -> DataFrame:
@@ -101,7 +109,7 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, ids: DataFrame) -> D
 
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     return texts.join(few(ids), "id").mapInArrow(
-        run, "id bigint, shingles binary")
+        tidy(run), "id bigint, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -123,7 +131,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     left = hubs.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     return (pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-            .mapInArrow(run, "a bigint, b bigint"))
+            .mapInArrow(tidy(run), "a bigint, b bigint"))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
@@ -197,7 +205,7 @@ def _by_rarity(sets: DataFrame, left: DataFrame) -> DataFrame:
 
     nodes = left.select(F.col("node").alias("id")).distinct()
     some = sets.join(few(nodes), "id", "left_semi").dropDuplicates(["id"])
-    tokens = materialize(some.mapInArrow(run, "node bigint, shingle bigint"), "open-shingles")
+    tokens = materialize(some.mapInArrow(tidy(run), "node bigint, shingle bigint"), "open-shingles")
     held = tokens.groupBy("shingle").agg(F.count("*").alias("n"))
     return (tokens.join(held, "shingle").groupBy("node")
             .agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("t"))

@@ -31,6 +31,7 @@ from vigilog.llm.common import (
     fresh,
     hex_digest,
     small_batches,
+    tidy,
     window_hashes,
     word_hashes,
 )
@@ -94,7 +95,7 @@ def _anchors(docs: DataFrame, width: int) -> DataFrame:
                  pa.array((s.first - s.bounds[:-1][s.doc]).astype(np.int32))],
                 ["key", "doc", "first"])
 
-    return docs.select("doc", "text").mapInArrow(run, "key bigint, doc bigint, first int")
+    return docs.select("doc", "text").mapInArrow(tidy(run), "key bigint, doc bigint, first int")
 
 
 def _segments(docs: DataFrame, width: int) -> DataFrame:
@@ -137,7 +138,7 @@ def _segments(docs: DataFrame, width: int) -> DataFrame:
                  pa.array(digests, pa.binary()), pa.array(words, pa.binary())],
                 ["key", "doc", "version", "first", "digest", "words"])
 
-    return rows.mapInArrow(run, "key bigint, doc bigint, version bigint, first int,"
+    return rows.mapInArrow(tidy(run), "key bigint, doc bigint, version bigint, first int,"
                                 " digest binary, words binary")
 
 
