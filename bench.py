@@ -49,7 +49,7 @@ def main() -> None:
     accepted = filtering.keep_entries(access_log)
 
     def grouped() -> DataFrame:
-        return batching.group_entries(batching.assign_batches(accepted))
+        return batching.group_entries(batching.assign_batches(accepted, stored=True))
 
     text_path = f"{scratch_root(spark)}/text"
     raw.select("value").write.text(text_path)
@@ -61,7 +61,7 @@ def main() -> None:
         "parse": lambda: drain(parsing.parse_log(raw)),
         "parse_filter": lambda: drain(filtering.keep_entries(parsing.parse_log(raw))),
         "filter_reasons": lambda: drain(filtering.reason_counts(access_log)),
-        "batch_by_count": lambda: drain(batching.assign_batches(accepted)),
+        "batch_by_count": lambda: drain(batching.assign_batches(accepted, stored=True)),
         "group_basic_stats": lambda: drain(batching.group_stats(grouped())),
         "parse_to_group_summaries": lambda: drain(batching.summarize_groups(
             batching.group_entries(batching.assign_batches(
@@ -70,7 +70,7 @@ def main() -> None:
         "chunk_time_window": lambda: drain(chunking.window_profile(
             chunking.time_window(access_log))),
         "chunk_intelligent": lambda: drain(chunking.chunk_profile(
-            chunking.intelligent(access_log))),
+            chunking.intelligent(access_log, stored=True))),
         "rule_threats": lambda: drain(rules.find_threats(access_log, rules.Thresholds(**LOW))),
         "embed_entries": lambda: drain(tables.individual_rows(accepted)),
         "cosine_topk": lambda: drain(vectors.nearest(
