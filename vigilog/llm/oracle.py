@@ -60,12 +60,12 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed,
 FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) AS g USING (doc_id)
   LEFT JOIN kept USING (doc_id)"""
 
-CHAT = f"""WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
-    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'),
-      (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+CHAT = f"""WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, text IS NULL AS missing
+    FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]', false),
+      (-1, 1, 'assistant', '</s>[INST] ok [/INST]', false)),
   told AS (SELECT conv_id, count(*) AS n_turns,
-      string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS all_turns,
-      coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS learnt,
+      string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, missing, text) AS all_turns,
+      coalesce(string_agg(text, '' ORDER BY turn, role, missing, text) FILTER (role = 'assistant'), '') AS learnt,
       sum(length({_escaped('role')}) + length({_escaped('text')})
         + {len(TEMPLATE.begin + TEMPLATE.middle + TEMPLATE.end)})::BIGINT AS formatted_chars
     FROM turns GROUP BY conv_id)
