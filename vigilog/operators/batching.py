@@ -41,7 +41,7 @@ def group_entries(batched: DataFrame) -> DataFrame:
 
 
 def is_network_group(group_id: Column) -> Column:
-    return group_id.startswith("cidr_") | group_id.startswith("ip_")
+    return group_id.startswith("cidr_")
 
 
 def summary_lists() -> dict[str, tuple[Column, int | None]]:
@@ -79,13 +79,12 @@ def summarize_groups(grouped: DataFrame) -> DataFrame:
     return profile.withColumn("summary_text", summary_text())
 
 
+# The labels of summary texts, here and in `summary_text` and `analysis_summary`.
 def _title(group_id: Column) -> Column:
     return (F.when(group_id.startswith("4xx_errors"), F.lit("Group: 4xx Client Errors"))
             .when(group_id.startswith("5xx_errors"), F.lit("Group: 5xx Server Errors"))
             .when(group_id.startswith("cidr_"), F.concat(
                 F.lit("Group: Requests from CIDR "), F.replace(group_id, F.lit("cidr_"), F.lit(""))))
-            .when(group_id.startswith("ip_"), F.concat(
-                F.lit("Group: Requests from IP "), F.replace(group_id, F.lit("ip_"), F.lit(""))))
             .otherwise(F.concat(F.lit("Group: "), group_id)))
 
 
