@@ -237,9 +237,9 @@ def find_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sizes = distinct.groupBy("key").agg(F.count("*").alias("m"))
     large = materialize(sizes.where(F.col("m") > GROUP_SEGMENTS).select("key"), "large-groups")
     small = distinct.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    masks = small.mapInArrow(_trees(width), "digest binary, mask bigint")
+    masks = small.mapInArrow(tidy(_trees(width)), "digest binary, mask bigint")
     leaves = distinct.join(large, "key", "left_semi").mapInArrow(
-        _leaves(width), "digest binary, leaf binary, bit bigint, n bigint")
+        tidy(_leaves(width)), "digest binary, leaf binary, bit bigint, n bigint")
     common = leaves.groupBy("leaf").agg(F.sum("n").alias("m")).where("m > 1").select("leaf")
     long_masks = leaves.join(common, "leaf").groupBy("digest").agg(F.bit_or("bit").alias("mask"))
     return (found.select("doc", "version", "first", "digest")
