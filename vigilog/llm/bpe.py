@@ -36,6 +36,8 @@ _BLANK_RUN = regex.compile(r"\s (?:\s|$)")
 #: Entries of a per-process table before the older half goes; results don't change.
 CACHE_ENTRIES = 200_000
 CELLS = 500_000
+#: Larger batches than elsewhere: each distinct piece of a batch is looked up once.
+BATCH_BYTES = 16 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -271,7 +273,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
     fields = [StructField(ids, ArrayType(IntegerType(), False))]
     if exact:
         fields.append(StructField(exact, BooleanType()))
-    return extend(df, text, fields, build, keep)
+    return extend(df, text, fields, build, keep, BATCH_BYTES)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
@@ -304,4 +306,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text",
 
     return extend(df, text, [StructField("n_tokens", LongType()),
                              StructField("ids_sha256", StringType()),
-                             StructField("decoded_sha256", StringType())], build, keep)
+                             StructField("decoded_sha256", StringType())], build, keep, BATCH_BYTES)

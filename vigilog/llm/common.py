@@ -29,10 +29,10 @@ def few(keys: DataFrame, bound: int = 1_000_000) -> DataFrame:
     return F.broadcast(keys) if keys.limit(bound + 1).count() <= bound else keys
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Bound what one Arrow batch holds: texts are long, so few rows make a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 class Recent:
@@ -165,14 +165,14 @@ def tidy(run: Callable) -> Callable:
 
 
 def extend(df: DataFrame, column: str, fields: list[StructField],
-           build: Callable[[], Callable[[list], list]], keep: list[str] | None = None) -> DataFrame:
+           build: Callable[[], Callable[[list], list]], keep: list[str] | None = None,
+           batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Columns computed from one column, batch by batch, beside the columns in `keep`.
 
     `build` runs once per task and returns the function that maps a batch's values to one
     list per new field. A kept column with the name of a new one gives way to it.
     """
-    spark = df.sparkSession
-    small_batches(spark)
+    small_batches(df.sparkSession, batch_bytes)
     new = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     arrow = [to_arrow_type(f.dataType) for f in fields]
