@@ -15,6 +15,7 @@ Decoding emits the arcs' labels, the byte strings of the tokens.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -241,8 +242,9 @@ def joined(labels: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]
     return [bytes(data[a:b]) for a, b in zip(offsets, offsets[1:])]
 
 
+@functools.lru_cache(maxsize=1)
 def codec(path: str) -> ByteCodec:
-    """A compiled codec. A task has its own: what stays in idle workers adds up."""
+    """One compiled codec per worker process: compiling takes a second, which every task would pay."""
     return ByteCodec(path)
 
 
