@@ -27,6 +27,8 @@ from vigilog.session import materialize
 BLOCK_IDS = 1 << 18
 STRIDE = 128
 MAX_BITS = 16
+#: Larger batches than elsewhere: each distinct piece of a batch is looked up once.
+BATCH_BYTES = 16 << 20
 #: Most ids a vocabulary may have: bounds the counts and lengths sent to and from the driver.
 MOST_IDS = 1 << 20
 
@@ -34,7 +36,6 @@ MOST_IDS = 1 << 20
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Pieces made of these characters alone are normalized by lower-casing each one.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_BEYOND_LATIN = re.compile("[^\\x00-ÿ]")
 #: A full stop or comma that follows another mark and so belongs to one word with it. Separators
 #: from 1C to 1F are marks to the tokenizer, though white space in Python's patterns.
 _MARKS = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f])[.,] ")
@@ -62,6 +63,7 @@ class WordTokenizer:
                         for c in range(0x21, 0x100) if _PLAIN.fullmatch(chr(c))}
         self.special = [str(t.content)
                         for t in self.whole.get_added_tokens_decoder().values()]
+        self.marked = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
         self.pieces = Recent(500_000)
 
@@ -72,7 +74,7 @@ class WordTokenizer:
     def _piece(self, piece: str) -> bytes:
         if not piece:
             return b""
-        if not _PLAIN.fullmatch(piece) or any(s in piece for s in self.special):
+        if not _PLAIN.fullmatch(piece) or self.marked.search(piece):
             return array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
         piece = piece.lower()
         if piece.isalpha():
@@ -88,14 +90,14 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts, one after another, and each text's bounds; null is empty."""
-        return ids_of_pieces([t and _loosen(t) for t in texts], self._known, {})
+        return ids_of_pieces([t and _loosen(t) for t in texts], self._known, {}, known=self.pieces)
 
 
 def _loosen(text: str) -> str:
     """The text with the same ids but fewer distinct pieces: lower case, and a blank before a
     full stop or comma that stands alone, where characters have but one lower case form."""
     text = text.replace("\n", " ")
-    if "<|" in text or _BEYOND_LATIN.search(text):
+    if "<|" in text or not (text.isascii() or _is_latin(text)):
         return text
     text = text.lower()
     if _MARKS.search(text):
@@ -103,6 +105,15 @@ def _loosen(text: str) -> str:
     return text.replace(". ", " . ").replace(", ", " , ")
 
 
+def _is_latin(text: str) -> bool:
+    """Whether no character lies beyond Latin-1; encoding tells it faster than a pattern does."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @functools.lru_cache(maxsize=1)
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
@@ -112,7 +123,7 @@ def tokenize(df: DataFrame, path: str, end_id: int, text: str = "text",
              order: str = "doc_id") -> DataFrame:
     """(order_id, ids, n) of every row, with `end_id` after each document's ids, and one row per
     partition whose `counts` has how often each id occurred in it (the others null)."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
