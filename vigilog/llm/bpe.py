@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ SETTLED = "՘"
 #: A blank between white space, or at the end after it: there pieces can't be cut apart.
 _BLANK_RUN = regex.compile(r"\s (?:\s|$)")
 #: Entries of a per-process table before the older half goes; results don't change.
+#: Marks that end a piece and are a word of their own after letters; what such pieces are made of.
+_ONE_MARK = frozenset(".,;:!?")
+_LETTERS = re.compile("[A-Za-z]*[.,;:!?]?")
 CACHE_ENTRIES = 200_000
 CELLS = 500_000
 #: Larger batches than elsewhere: each distinct piece of a batch is looked up once.
@@ -170,6 +174,8 @@ class ByteCodec:
             label[i] = bytes(byte_of[c] for c in content)
         self.label = pa.array(label, pa.large_binary())
         self.decimal = pa.array([b"%d," % i for i in range(n)], pa.large_binary())
+        #: Whether letters and one mark may form a special token, so that every piece has to be searched.
+        self.spelled = any(_LETTERS.fullmatch(content.strip(" ")) for content in self.special)
         self.words = Recent(CACHE_ENTRIES // 4)
         self.after_blank = Recent(CACHE_ENTRIES)
 
@@ -204,7 +210,12 @@ class ByteCodec:
     def _after_blank(self, piece: str) -> bytes:
         found = self.after_blank.get(piece)
         if found is None:
-            found = np.array(self._piece(" " + piece), "<u4").tobytes()
+            body = piece[:-1] if piece[-1:] in _ONE_MARK else piece
+            if body.isascii() and body.isalpha() and not self.spelled:  # one word, and its mark
+                ids = self._word(" " + body)
+                found = array("I", ids if body is piece else ids + self._word(piece[-1])).tobytes()
+            else:
+                found = array("I", self._piece(" " + piece)).tobytes()
             self.after_blank.put(piece, found)
         return found
 
@@ -214,9 +225,9 @@ class ByteCodec:
         No word reaches over a blank unless white space is on both its sides, so elsewhere
         a text is cut there. A null text counts as empty.
         """
-        as_bytes = lambda t: np.array(self._piece(t), "<u4").tobytes()
+        as_bytes = lambda t: array("I", self._piece(t)).tobytes()
         uncut = {i: as_bytes(t) for i, t in enumerate(texts) if t and _BLANK_RUN.search(t)}
-        return ids_of_pieces(texts, self._after_blank, uncut, as_bytes)
+        return ids_of_pieces(texts, self._after_blank, uncut, as_bytes, self.after_blank)
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0].tolist()
