@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilog.llm import bpe, decontaminate, minhash, repeats, toxicity
-from vigilog.llm.common import fresh, table
+from vigilog.llm.common import batches_of_at_most, fresh, table
 from vigilog.session import materialize
 
+#: Text in a batch, less than the operators take alone: an executor that has run one stage starts the next
+#: with a grown heap and with workers that still stand.
+BATCH_BYTES = 1 << 20
+
+
+def lean(stage: Callable[[SparkSession, DataFrame, str], DataFrame]
+         ) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with batches of at most BATCH_BYTES, in the passes it runs and in the one it returns."""
+    @functools.wraps(stage)
+    def run_lean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with batches_of_at_most(BATCH_BYTES):
+            return stage(spark, docs, sf_dir)
+
+    return run_lean
+
 
 def _same_columns(changed: DataFrame, docs: DataFrame) -> DataFrame:
     """Columns of `docs`, with n_chars brought up to date where a stage changes texts."""
@@ -18,6 +36,7 @@ def _same_columns(changed: DataFrame, docs: DataFrame) -> DataFrame:
     return changed.select(*docs.columns)
 
 
+@lean
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more go; the others stay as they are."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -26,22 +45,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col(score) < 0.5).select(*docs.columns)
 
 
+@lean
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8, the document of least id stays."""
     return minhash.keep_first(docs)
 
 
+@lean
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 35-word passages that stand elsewhere too go."""
     return _same_columns(repeats.remove_repeats(docs), docs)
 
 
+@lean
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans shared with test items go; documents made of them for the larger part go whole."""
     items = table(spark, sf_dir, "benchmark")
     return _same_columns(decontaminate.remove_spans(docs, items), docs)
 
 
+@lean
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding them gives the text back."""
     import public_tokenizers
