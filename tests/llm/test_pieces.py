@@ -1,8 +1,10 @@
 """Pieces of texts are looked up together, and batches stay as small as their caller asks."""
 
+import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
+from vigilog.llm import huffman
 from vigilog.llm.bpe import ByteCodec
 from vigilog.llm.common import Recent, batches_of_at_most, small_batches
 
@@ -51,3 +53,16 @@ def test_words_with_one_mark_have_the_ids_of_the_library():
     for text in ("one two, three. Four! five? six; seven: . , a", "x ., y,, z's 'tis don't. no.1 a1, b2", "", " ", "a  b ",
                  "hé, wörld. 日本, x.", "<|endoftext|>, a<|endoftext|>. endoftext."):
         assert codec.encode(text) == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_documents_are_put_in_order_before_they_are_coded(spark):
+    tokens = spark.createDataFrame(
+        [(i, bytes([(i or 0) % 7, 0]) * 3, 3) for i in [*range(40), None, 7]],
+        "order_id BIGINT, ids BINARY, n BIGINT")
+    blocks = huffman.encode(huffman.in_shards(tokens, 3), np.array([3] * 7, np.uint8), 7)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and plan.count("MapInArrow") == 1
+    assert plan.index("MapInArrow") < plan.index("rangepartitioning")      # the sampled input has no Python
+    rows = sorted(blocks.collect(), key=lambda r: (r.shard, r.block))
+    assert [d for r in rows for d in r.docs] == [None, *range(8), *range(7, 40)]
+    assert sum(r.n_ids for r in rows) == 3 * 42

@@ -29,6 +29,7 @@ STRIDE = 128
 MAX_BITS = 16
 #: Larger batches than elsewhere: each distinct piece of a batch is looked up once.
 BATCH_BYTES = 16 << 20
+BATCH_ROWS = 4096
 #: Most ids a vocabulary may have: bounds the counts and lengths sent to and from the driver.
 MOST_IDS = 1 << 20
 
@@ -37,8 +38,11 @@ _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: Pieces made of these characters alone are normalized by lower-casing each one.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: A full stop or comma that follows another mark and so belongs to one word with it. Separators
-#: from 1C to 1F are marks to the tokenizer, though white space in Python's patterns.
-_MARKS = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f])[.,] ")
+#: from 1C to 1F are marks to the tokenizer, though white space in Python's patterns. The pattern
+#: begins with its rarer part, as one that begins with a choice is tried at every character.
+_MARKS = re.compile(r"[.,](?<=(?:[^\w\s]|[_\x1c-\x1f])[.,]) ")
+#: Lower-case letters of Latin-1: such a piece is one word, as it stands.
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 
 
 class WordTokenizer:
@@ -74,6 +78,8 @@ class WordTokenizer:
     def _piece(self, piece: str) -> bytes:
         if not piece:
             return b""
+        if _LETTERS.fullmatch(piece) and not self.marked.search(piece):
+            return self._word(piece)
         if not _PLAIN.fullmatch(piece) or self.marked.search(piece):
             return array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
         piece = piece.lower()
@@ -123,7 +129,7 @@ def tokenize(df: DataFrame, path: str, end_id: int, text: str = "text",
              order: str = "doc_id") -> DataFrame:
     """(order_id, ids, n) of every row, with `end_id` after each document's ids, and one row per
     partition whose `counts` has how often each id occurred in it (the others null)."""
-    small_batches(df.sparkSession, BATCH_BYTES)
+    small_batches(df.sparkSession, BATCH_BYTES, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
@@ -287,8 +293,9 @@ class Coder:
         return out[place][np.arange(out.shape[1]) < lane_n[:, None]]
 
 
-def encode(tokens: DataFrame, lengths: np.ndarray, end_id: int, size: int) -> DataFrame:
-    """(order_id, n, bits, checkpoints) of every document."""
+def encode(tokens: DataFrame, lengths: np.ndarray, size: int) -> DataFrame:
+    """Blocks of the documents of `tokens`, which lie in order in their shards: coded and packed in
+    one pass, so that no bits leave the task before their block is full."""
     raw = tokens.sparkSession.sparkContext.broadcast(lengths.tobytes())  # a byte per id
     width = id_type(size)
 
@@ -301,10 +308,20 @@ def encode(tokens: DataFrame, lengths: np.ndarray, end_id: int, size: int) -> Da
             bits, checkpoints = coder.encode(flat, bounds // np.dtype(width).itemsize)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(bits, pa.binary()),
-                 pa.array(checkpoints, pa.binary())], ["order_id", "n", "bits", "checkpoints"])
+                 pa.array(checkpoints, pa.binary()), batch.column(3)],
+                ["order_id", "n", "bits", "checkpoints", "shard"])
+
+    return tokens.select("order_id", "ids", "n", "shard").mapInArrow(
+        lambda batches: _blocks(run(batches)), _BLOCK)
+
 
+def in_shards(tokens: DataFrame, shards: int) -> DataFrame:
+    """The documents of `tokens` in ascending shards, in order inside them, before they are coded: the
+    range partitioner samples its input by running it a second time."""
+    key = F.col("order_id").asc_nulls_first()
     return (tokens.where("ids IS NOT NULL").select("order_id", "ids", "n")
-            .mapInArrow(run, "order_id bigint, n bigint, bits binary, checkpoints binary"))
+            .repartitionByRange(shards, key).sortWithinPartitions(key)
+            .withColumn("shard", F.spark_partition_id()))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +372,7 @@ def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int, text: str
     of ids, bits, bit offsets of the checkpoints, document ids and their numbers of ids), and
     `path`/code, the code lengths. Shards ascend in the order. Null and empty texts hold the end
     id alone; rows without an order value come first; rows of equal order value are all kept, in
-    no fixed order. The corpus is tokenized once; what is shuffled is already compressed.
+    no fixed order. The corpus is tokenized once, and its ids are shuffled once, then coded.
     """
     spark = df.sparkSession
     size = max(tokenizer(tokenizer_path).size, end_id + 1)
@@ -363,10 +380,9 @@ def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int, text: str
                          compression="zstd")
     lengths = code_lengths(id_counts(tokens), max_bits)
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.col("order_id").asc_nulls_first()
-    ordered = (encode(tokens, lengths, end_id, size).repartitionByRange(shards, key)
-               .sortWithinPartitions(key).withColumn("shard", F.spark_partition_id()))
-    ordered.mapInArrow(_blocks, _BLOCK).write.mode("overwrite").parquet(f"{path}/blocks")
+    small_batches(spark)                                # ids make larger arrays than texts
+    (encode(in_shards(tokens, shards), lengths, size)
+     .write.mode("overwrite").parquet(f"{path}/blocks"))
     (spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary")
      .coalesce(1).write.mode("overwrite").parquet(f"{path}/code"))
 
