@@ -2,9 +2,10 @@
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 import corpus_pipeline
-from vigilog.llm import huffman
+from vigilog.llm import huffman, repeats
 from vigilog.llm.bpe import ByteCodec
 from vigilog.llm.common import Recent, batches_of_at_most, small_batches
 
@@ -66,3 +67,14 @@ def test_documents_are_put_in_order_before_they_are_coded(spark):
     rows = sorted(blocks.collect(), key=lambda r: (r.shard, r.block))
     assert [d for r in rows for d in r.docs] == [None, *range(8), *range(7, 40)]
     assert sum(r.n_ids for r in rows) == 3 * 42
+
+
+def test_a_task_refines_few_groups_at_a_time():
+    """Memory of a pass is bounded: groups of 300,000 words in all come back in more than one batch."""
+    words = [f"w{i}" for i in range(50)]
+    rows = [(key, b"%d" % key, " ".join([*words, str(key)]).encode(), 1 + key % 2) for key in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["key", "digest", "words", "n"])
+    out = list(repeats._trees(35)(iter([batch])))
+    assert len(out) > 1 and sum(map(len, (b.column(0) for b in out))) == 6000
+    masks = {d: m for b in out for d, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert masks[b"0"] & 0xFFFF == 0xFFFF and masks[b"1"] == (1 << 17) - 1
