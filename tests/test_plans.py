@@ -61,3 +61,10 @@ def test_entries_are_parsed_once_for_batches(spark):
         text = plan(df)
         assert "regexp" not in text and "Generate inline" not in text     # it reads what was parsed
         assert text.count("FileScan parquet") == 2                        # rows, and starts of blocks
+
+
+def test_profiles_sort_no_entries(spark):
+    """Entries are counted by hashing; the least or greatest of structs would have them sorted."""
+    df, _ = make_log(spark, 300)
+    found = plan(batching.batch_profile(batching.assign_batches(df)))
+    assert "SortAggregate" not in found and found.count("HashAggregate") >= 2

@@ -1,6 +1,7 @@
 import uuid
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from vigilog.plans import analysis
 from vigilog.schema import RAW_LINES
 from vigilog.session import folders, scratch_root
 from vigilog.sources import logs, tables
-from vigilog.streaming import jobs
+from vigilog.streaming import analyzer, jobs
 
 ONCE = {"availableNow": True}
 
@@ -231,3 +232,33 @@ def test_open_windows_are_returned_and_marked(spark):
     assert any(r.open for r in rows)
     closed = {tuple(r)[:4] for r in rows if not r.open}
     assert closed == {tuple(r) for r in catalog.stream_group_stats(spark, path).collect()}
+
+
+def test_the_analyzer_embeds_an_entry_once(spark, tmp_path):
+    """What is stored of an entry is what its batch's analysis reads; only entries that waited are
+    embedded again."""
+    (tmp_path / "in").mkdir()
+    for part in range(2):
+        (tmp_path / "in" / f"{part}.log").write_text("".join(
+            f'10.0.0.{i % 9} - - [01/Jan/2024:00:0{part}:{i % 60:02d} +0000] "GET /admin{i % 5} HTTP/1.1" 401 5 "-" "curl/8"\n'
+            for i in range(70)))
+    seen = str(tmp_path / "seen")
+
+    def counting():
+        def embed(texts):
+            with open(seen, "a") as f:
+                f.writelines("x\n" for _ in texts)
+            return np.tile([1.0, 0.0], (len(texts), 1)).astype(np.float32)
+        return embed
+
+    def other():
+        return lambda texts: np.tile([1.0, 2.0, 3.0], (len(texts), 1)).astype(np.float32)
+
+    out = str(tmp_path / "out")
+    analyzer.run_stream(spark, str(tmp_path / "in"), out, str(tmp_path / "state"), max_files=1,
+                        embedder=counting, summary_embedder=other,
+                        trigger={"availableNow": True}).awaitTermination()
+    assert analyzer.stored(spark, out, "individual_logs").count() == 140
+    assert analyzer.stored(spark, out, "analysis_summaries").count() == 2
+    with open(seen) as f:                               # 140 entries, 20 that waited, phrases searched for
+        assert sum(1 for _ in f) <= 140 + 20 + 2 * 4

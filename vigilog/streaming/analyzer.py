@@ -14,6 +14,7 @@ from vigilog.operators.filtering import keep_entries
 from vigilog.operators.parsing import parse_log
 from vigilog.plans.analysis import analyze_batches
 from vigilog.schema import ACCESS_LOG
+from vigilog.session import materialize
 from vigilog.sources.follow import follow_lines
 from vigilog.sources.logs import number_lines, stream_lines
 from vigilog.sources.tables import TABLES, individual_rows
@@ -64,19 +65,25 @@ def run_stream(spark: SparkSession, path: str, root: str, checkpoint: str,
         lines, batches = (state.lines, state.batches) if state else (0, 0)
         entries, total = _entries(rows, lines, source, config)
         new = hand_over["_entries"].put(entries, epoch)
-        kept["individual_logs"].put(individual_rows(new, embedder), epoch)
-        arrived = hand_over["_waiting"].of(epoch - 1).unionByName(new)
+        rows_of_new = kept["individual_logs"].put(individual_rows(new, embedder), epoch)
+        waited = hand_over["_waiting"].of(epoch - 1)
+        arrived = waited.unionByName(new)
         cut = hand_over["_cut"].put(
             batching.assign_batches(arrived, size, include_partial=True, stored=True), epoch)
         full = (cut.groupBy("source", "batch_id").agg(F.count(F.lit(1)).alias("n"))
                 .filter(F.col("n") == size).select("source", "batch_id"))
         done = cut.join(full, ["source", "batch_id"], "left_semi").withColumn(
             "batch_id", F.col("batch_id") + batches)
-        hand_over["_waiting"].put(cut.join(full, ["source", "batch_id"], "left_anti"), epoch)
+        waiting = hand_over["_waiting"].put(cut.join(full, ["source", "batch_id"], "left_anti"), epoch)
+        # Entries are embedded once, as they are stored; only the few that waited are again.
+        known = rows_of_new.unionByName(materialize(individual_rows(waited, embedder), "waited"))
+        individual = known.join(F.broadcast(waiting.select("source", "line_number")),
+                                ["source", "line_number"], "left_anti").select(*known.columns)
         # A batch sees the summaries of a few batches before it: the filter reaches the Parquet scan.
         history = kept["analysis_summaries"].upto(epoch, epoch).filter(F.col("batch_id") >= batches - HISTORY)
         found = analyze_batches(done.drop("batch_id", "position"), config, limits, embedder, scorer,
-                                history, batched=done, summary_embedder=summary_embedder)
+                                history, batched=done, summary_embedder=summary_embedder,
+                                individual=individual)
         for name, part in WRITTEN.items():
             kept[name].put(getattr(found, part), epoch)
         hand_over["_state"].put(spark.createDataFrame([(lines + total, batches + full.count())],
