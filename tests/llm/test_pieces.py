@@ -3,11 +3,12 @@
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
 from vigilog.llm import huffman, repeats
-from vigilog.llm.bpe import ByteCodec
-from vigilog.llm.common import Recent, batches_of_at_most, small_batches
+from vigilog.llm.bpe import ByteCodec, codec
+from vigilog.llm.common import Recent, batches_of_at_most, extend, small_batches, tidy
 
 BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -78,3 +79,36 @@ def test_a_task_refines_few_groups_at_a_time():
     assert len(out) > 1 and sum(map(len, (b.column(0) for b in out))) == 6000
     masks = {d: m for b in out for d, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
     assert masks[b"0"] & 0xFFFF == 0xFFFF and masks[b"1"] == (1 << 17) - 1
+
+
+def test_a_pass_without_a_codec_lets_the_worker_s_go(spark):
+    def codec_after(rows):                  # in the worker that runs the pass
+        first = codec(path)
+        assert codec(path) is first
+        list(rows([]))
+        return codec(path) is first
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not codec_after(tidy(lambda batches: batches))
+    made = []
+
+    class Frame:                            # stands for a DataFrame: runs the pass at once
+        columns, sparkSession, schema = ["t"], spark, StructType([StructField("t", StringType())])
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            made.append(run)
+
+    field = StructField("n", LongType())
+    extend(Frame(), "t", [field], lambda: lambda texts: [[len(t) for t in texts]])
+    extend(Frame(), "t", [field], lambda: lambda texts: [[len(t) for t in texts]], uses_kept=True)
+    assert not codec_after(made[0]) and codec_after(made[1])
+
+
+def test_the_pipeline_reads_few_rows_at_once(spark, tmp_path):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(name, "4096")
+    corpus_pipeline.lean(lambda spark, docs, at: docs)(spark, spark.range(1), str(tmp_path))
+    assert int(spark.conf.get(name)) == corpus_pipeline.READ_ROWS < 4096

@@ -15,7 +15,6 @@ Decoding emits the arcs' labels, the byte strings of the tokens.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from array import array
@@ -26,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField
 
-from vigilog.llm.common import Recent, extend, hex_digest, ids_of_pieces, utf8
+from vigilog.llm.common import Recent, extend, hex_digest, ids_of_pieces, kept, utf8
 
 #: The byte-level pre-split rule of this tokenizer family.
 PRE_SPLIT = regex.compile(
@@ -253,10 +252,10 @@ def joined(labels: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]
     return [bytes(data[a:b]) for a, b in zip(offsets, offsets[1:])]
 
 
-@functools.lru_cache(maxsize=1)
 def codec(path: str) -> ByteCodec:
-    """One compiled codec per worker process: compiling takes a second, which every task would pay."""
-    return ByteCodec(path)
+    """One compiled codec per worker process, as compiling takes a second, which every task would pay;
+    a worker that turns to a pass without one lets it go."""
+    return kept(("byte codec", path), lambda: ByteCodec(path))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
@@ -286,7 +285,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
     fields = [StructField(ids, ArrayType(IntegerType(), False))]
     if exact:
         fields.append(StructField(exact, BooleanType()))
-    return extend(df, text, fields, build, keep, BATCH_BYTES)
+    return extend(df, text, fields, build, keep, BATCH_BYTES, uses_kept=True)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
@@ -296,7 +295,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded",
         c = codec(path)
         return lambda rows: [[c.decode(r) for r in rows]]
 
-    return extend(df, ids, [StructField(text, StringType())], build, keep)
+    return extend(df, ids, [StructField(text, StringType())], build, keep, uses_kept=True)
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text",
@@ -319,4 +318,5 @@ def round_trip(df: DataFrame, path: str, text: str = "text",
 
     return extend(df, text, [StructField("n_tokens", LongType()),
                              StructField("ids_sha256", StringType()),
-                             StructField("decoded_sha256", StringType())], build, keep, BATCH_BYTES)
+                             StructField("decoded_sha256", StringType())], build, keep, BATCH_BYTES,
+                  uses_kept=True)

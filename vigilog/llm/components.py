@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilog.llm.common import tidy
 from vigilog.session import materialize
 
 
@@ -55,7 +56,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = links.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
     stars = materialize(pairs.where("a <> b").mapInArrow(
-        _contract, "node bigint, root bigint"), "components")
+        tidy(_contract), "node bigint, root bigint"), "components")
     state = None
     while True:
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()

@@ -42,7 +42,7 @@ CORE = 8
 #: Distinct segments of one anchor that a task takes; larger groups get longer prefixes.
 GROUP_SEGMENTS = 20_000
 #: Words of the groups that are refined together; a word takes about 150 bytes there.
-TASK_WORDS = 1 << 18
+TASK_WORDS = 1 << 17
 
 
 class Segments:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
 from vigilog.llm import samples
-from vigilog.llm.common import Recent, extend, ids_of_pieces, small_batches
+from vigilog.llm.common import Recent, extend, ids_of_pieces, small_batches, tidy
 from vigilog.session import materialize
 
 #: Documented bounds of the fit: positives, unlabelled texts, and features of the model.
@@ -131,7 +131,7 @@ def _choose(rows: DataFrame, n_pos: int, n_unl: int) -> list[str]:
                  pa.array([c[0] for c in seen.values()], pa.int64())], ["f", "p", "u"])
 
     small_batches(rows.sparkSession)
-    counts = (rows.select("text", "label").mapInArrow(count, "f string, p bigint, u bigint")
+    counts = (rows.select("text", "label").mapInArrow(tidy(count), "f string, p bigint, u bigint")
               .groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
               .where(F.col("p") >= (3 if n_pos >= 100 else 2)))
     share = (F.col("u") + 1) / (n_unl + 2)
@@ -155,7 +155,7 @@ def _matrix(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1)],
                                              ["x", "label"])
 
-    got = rows.select("text", "label").mapInArrow(bits, "x binary, label int").toPandas()
+    got = rows.select("text", "label").mapInArrow(tidy(bits), "x binary, label int").toPandas()
     raw = np.frombuffer(b"".join(got["x"]), np.uint8).reshape(len(got), -1)
     return np.unpackbits(raw, axis=1)[:, :len(names)], got["label"].to_numpy()
 
