@@ -1,13 +1,16 @@
 """Pieces of texts are looked up together, and batches stay as small as their caller asks."""
 
+import random
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
-from vigilog.llm import huffman, repeats
-from vigilog.llm.bpe import ByteCodec, codec
+from vigilog.llm import bpe, huffman, repeats
+from vigilog.llm.bpe import ByteCodec, Numbers, TokenAutomaton, codec
 from vigilog.llm.common import Recent, batches_of_at_most, extend, small_batches, tidy
 
 BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -57,6 +60,52 @@ def test_words_with_one_mark_have_the_ids_of_the_library():
         assert codec.encode(text) == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_of_a_batch_are_encoded_together(monkeypatch):
+    """Of thousands of distinct words only the last few are encoded one by one; ids are the library's."""
+    from tokenizers import Tokenizer
+
+    path, rng, alone = public_tokenizers.path("byte_bpe_50k.json"), random.Random(3), []
+    whole, codec = Tokenizer.from_file(path), ByteCodec(path)
+    syllables = "tion er wh ly ció né schaft ß ing x th 漢 ' . , \n 1 <|endoftext|> \x85 \xa0".split(" ")
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 7))) for _ in range(40))
+             for _ in range(200)] + ["x" * 3000, "", " ", "a  b", None]
+    encode = TokenAutomaton.encode
+    monkeypatch.setattr(TokenAutomaton, "encode", lambda self, w: alone.append(w) or encode(self, w))
+    monkeypatch.setattr(bpe, "CELLS", 300)                  # tables are emptied on the way
+    ids, bounds = codec.encode_batch(texts)
+    assert len(alone) <= 100
+    want = whole.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [w.ids for w in want]
+    assert codec.encode_batch([])[0].tolist() == []
+
+
+def test_many_words_are_encoded_as_one_by_one():
+    merges = [(b"a", b"a"), (b"a", b"b"), (b"aa", b"ab"), (b"b", b"a"), (b"ab", b"ba")]
+    names = [b"a", b"b", *(x + y for x, y in merges)]
+    automaton = TokenAutomaton({n: i for i, n in enumerate(names)}, merges)
+    words = [bytes(97 + (k >> i & 1) for i in range(n)) for n in range(10) for k in range(1 << n)]
+
+    def many(words):
+        bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        return automaton.encode_many(np.frombuffer(b"".join(words), np.uint8), bounds)
+
+    ids, bounds = many(words)
+    assert [tuple(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:])] == [*map(automaton.encode, words)]
+    for bad in (b"z", b"abz", b"zab"):
+        with pytest.raises(ValueError):
+            many([*words, bad])
+        with pytest.raises(ValueError):
+            many([bad] * 200)
+
+
+def test_numbers_are_found_by_key():
+    table, keys = Numbers(10), np.arange(700, dtype=np.int64) * 1_000_003
+    table.put(keys[:600], np.arange(600))
+    assert table.get(keys).tolist() == [*range(600)] + [-1] * 100
+    table.clear()
+    assert (table.get(keys) == -1).all() and table.used == 0
+
+
 def test_documents_are_put_in_order_before_they_are_coded(spark):
     tokens = spark.createDataFrame(
         [(i, bytes([(i or 0) % 7, 0]) * 3, 3) for i in [*range(40), None, 7]],

@@ -10,6 +10,7 @@ merge that made it, and an arc's existence follows from those three tables; cell
 
 A pre-split word is encoded by following its arcs through the table, longest label first: each
 prefix has exactly one accepted token sequence, so a place is left for good once its arcs fail.
+The distinct words of a batch follow their arcs together, one arc of each word at a time.
 Decoding emits the arcs' labels, the byte strings of the tokens.
 """
 
@@ -17,15 +18,15 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField
 
-from vigilog.llm.common import Recent, extend, hex_digest, ids_of_pieces, kept, utf8
+from vigilog.llm.common import PLACE, cut_at_blanks, extend, hex_digest, kept, lists_of, utf8
 
 #: The byte-level pre-split rule of this tokenizer family.
 PRE_SPLIT = regex.compile(
@@ -34,12 +35,14 @@ PRE_SPLIT = regex.compile(
 SETTLED = "՘"
 #: A blank between white space, or at the end after it: there pieces can't be cut apart.
 _BLANK_RUN = regex.compile(r"\s (?:\s|$)")
-#: Entries of a per-process table before the older half goes; results don't change.
-#: Marks that end a piece and are a word of their own after letters; what such pieces are made of.
-_ONE_MARK = frozenset(".,;:!?")
-_LETTERS = re.compile("[A-Za-z]*[.,;:!?]?")
-CACHE_ENTRIES = 200_000
+#: Words of ASCII letters with at most one mark, which is a word of its own after letters.
+_LETTERS = "[A-Za-z]+[.,;:!?]?"
+#: Pieces of settled characters that don't begin with white space: behind blanks they stay apart.
+_SETTLED_PIECE = (r"^[^\t-\r\x1c-\x20\x{85}\x{a0}\x{558}-\x{10FFFF}][^\x{558}-\x{10FFFF}]*$")
+#: Cells of a table before it is emptied; results don't change.
 CELLS = 500_000
+#: Words that are left to be encoded one by one.
+FEW = 100
 #: Larger batches than elsewhere: each distinct piece of a batch is looked up once.
 BATCH_BYTES = 16 << 20
 
@@ -53,6 +56,48 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Numbers:
+    """Numbers by key, both not negative, for many keys at a time, in slots by hash."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        self.used = 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(PLACE)) >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none."""
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        out = np.where(there == keys, self.values[slots], np.int32(-1))
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slots[left] = at = (slots[left] + 1) & self.mask
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct keys that are not there, fewer than there are slots."""
+        slots, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slots[left]] < 0]
+            self.keys[slots[free]] = keys[free]
+            done = self.keys[slots[left]] == keys[left]
+            self.values[slots[left[done]]] = values[left[done]]
+            left = left[~done]
+            slots[left] = (slots[left] + 1) & self.mask
+        self.used += len(keys)
+
+    def clear(self) -> None:
+        self.keys.fill(-1)
+        self.used = 0
+
+
 class TokenAutomaton:
     """Deterministic automaton over tokens, compiled from merges in priority order.
 
@@ -73,6 +118,31 @@ class TokenAutomaton:
         for rank, (a, b) in enumerate(merges):
             self._add_gadget(rank, vocabulary[a], vocabulary[b], vocabulary[a + b])
         self.cells.clear()
+        self._spell()
+
+    def _spell(self) -> None:
+        """Tables of labels and targets for `encode_many`."""
+        begun = sorted(self.begun, key=len)
+        node = {b"": 0} | {label: i for i, label in enumerate(begun, 1)}
+        above = [node[label[:-1]] for label in begun]
+        edges = np.array([a * 257 + label[-1] for a, label in zip(above, begun)], np.int64)
+        self.next_node = Numbers((4 * len(begun) + 256).bit_length())
+        self.next_node.put(edges, np.arange(1, len(begun) + 1))
+        #: By node its longest label; by token, or -1 for none, the next shorter label it begins with.
+        best = [-1]
+        self.shorter = np.full(self.size + 1, -1, np.int32)
+        for label, a in zip(begun, above):
+            token = self.begun[label]
+            if token >= 0:
+                self.shorter[token] = best[a]
+            best.append(token if token >= 0 else best[a])
+        self.best = np.array(best, np.int32)
+        self.length, self.leads = np.zeros(self.size + 1, np.int64), np.zeros(self.size + 1, np.int32)
+        for label, i in self.vocabulary.items():
+            self.length[i] = len(label)
+        for token, state in self.target.items():
+            self.leads[token] = state
+        self.arcs = Numbers((2 * CELLS).bit_length())
 
     def _add_gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if w in self.target:
@@ -148,6 +218,83 @@ class TokenAutomaton:
                     raise ValueError("a byte is not in the vocabulary")
         return tuple(path)
 
+    def _steps(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """`step` of many states and tokens."""
+        keys = states.astype(np.int64) * self.size + tokens
+        found = self.arcs.get(keys)
+        lacking = np.flatnonzero(found < 0)
+        if len(lacking):
+            new, at = np.unique(keys[lacking], return_inverse=True)
+            now = len(self.born)
+            made = np.array([token in self.target and self._has_arc(state, token, now) for state, token
+                             in (divmod(k, self.size) for k in new.tolist())], np.int32)
+            found[lacking] = made[at]
+            if self.arcs.used + len(new) > CELLS:
+                self.arcs.clear()
+            self.arcs.put(new[:CELLS], made[:CELLS])
+        return found > 0
+
+    def _longest(self, symbols: np.ndarray) -> np.ndarray:
+        """The longest label that begins at each place of words with 256 behind each; -1 if none does."""
+        out = np.full(len(symbols), -1, np.int32)
+        places, nodes, k = np.arange(len(symbols)), np.zeros(len(symbols), np.int64), 0
+        while len(places):
+            nodes = self.next_node.get(nodes * 257 + symbols[places + k])
+            there = nodes > 0
+            places, nodes, k = places[there], nodes[there].astype(np.int64), k + 1
+            out[places] = self.best[nodes]
+        return out
+
+    def encode_many(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`encode` of many words, whose bytes lie one after another: all ids, and where each word's begin.
+
+        In each round every word tries an arc, after it has gone back over its last one if no arc is left.
+        The arc into a place is kept by place, as there is one accepted path to it.
+        """
+        n = len(bounds) - 1
+        symbols = np.full(len(data) + n, 256, np.int64)     # 256 stands behind each word
+        symbols[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(bounds))] = data
+        start, stop = bounds[:-1] + np.arange(n), bounds[1:] + np.arange(n)
+        longest = self._longest(symbols)
+        last, dead = np.full(len(symbols), -1, np.int32), np.zeros(len(symbols), bool)
+        on_path, ended = np.zeros(len(symbols), bool), []
+        word = np.flatnonzero(start < stop)
+        place, state = start[word], np.zeros(len(word), np.int32)
+        token = longest[place]
+        while len(word) > FEW:
+            back = np.flatnonzero(token < 0)
+            if len(back):
+                at = place[back]
+                over = last[at]
+                if (over < 0).any():
+                    raise ValueError("a byte is not in the vocabulary")
+                dead[at] = True
+                at = at - self.length[over]
+                place[back], state[back], token[back] = at, self.leads[last[at]], self.shorter[over]
+            end = place + self.length[token]
+            on = np.flatnonzero((token >= 0) & ~dead[end])
+            on = on[self._steps(state[on], token[on])]
+            to = end[on]
+            last[to] = token[on]
+            token = self.shorter[token]
+            place[on], state[on], token[on] = to, self.leads[last[to]], longest[to]
+            done = np.zeros(len(word), bool)
+            done[on] = symbols[to] == 256
+            if done.any():
+                ended.append(place[done])
+                word, place, state, token = (x[~done] for x in (word, place, state, token))
+        for i in word.tolist():
+            at = start[i]
+            for t in self.encode(symbols[at:stop[i]].astype(np.uint8).tobytes()):
+                at += self.length[t]
+                last[at], on_path[at] = t, True
+        at = np.concatenate([*ended, np.zeros(0, np.int64)])
+        while len(at):
+            on_path[at] = True
+            at = at - self.length[last[at]]
+            at = at[last[at] >= 0]
+        return last[on_path].astype(np.uint32), np.concatenate([[0], np.cumsum(on_path)[stop]])
+
 
 class ByteCodec:
     """Whole-text encoder and decoder of a byte-level vocabulary file."""
@@ -174,49 +321,70 @@ class ByteCodec:
         self.label = pa.array(label, pa.large_binary())
         self.decimal = pa.array([b"%d," % i for i in range(n)], pa.large_binary())
         #: Whether letters and one mark may form a special token, so that every piece has to be searched.
-        self.spelled = any(_LETTERS.fullmatch(content.strip(" ")) for content in self.special)
-        self.words = Recent(CACHE_ENTRIES // 4)
-        self.after_blank = Recent(CACHE_ENTRIES)
+        self.spelled = any(re.fullmatch(f"({_LETTERS})?|[.,;:!?]", c.strip(" ")) for c in self.special)
 
-    def _word(self, word: str) -> tuple:
-        found = self.words.get(word)
-        if found is None:
-            found = self.automaton.encode(word.encode("utf-8", "surrogatepass"))
-            self.words.put(word, found)
-        return found
-
-    def _plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
-        if max(text) < SETTLED:
-            for word in PRE_SPLIT.findall(text):
-                out += self._word(word)
-        else:
-            for _, (a, b) in self.pre_split(text):
-                out += self._word(text[a:b])
-        return out
-
-    def _piece(self, text: str) -> list[int]:
-        """Ids of a text, in which special tokens stand for themselves."""
+    def _words(self, text: str) -> list[str]:
+        """A text's words and special tokens."""
         if self.cut is None or self.cut.search(text) is None:
             return self._plain(text)
-        out: list[int] = []
-        for part in self.cut.split(text):
-            out += [self.special[part]] if part in self.special else self._plain(part)
-        return out
-
-    def _after_blank(self, piece: str) -> bytes:
-        found = self.after_blank.get(piece)
-        if found is None:
-            body = piece[:-1] if piece[-1:] in _ONE_MARK else piece
-            if body.isascii() and body.isalpha() and not self.spelled:  # one word, and its mark
-                ids = self._word(" " + body)
-                found = array("I", ids if body is piece else ids + self._word(piece[-1])).tobytes()
-            else:
-                found = array("I", self._piece(" " + piece)).tobytes()
-            self.after_blank.put(piece, found)
-        return found
+        return [w for part in self.cut.split(text)
+                for w in ([part] if part in self.special else self._plain(part))]
+
+    def _plain(self, text: str) -> list[str]:
+        if not text or max(text) < SETTLED:
+            return PRE_SPLIT.findall(text)
+        return [text[a:b] for _, (a, b) in self.pre_split(text)]
+
+    def _kinds(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces are letters with at most one mark, settled in other ways, or neither."""
+        match = lambda rule: np.asarray(pc.match_substring_regex(pieces, rule))
+        letters = match(f"^{_LETTERS}$") & (not self.spelled)
+        settled = match(_SETTLED_PIECE) & ~letters
+        for content in self.special:
+            settled &= ~np.asarray(pc.match_substring(pieces, content.strip(" ")))
+        return tuple(map(np.flatnonzero, (letters, settled, ~letters & ~settled)))
+
+    def _cut_up(self, pieces: pa.Array, heads: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """All words of pieces, each behind a blank, and of heads: the words, the order in which they are
+        to be read, where each piece or head then begins, and which piece or head it is."""
+        letters, settled, rest = self._kinds(pieces)
+        words = lambda found: pa.array(found, pa.large_string())
+        alone = pieces.take(pa.array(letters))
+        body = pc.ascii_rtrim(alone, ".,;:!?")
+        marked = np.asarray(pc.not_equal(alone, body))
+        blank, nothing = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+        parts = [pc.binary_join_element_wise(blank, body, nothing),
+                 pc.utf8_slice_codeunits(alone.filter(pa.array(marked)), -1)]
+        behind = np.cumsum(1 + marked)                      # a mark is read after its letters
+        order = np.empty(len(alone) + marked.sum(), np.int64)
+        order[behind - 1 - marked] = np.arange(len(alone))
+        order[behind[marked] - 1] = len(alone) + np.arange(marked.sum())
+        # Blanks cut the others apart as they do in a text: such a word begins a piece.
+        parts.append(words(PRE_SPLIT.findall("".join([" " + p for p in pieces.take(pa.array(settled)).to_pylist()]))))
+        first = np.flatnonzero(np.asarray(pc.starts_with(parts[-1], " ")))
+        each = [self._words(" " + p) for p in pieces.take(pa.array(rest)).to_pylist()]
+        each += map(self._words, heads)
+        parts.append(words([w for found in each for w in found]))
+        sizes = np.concatenate([1 + marked, np.diff(np.append(first, len(parts[2]))),
+                                np.array(list(map(len, each)), np.int64)])
+        order = np.concatenate([order, np.arange(len(order), sum(map(len, parts)))])
+        return (pa.concat_arrays(parts), order, np.concatenate([[0], np.cumsum(sizes)]),
+                np.concatenate([letters, settled, rest, len(pieces) + np.arange(len(heads))]))
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and special tokens, and where each one's begin; equal ones are encoded once."""
+        coded = words.dictionary_encode()
+        codes, distinct = np.asarray(coded.indices).astype(np.int64), coded.dictionary
+        _, offsets, data = distinct.buffers()
+        bounds = np.frombuffer(offsets, np.int64, len(distinct) + 1, 8 * distinct.offset)
+        data = np.frombuffer(data or b"", np.uint8)[bounds[0]:bounds[-1]]
+        ids, ends = self.automaton.encode_many(data, bounds - bounds[0])
+        for content, i in self.special.items():
+            at = distinct.index(content).as_py()
+            if at >= 0:
+                codes[codes == at] = len(ends) - 1
+                ids, ends = np.append(ids, np.uint32(i)), np.append(ends, len(ids) + 1)
+        return lists_of(ids, ends, codes)
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts, one after another, and where each text's ids begin and end.
@@ -224,9 +392,16 @@ class ByteCodec:
         No word reaches over a blank unless white space is on both its sides, so elsewhere
         a text is cut there. A null text counts as empty.
         """
-        as_bytes = lambda t: array("I", self._piece(t)).tobytes()
-        uncut = {i: as_bytes(t) for i, t in enumerate(texts) if t and _BLANK_RUN.search(t)}
-        return ids_of_pieces(texts, self._after_blank, uncut, as_bytes, self.after_blank)
+        uncut = [bool(t and _BLANK_RUN.search(t)) for t in texts]
+        pieces, codes, bounds = cut_at_blanks(["" if u else t for t, u in zip(texts, uncut)])
+        heads = [t if u else (t or "").split(" ", 1)[0] for t, u in zip(texts, uncut)]
+        codes[bounds[:-1]] = len(pieces) + np.arange(len(heads))
+        words, order, begins, which = self._cut_up(pieces, heads)
+        ids, ends = self._ids(words.take(pa.array(order)))
+        number = np.empty(len(which), np.int64)
+        number[which] = np.arange(len(which))
+        flat, upto = lists_of(ids, ends[begins], number[codes])
+        return flat, upto[bounds]
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0].tolist()

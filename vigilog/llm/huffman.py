@@ -96,7 +96,7 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts, one after another, and each text's bounds; null is empty."""
-        return ids_of_pieces([t and _loosen(t) for t in texts], self._known, {}, known=self.pieces)
+        return ids_of_pieces([t and _loosen(t) for t in texts], self._known, self.pieces)
 
 
 def _loosen(text: str) -> str:

@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
             return found
 
         def work(texts: list) -> list:
-            flat, bounds = ids_of_pieces([t and t.replace("\n", " ") for t in texts], lookup, {},
+            flat, bounds = ids_of_pieces([t and t.replace("\n", " ") for t in texts], lookup,
                                          known=recent)
             doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
             once = np.unique(doc * len(weights) + flat)
